@@ -46,8 +46,8 @@ def id_of(key: str) -> Column:
     return F.when(F.col(key) != NULL_ID, F.col(key))
 
 
-def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[tuple[dict[str, list], list[str]]]:
-    """Pieces of a few MB of text: the other columns as lists, and the texts with null as ''. A longer text is a piece of its own."""
+def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 1 << 20) -> Iterator[tuple[dict[str, list], list[str]]]:
+    """Pieces of about a MB of text: the other columns as lists, and the texts with null as ''. A longer text is a piece of its own."""
     for batch in batches:
         cols = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
         texts = cols.pop(text)

@@ -22,7 +22,7 @@ from doclens.llm.common import map_texts, written
 SIZE = 4096
 END = 1
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 

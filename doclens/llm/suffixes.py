@@ -9,8 +9,10 @@ suffixes are settled without being moved:
    them. Runs whose anchor occurs once are settled: nothing in them repeats.
 2. Second digit: all bytes that the run's suffixes cover. Of equal runs, the earliest stays and
    the others are repeats as a whole.
-3. Last digit: runs with an anchor in common that differ further out (edges of a repeat) are
-   opened, one row for each suffix, by all its `length` bytes.
+3. Third digit: runs with an anchor in common that differ further out (edges of a repeat, or an
+   anchor that recurs by chance) are opened to parts of up to 8 suffixes, by the bytes that all
+   the part's suffixes have. Parts that are alone with theirs are settled.
+4. Last digit: the other parts are opened to suffixes, by all their `length` bytes.
 
 Each pass is a grouped minimum, pre-aggregated before its shuffle, and a sort-merge join back.
 """
@@ -89,8 +91,8 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, .
     return low[starts], _mixed(whole[starts] * _ODD[12] + whole[stops - 1] * _ODD[11] + (stops - starts).astype(np.uint64)), starts, stops - starts
 
 
-def _packed(texts: list[str], most: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """The texts as bytes, in groups of a few MB, with the number of the first."""
+def _packed(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts as bytes, in groups of about a MB, with the number of the first."""
     held: list[bytes] = []
     first = size = 0
     for i, t in enumerate(texts):
@@ -118,18 +120,32 @@ def _run_rows(length: int):
 RUN = "anchor long, span long, key long, tag long, start int, n int"
 
 
+PART = 8
+
+
 def _opened(length: int):
+    """Parts of the runs in `open`: the suffixes whose anchors begin at 8 t to 8 t + 7 bytes from their start, for each t."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, texts in chunks(batches):
             for i, t in enumerate(texts):
                 data = np.frombuffer(t.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-                whole = _string_hashes(data, length)[1]
-                # A hash of all bytes of each suffix beside the anchor's: 128 bits in all.
-                start = np.array([r["start"] for r in cols["open"][i]], dtype=np.int64)
-                n = np.array([r["n"] for r in cols["open"][i]], dtype=np.int64)
-                anchor = np.array([r["anchor"] for r in cols["open"][i]], dtype=np.int64)
-                at = np.repeat(start - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(anchor, n), whole[at].view(np.int64), np.full(len(at), cols["key"][i]), np.full(len(at), cols["tag"][i]), at.astype(np.int32))], names=["anchor", "suffix", "key", "tag", "start"])
+                gram, whole = _string_hashes(data, length)
+                open_ = cols["open"][i]
+                start, n, anchor = (np.array([r[c] for r in open_], dtype=np.int64) for c in ("start", "n", "anchor"))
+                reach = length - GRAM + 1
+                place = np.concatenate([start[at : at + 4096] + (gram[start[at : at + 4096, None] + np.arange(reach)] == anchor[at : at + 4096, None].view(np.uint64)).argmax(axis=1) for at in range(0, len(start), 4096)])
+                first = np.repeat(np.arange(len(n)), n)
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + start[first]
+                part = (place[first] - at) // PART
+                cut = np.flatnonzero((np.diff(first, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
+                own, k = first[cut], part[cut]
+                core = np.zeros(len(cut), dtype=np.uint64)
+                size = length - PART + 1
+                for o in [*range(0, size - GRAM, GRAM), size - GRAM]:
+                    core = _mixed(core * _ODD[10] + gram[place[own] - PART * k + o])
+                offsets = pa.array(np.append(cut, len(at)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[own]), pa.array(k.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(np.full(len(cut), cols["key"][i])), pa.array(np.full(len(cut), cols["tag"][i])), pa.array(at[cut].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(whole[at].view(np.int64)))], names=["anchor", "part", "core", "key", "tag", "start", "suffixes"])
 
     return run
 
@@ -154,8 +170,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
     several = firsts.groupBy("anchor").count().where("count > 1").select("anchor")
     open_ = firsts.join(several, "anchor", "left_semi").select("anchor", "first.*").groupBy("key", "tag").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("open"))
-    suffixes = texts.join(open_, ["key", "tag"]).select("key", "tag", "open", "text").mapInArrow(_opened(length), "anchor long, suffix long, key long, tag long, start int")
-    suffixes = written(suffixes, "suffixes")
+    parts = texts.join(open_, ["key", "tag"]).select("key", "tag", "open", "text").mapInArrow(_opened(length), "anchor long, part int, core long, key long, tag long, start int, suffixes array<long>")
+    parts = written(parts, "parts")
+    shared = parts.groupBy("anchor", "part", "core").count().where("count > 1").drop("count")
+    left = parts.join(shared, ["anchor", "part", "core"], "left_semi")
+    suffixes = written(left.select("anchor", "key", "tag", "start", F.posexplode("suffixes").alias("pos", "suffix")).select("anchor", "suffix", "key", "tag", (F.col("start") + F.col("pos")).alias("start")), "suffixes")
     least = suffixes.groupBy("anchor", "suffix").agg(F.min(F.struct("key", "start")).alias("first"), F.count("*").alias("c")).where("c > 1")
     single = suffixes.join(least, ["anchor", "suffix"]).where(F.struct("key", "start") > F.col("first")).select("key", "tag", F.col("start").alias("a"), (F.col("start") + length).alias("b"))
     found = whole.union(single).groupBy("key", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
