@@ -7,7 +7,9 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # The write's plan is garbage now. Spark deletes the files of a plan's shuffles, which can be as large as the input, when the
+    # driver's JVM has collected it; that is asked for here, as it would else come too late for the next step.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,14 +54,16 @@ def id_of(key: str) -> Column:
 def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 1 << 20) -> Iterator[tuple[dict[str, list], list[str]]]:
     """Pieces of about a MB of text: the other columns as lists, and the texts with null as ''. A longer text is a piece of its own."""
     for batch in batches:
-        cols = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-        texts = cols.pop(text)
-        at, size = 0, 0
-        for i, t in enumerate(texts):
-            size += len(t or "")
-            if size > most or i + 1 == len(texts):
-                yield {n: c[at : i + 1] for n, c in cols.items()}, [x or "" for x in texts[at : i + 1]]
-                at, size = i + 1, 0
+        k = batch.schema.get_field_index(text)
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            # Only what goes into a piece becomes Python objects at a time.
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))
+            piece = batch.slice(at, end - at)
+            cols = {n: piece.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
+            yield cols, [t or "" for t in cols.pop(text)]
+            at = end
 
 
 def map_texts(df: DataFrame, fn: Callable[[Any, dict[str, list], list[str]], dict[str, Any]], schema: str, setup: Callable[[], Any] | None = None, text: str = "text") -> DataFrame:

@@ -10,9 +10,10 @@ suffixes are settled without being moved:
 2. Second digit: all bytes that the run's suffixes cover. Of equal runs, the earliest stays and
    the others are repeats as a whole.
 3. Third digit: runs with an anchor in common that differ further out (edges of a repeat, or an
-   anchor that recurs by chance) are opened to parts of up to 8 suffixes, by the bytes that all
-   the part's suffixes have. Parts that are alone with theirs are settled.
-4. Last digit: the other parts are opened to suffixes, by all their `length` bytes.
+   anchor that recurs by chance) are settled if they have neither side of the anchor in common. The
+   others are opened to parts of up to 8 suffixes. Of equal parts, the earliest stays; parts that have
+   the bytes that all their suffixes share for themselves are settled.
+4. Last digit: what is left of the parts is opened to suffixes, by all their `length` bytes.
 
 Each pass is a grouped minimum, pre-aggregated before its shuffle, and a sort-merge join back.
 """
@@ -71,13 +72,14 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """The runs of suffixes of texts that lie one after another in data, up to ends: anchor, hash of all bytes, start, number.
+    """The runs of suffixes of texts that lie one after another in data, up to ends: text, anchor, hash of all bytes, start, number, sides.
 
-    Only suffixes with `length` bytes left in their text are in a run.
+    Only suffixes with `length` bytes left in their text are in a run. sides has 12 bits for the hash of the bytes before the anchor and
+    12 for those after it, half of what a suffix has beside the anchor; 0 where the text has not so many.
     """
     none = np.zeros(0, dtype=np.int64)
     if len(data) < length:
-        return none.view(np.uint64), none.view(np.uint64), none, none
+        return none, none.view(np.uint64), none.view(np.uint64), none, none, none
     gram, whole = _string_hashes(data, length)
     width = length - GRAM + 1
     low = _least(gram, width)[: len(whole)]
@@ -88,11 +90,32 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, .
     new[1:] = (low[1:] < low[:-1]) | (gram[: len(low) - 1] == low[:-1]) | ~ok[:-1]
     starts = np.flatnonzero(new & ok)
     stops = np.flatnonzero(ok & np.append((new | ~ok)[1:], True)) + 1
-    return low[starts], _mixed(whole[starts] * _ODD[12] + whole[stops - 1] * _ODD[11] + (stops - starts).astype(np.uint64)), starts, stops - starts
+    span = _mixed(whole[starts] * _ODD[12] + whole[stops - 1] * _ODD[11] + (stops - starts).astype(np.uint64))
+    text = np.searchsorted(ends, starts, side="right")
+    return text, low[starts], span, starts, stops - starts, _sides(gram, _places(gram, starts, low[starts], width), np.append(0, ends)[text], ends[text], length)
+
+
+def _places(gram: np.ndarray, starts: np.ndarray, anchor: np.ndarray, width: int) -> np.ndarray:
+    """Where the anchors of the runs lie."""
+    reach = np.arange(width)
+    found = [starts[at : at + 4096] + (gram[starts[at : at + 4096, None] + reach] == anchor[at : at + 4096, None]).argmax(axis=1) for at in range(0, len(starts), 4096)]
+    return np.concatenate(found) if found else starts
+
+
+def _sides(gram: np.ndarray, place: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
+    half = (length - GRAM) // 2
+    if half < GRAM:
+        return np.full(len(place), 1 << 12 | 1, dtype=np.int64)  # too short to tell anything apart
+    out = np.zeros(len(place), dtype=np.int64)
+    for shift, a, b in ((12, place - half, place - GRAM), (0, place + GRAM, place + half)):
+        there = (a >= begin) & (b + GRAM <= end)
+        h = _mixed(gram[np.where(there, a, 0)] * _ODD[9] + gram[np.where(there, b, 0)])
+        out |= np.where(there, (h % np.uint64(4095)).astype(np.int64) + 1, 0) << shift
+    return out
 
 
-def _packed(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """The texts as bytes, in groups of about a MB, with the number of the first."""
+def _packed(texts: list[str], most: int = 1 << 16) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts as bytes, in groups of about 64 KB (numpy is fastest in the CPU's cache), with the number of the first."""
     held: list[bytes] = []
     first = size = 0
     for i, t in enumerate(texts):
@@ -104,20 +127,29 @@ def _packed(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, list[b
 
 
 def _run_rows(length: int):
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def batch() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["anchor", "span", "key", "tag", "start", "n", "sides"])
+        held.clear()
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, texts in chunks(batches):
             for first, raw in _packed(texts):
                 ends = np.cumsum([len(x) for x in raw], dtype=np.int64)
-                anchor, span, start, n = runs(np.frombuffer(b"".join(raw), dtype=np.uint8), ends, length)
-                doc = np.searchsorted(ends, start, side="right")
-                base = np.concatenate(([0], ends))
-                keys, tags = (np.array(cols[c][first : first + len(raw)], dtype=np.int64) for c in ("key", "tag"))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor.view(np.int64), span.view(np.int64), keys[doc], tags[doc], (start - base[doc]).astype(np.int32), n.astype(np.int32))], names=["anchor", "span", "key", "tag", "start", "n"])
+                doc, anchor, span, start, n, sides = runs(np.frombuffer(b"".join(raw), dtype=np.uint8), ends, length)
+                keys, tags = np.array(cols["key"][first : first + len(raw)], dtype=np.int64), np.array(cols["tag"][first : first + len(raw)], dtype=np.int32)
+                held.append((anchor.view(np.int64), span.view(np.int64), keys[doc], tags[doc], (start - np.append(0, ends)[doc]).astype(np.int32), n.astype(np.int32), sides.astype(np.int32)))
+                if sum(len(x[0]) for x in held) >= 50_000:
+                    yield batch()
+            if held:
+                yield batch()
 
     return run
 
 
-RUN = "anchor long, span long, key long, tag long, start int, n int"
+RUN = "anchor long, span long, key long, tag int, start int, n int, sides int"
 
 
 PART = 8
@@ -133,8 +165,7 @@ def _opened(length: int):
                 gram, whole = _string_hashes(data, length)
                 open_ = cols["open"][i]
                 start, n, anchor = (np.array([r[c] for r in open_], dtype=np.int64) for c in ("start", "n", "anchor"))
-                reach = length - GRAM + 1
-                place = np.concatenate([start[at : at + 4096] + (gram[start[at : at + 4096, None] + np.arange(reach)] == anchor[at : at + 4096, None].view(np.uint64)).argmax(axis=1) for at in range(0, len(start), 4096)])
+                place = _places(gram, start, anchor.view(np.uint64), length - GRAM + 1)
                 first = np.repeat(np.arange(len(n)), n)
                 at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + start[first]
                 part = (place[first] - at) // PART
@@ -144,8 +175,10 @@ def _opened(length: int):
                 size = length - PART + 1
                 for o in [*range(0, size - GRAM, GRAM), size - GRAM]:
                     core = _mixed(core * _ODD[10] + gram[place[own] - PART * k + o])
+                size = np.diff(np.append(cut, len(at)))
+                every = _mixed(whole[at[cut]] * _ODD[8] + whole[at[cut + size - 1]] * _ODD[7] + size.astype(np.uint64))
                 offsets = pa.array(np.append(cut, len(at)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[own]), pa.array(k.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(np.full(len(cut), cols["key"][i])), pa.array(np.full(len(cut), cols["tag"][i])), pa.array(at[cut].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(whole[at].view(np.int64)))], names=["anchor", "part", "core", "key", "tag", "start", "suffixes"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[own]), pa.array(k.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(every.view(np.int64)), pa.array(np.full(len(cut), cols["key"][i])), pa.array(np.full(len(cut), cols["tag"][i], dtype=np.int32)), pa.array(at[cut].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(whole[at].view(np.int64)))], names=["anchor", "part", "core", "every", "key", "tag", "start", "suffixes"])
 
     return run
 
@@ -157,28 +190,35 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     """
     if length < GRAM:
         raise ValueError(f"strings of {GRAM} bytes or more")
-    texts = docs.select(key_of(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("key", F.xxhash64("text").alias("tag"), "text")
+    texts = docs.select(key_of(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("key", F.hash("text").alias("tag"), "text")
     rows = texts.where(F.octet_length("text") >= length).mapInArrow(_run_rows(length), RUN)
-    digit = F.shiftrightunsigned("anchor", 16).alias("digit")
-    often = rows.groupBy(digit).count().where("count > 1").select("digit")
-    met = written(rows.withColumn("digit", digit).join(often, "digit", "left_semi").drop("digit"), "runs")
-
-    place = F.struct("key", "start", "tag")
-    firsts = written(met.groupBy("anchor", "span").agg(F.min(F.struct("key", "start", "tag", "n")).alias("first")), "firsts")
-    whole = met.join(firsts, ["anchor", "span"]).where(place > F.struct("first.key", "first.start", "first.tag"))
-    whole = whole.where("key <> first.key or start <> first.start").select("key", "tag", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + length).alias("b"))
-
-    several = firsts.groupBy("anchor").count().where("count > 1").select("anchor")
-    open_ = firsts.join(several, "anchor", "left_semi").select("anchor", "first.*").groupBy("key", "tag").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("open"))
-    parts = texts.join(open_, ["key", "tag"]).select("key", "tag", "open", "text").mapInArrow(_opened(length), "anchor long, part int, core long, key long, tag long, start int, suffixes array<long>")
+    digit = F.shiftrightunsigned("anchor", 16)
+    often = rows.groupBy(digit.alias("digit")).count().where("count > 1").select("digit")
+    met = written(rows.join(often, digit == F.col("digit"), "left_semi"), "runs")
+
+    later = F.struct("key", "start") > F.struct("first.key", "first.start")
+    firsts = written(met.groupBy("anchor", "span").agg(F.min(F.struct("key", "start", "tag", "n", "sides")).alias("first")), "firsts")
+    whole = written(met.join(firsts, ["anchor", "span"]).where(later).select("key", "tag", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + length).alias("b")), "whole")
+
+    # A suffix of two different runs with one anchor has half of its other bytes on one side of the anchor at least.
+    sides = firsts.select("anchor", "span", F.explode(F.array(F.shiftright("first.sides", 12), F.col("first.sides").bitwiseAND(F.lit(4095)) + 4096)).alias("side")).where("side not in (0, 4096)")
+    shared = sides.groupBy("anchor", "side").count().where("count > 1").select("anchor", "side")
+    meets = sides.join(shared, ["anchor", "side"], "left_semi").select("anchor", "span").distinct()
+    open_ = firsts.join(meets, ["anchor", "span"], "left_semi").select("anchor", "first.*").groupBy("key", "tag").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("open"))
+    parts = texts.join(open_, ["key", "tag"]).select("key", "tag", "open", "text").mapInArrow(_opened(length), "anchor long, part int, core long, every long, key long, tag int, start int, suffixes array<long>")
     parts = written(parts, "parts")
-    shared = parts.groupBy("anchor", "part", "core").count().where("count > 1").drop("count")
-    left = parts.join(shared, ["anchor", "part", "core"], "left_semi")
+    equal = ["anchor", "part", "core", "every"]
+    heads = written(parts.groupBy(*equal).agg(F.min(F.struct("key", "start", "tag")).alias("first")), "heads")
+    n = F.size("suffixes")
+    partly = written(parts.select(*equal, "key", "tag", "start", n.alias("n")).join(heads, equal).where(later).select("key", "tag", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + length).alias("b")), "partly")
+    shared = heads.groupBy("anchor", "part", "core").count().where("count > 1").drop("count")
+    left = heads.join(shared, ["anchor", "part", "core"], "left_semi").select(*equal, "first.*")
+    left = parts.join(left, [*equal, "key", "start", "tag"], "left_semi")
     suffixes = written(left.select("anchor", "key", "tag", "start", F.posexplode("suffixes").alias("pos", "suffix")).select("anchor", "suffix", "key", "tag", (F.col("start") + F.col("pos")).alias("start")), "suffixes")
     least = suffixes.groupBy("anchor", "suffix").agg(F.min(F.struct("key", "start")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    single = suffixes.join(least, ["anchor", "suffix"]).where(F.struct("key", "start") > F.col("first")).select("key", "tag", F.col("start").alias("a"), (F.col("start") + length).alias("b"))
-    found = whole.union(single).groupBy("key", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return texts, found
+    single = suffixes.join(least, ["anchor", "suffix"]).where(later).select("key", "tag", F.col("start").alias("a"), (F.col("start") + length).alias("b"))
+    found = whole.union(partly).union(single).groupBy("key", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return texts, written(found, "spans")
 
 
 def merged(spans: list, size: int) -> list[tuple[int, int]]:
@@ -229,14 +269,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Of a character that is cut in two, the bytes that are left go too. A null text stays null.
     """
     _, found = repeats(docs, id_col, text_col, length)
-    rows = docs.withColumns({"__key": key_of(id_col), "__tag": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    rows = docs.withColumns({"__key": key_of(id_col), "__tag": F.hash(F.coalesce(F.col(text_col), F.lit("")))})
     found = found.select(F.col("key").alias("__key"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
     names, n = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
-            for t, spans in zip(batch.column(n).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+            for t, spans in ((batch.column(n)[i].as_py(), batch.column(len(names))[i].as_py()) for i in range(batch.num_rows)):
                 raw, at, parts = (t or "").encode("utf-8", "surrogatepass"), 0, []
                 for a, b in merged(spans, len(raw)):
                     parts.append(raw[at:a])
