@@ -30,13 +30,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet into the shared folder and read again: its lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _release(spark)
     df.write.parquet(path)
-    # The write's plan is garbage now. Spark deletes the files of a plan's shuffles, which can be as large as the input, when the
-    # driver's JVM has collected it; that is asked for here, as it would else come too late for the next step.
-    spark.sparkContext._jvm.System.gc()
+    _release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _release(spark: SparkSession) -> None:
+    """Spark deletes the files of a plan's shuffles, which can be as large as the input, when the driver's JVM has collected the plan.
+
+    That is asked for between steps, as it would else come too late for the next one.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made and that no later step reads."""
+    for t in tables:
+        files = t.inputFiles()
+        if files:
+            context = t.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclens.llm.common import chunks, id_of, key_of, written
+from doclens.llm.common import chunks, discard, id_of, key_of, written
 
 GRAM = 32
 _rng = np.random.default_rng(100)
@@ -200,6 +200,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     firsts = written(met.groupBy("anchor", "span").agg(F.min(F.struct("key", "start", "tag", "n", "sides")).alias("first")), "firsts")
     whole = written(met.join(firsts, ["anchor", "span"]).where(later).select("key", "tag", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + length).alias("b")), "whole")
 
+    discard(met)
     # A suffix of two different runs with one anchor has half of its other bytes on one side of the anchor at least.
     sides = firsts.select("anchor", "span", F.explode(F.array(F.shiftright("first.sides", 12), F.col("first.sides").bitwiseAND(F.lit(4095)) + 4096)).alias("side")).where("side not in (0, 4096)")
     shared = sides.groupBy("anchor", "side").count().where("count > 1").select("anchor", "side")
@@ -215,10 +216,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     left = heads.join(shared, ["anchor", "part", "core"], "left_semi").select(*equal, "first.*")
     left = parts.join(left, [*equal, "key", "start", "tag"], "left_semi")
     suffixes = written(left.select("anchor", "key", "tag", "start", F.posexplode("suffixes").alias("pos", "suffix")).select("anchor", "suffix", "key", "tag", (F.col("start") + F.col("pos")).alias("start")), "suffixes")
+    discard(firsts, parts, heads)
     least = suffixes.groupBy("anchor", "suffix").agg(F.min(F.struct("key", "start")).alias("first"), F.count("*").alias("c")).where("c > 1")
     single = suffixes.join(least, ["anchor", "suffix"]).where(later).select("key", "tag", F.col("start").alias("a"), (F.col("start") + length).alias("b"))
     found = whole.union(partly).union(single).groupBy("key", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return texts, written(found, "spans")
+    spans = written(found, "spans")
+    discard(whole, partly, suffixes)
+    return texts, spans
 
 
 def merged(spans: list, size: int) -> list[tuple[int, int]]:
