@@ -8,6 +8,7 @@ What the driver and the tasks hold is bounded by `size`, not by the corpus.
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
 from functools import lru_cache
@@ -22,33 +23,64 @@ from doclens.llm.common import map_texts, written
 SIZE = 4096
 END = 1
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
+#: Words of ASCII and Latin letters without a normal form of their own; the tokenizer's rules for them are these few.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w]|_)+")
+#: Byte-level vocabularies write a byte as the character of its number if that can be seen, else as the next one from 256 on.
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b) for b in _SEEN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _SEEN)}
+
+
 class WordIds:
-    """The ids of texts. The tokenizer drops white space and joins nothing over it, so that each word is encoded once and remembered."""
+    """The ids of texts. The tokenizer drops white space and joins nothing over it, so that each word is encoded once and remembered.
+
+    A new plain word is lower-cased, split and given to the tokenizer's model; all others go through the whole tokenizer.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.model = tokenizer.encode_batch_fast, tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.encode(texts, add_special_tokens=False)]
 
+    def _part(self, part: str) -> bytes:
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        shown = part if part.isascii() else "".join([_BYTES[b] for b in part.encode()])
+        self.parts[part] = ids = b"".join([t.id.to_bytes(4, "little") for t in self.model(shown)])
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        if "<|" in word or not _PLAIN.fullmatch(word):
+            return self._ids([word])[0]
+        parts = self.parts
+        return b"".join([parts[p] if p in parts else self._part(p) for p in _PARTS.findall(word.lower())])
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        # Python's split also splits at four separators that are no white space to the tokenizer.
-        odd = {i for i, t in enumerate(texts) if any(c in t for c in _ODD_SPACE)}
-        split = [() if i in odd else t.split() for i, t in enumerate(texts)]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({w for words in split for w in words}.difference(self.known))
-        self.known.update(zip(new, self._ids(new), strict=True))
-        get = self.known.__getitem__
-        return [self._ids([t])[0] if i in odd else b"".join(map(get, words)) for i, (t, words) in enumerate(zip(texts, split, strict=True))]
+        out = []
+        for t in texts:
+            # Python's split also splits at four separators that are no white space to the tokenizer.
+            if any(c in t for c in _ODD_SPACE):
+                out.append(self._ids([t])[0])
+                continue
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            words = t.split()
+            known = self.known
+            for w in set(words).difference(known):
+                known[w] = self._word(w)
+            out.append(b"".join(map(known.__getitem__, words)))
+        return out
 
 
 @lru_cache(2)

@@ -19,6 +19,15 @@ def ids_of(text):
 TEXTS = [None, "", " \n", "Hello, world! it's 2024", "It'S Ünïcode and spaces\x1codd\x1dones", "éte ́x ẞ ΣΑΣ İstanbul", "<|endoftext|> a<|startoftext|>b", "日本語のテキスト 🙂🙂 don't", "x" * 3000, "a " * 5000, "ñ b\x85c\x0bd"]
 
 
+def test_ids_are_those_of_the_tokenizer():
+    ids = P._word_ids(None)
+    rnd = random.Random(8)
+    odd = "'sdrtvel_ aB9!<|>é\u0130Ŀŉſß×µªº²\u0301İx\u1e9e日\u00ad\u200b."
+    texts = TEXTS + ["".join(rnd.choice(odd) for _ in range(rnd.randint(1, 60))) for _ in range(3000)] + ["".join(map(chr, range(32, 0x250)))]
+    for t in texts:
+        assert np.frombuffer(ids([t or ""])[0], dtype="<u4").tolist() == ids_of(t)[:-1], t
+
+
 def check(rows, size, got):
     by = {}
     for r in got:
