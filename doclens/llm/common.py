@@ -83,8 +83,8 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 1
             at = end
 
 
-def map_texts(df: DataFrame, fn: Callable[[Any, dict[str, list], list[str]], dict[str, Any]], schema: str, setup: Callable[[], Any] | None = None, text: str = "text") -> DataFrame:
-    """df through fn(state, other columns, texts) -> columns of schema, in pieces; setup makes the state once in each task."""
+def map_texts(df: DataFrame, fn: Callable[[Any, dict[str, list], list[str]], dict[str, Any]], schema: str, setup: Callable[[], Any] | None = None, text: str = "text", most: int = 1 << 20) -> DataFrame:
+    """df through fn(state, other columns, texts) -> columns of schema, in pieces of about `most` bytes of text; setup makes the state once in each task."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -92,7 +92,7 @@ def map_texts(df: DataFrame, fn: Callable[[Any, dict[str, list], list[str]], dic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
-        for cols, texts in chunks(batches, text):
+        for cols, texts in chunks(batches, text, most):
             out = fn(state, cols, texts)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 

@@ -18,6 +18,8 @@ from doclens.llm.common import bounded_sample, map_texts, remainder_of
 
 DIM = 512
 SLOTS = 256
+#: Bytes of text that are encoded at a time: the arrays of a piece are some 50 times as large.
+_PIECE = 1 << 18
 
 
 @lru_cache(1)
@@ -91,7 +93,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 total[lang] = total.get(lang, 0) + v.astype(np.float64) / (np.linalg.norm(v) or 1)
         return {"lang": list(total), "v": [v.tolist() for v in total.values()]}
 
-    parts = map_texts(rows.select("text", "lang"), sums, "lang string, v array<double>")
+    parts = map_texts(rows.select("text", "lang"), sums, "lang string, v array<double>", most=_PIECE)
     profiles = parts.select("lang", F.posexplode("v")).groupBy("lang", "pos").agg(F.sum("col").alias("x"))
     out: dict[str, np.ndarray] = {}
     for lang, pos, x in profiles.collect():
@@ -125,7 +127,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "do
 
     ordered = docs.select(*cols, F.col(text_col).alias("__text"))
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in cols), "lang_pred string", "score double"])
-    return map_texts(ordered, run, schema, text="__text")
+    return map_texts(ordered, run, schema, text="__text", most=_PIECE)
 
 
 def predict(docs: DataFrame, most: int = 12000) -> DataFrame:
