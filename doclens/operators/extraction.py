@@ -64,7 +64,7 @@ def deadline_signature(c: Column) -> Column:
 
 def clean_place(c: Column) -> Column:
     """Parts between ; and , that aren't references to documents."""
-    kept = F.filter(F.transform(F.split(c, "[;,]"), F.trim), lambda x: (x != "") & ~x.rlike(JUNK))
+    kept = F.filter(F.transform(F.split(c, "[;,]"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(JUNK))
     return or_unknown(F.array_join(kept, "; "))
 
 
@@ -72,7 +72,7 @@ def legal_items(c: Column) -> Column:
     """The legal basis as at most 10 items of over 5 characters."""
     bare = F.trim(F.regexp_replace(F.regexp_replace(c, rf"{UI}^căn\s+cứ\s*:?", ""), rf"{U}^[-+*•\s]+", ""))
     items = F.filter(F.array(bare), lambda x: F.length(x) > 5)
-    by_mark = F.filter(F.transform(F.split(bare, ";"), F.trim), lambda x: F.length(x) > 5)
+    by_mark = F.filter(F.transform(F.split(bare, ";"), lambda x: F.trim(x)), lambda x: F.length(x) > 5)
     return F.slice(F.when(F.size(items) > 0, items).otherwise(by_mark), 1, 10)
 
 

@@ -61,7 +61,7 @@ def legal_basis(lines: Column) -> Column:
     start = first_match(lines, rf"{UI}^căn\s+cứ\b")
     rest = F.slice(lines, start + 1, F.size(lines))
     stop = F.coalesce(first_match(rest, BASIS_STOP) - 1, F.size(rest))
-    return F.coalesce(one_space(F.trim(F.concat_ws(" ", F.element_at(lines, start), F.array_join(F.slice(rest, F.lit(1), stop), " ")))), F.lit(""))
+    return F.coalesce(one_space(F.trim(F.concat_ws(" ", F.try_element_at(lines, start), F.array_join(F.slice(rest, F.lit(1), stop), " ")))), F.lit(""))
 
 
 def extract_metadata(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
