@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from doclens.llm.common import chunks, discard, id_of, key_of, written
 
 GRAM = 32
+#: From how many runs on a digit may be hot, and in how many shares its rows are joined.
+HOT, SHARES = 10_000, 64
 _rng = np.random.default_rng(100)
 _BYTES = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _ODD = _rng.integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -193,8 +195,16 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     texts = docs.select(key_of(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("key", F.hash("text").alias("tag"), "text")
     rows = texts.where(F.octet_length("text") >= length).mapInArrow(_run_rows(length), RUN)
     digit = F.shiftrightunsigned("anchor", 16)
-    often = rows.groupBy(digit.alias("digit")).count().where("count > 1").select("digit")
-    met = written(rows.join(often, digit == F.col("digit"), "left_semi"), "runs")
+    often = written(rows.groupBy(digit.alias("digit")).count().where("count > 1"), "digits")
+    # A digit that very many runs have is joined in shares of its rows. By their share of all rows, such digits are 1000 at most.
+    total = often.agg(F.sum("count")).first()[0] or 0
+    hot = F.broadcast(often.where(F.col("count") > max(HOT, total // 1000)).select(F.col("digit").alias("hot")))
+    shares = F.when(F.col("hot").isNotNull(), F.sequence(F.lit(0), F.lit(SHARES - 1))).otherwise(F.array(F.lit(0)))
+    dealt = often.join(hot, F.col("digit") == F.col("hot"), "left").select("digit", F.explode(shares).alias("share"))
+    share = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("key", "start"), F.lit(SHARES)).cast("int")).otherwise(0)
+    runs_ = rows.join(hot, digit == F.col("hot"), "left").withColumn("of", share).drop("hot")
+    met = written(runs_.join(dealt, (digit == F.col("digit")) & (F.col("of") == F.col("share")), "left_semi").drop("of"), "runs")
+    discard(often)
 
     later = F.struct("key", "start") > F.struct("first.key", "first.start")
     firsts = written(met.groupBy("anchor", "span").agg(F.min(F.struct("key", "start", "tag", "n", "sides")).alias("first")), "firsts")

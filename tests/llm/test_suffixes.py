@@ -52,6 +52,13 @@ def test_matches_brute_force(spark):
         assert sorted(map(tuple, got.collect())) == brute(rows)
 
 
+def test_hot_digits_are_joined_in_shares(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", 2)
+    rows = corpus(7)
+    got = suffixes.digest(spark.createDataFrame(rows, DOC).repartition(6))
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+
+
 def test_other_lengths(spark):
     rows = corpus(3)
     for length in (32, 45, 128):
