@@ -10,6 +10,11 @@ UI = "(?iuUd)"
 UNKNOWN = "không nói rõ"
 
 
+def let(c: Column, use) -> Column:
+    """use(c) with c computed once, however often use (or a lambda in it) names it."""
+    return F.transform(F.array(c), use)[0]
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(c, r"(?Ud)^\s+|\s+$", "")
@@ -42,3 +47,9 @@ def extract(c: Column, pattern: str, group: int = 0) -> Column:
 
 def ordered_distinct(c: Column) -> Column:
     return F.array_distinct(c)
+
+
+def title_head(c: Column) -> Column:
+    """Of the first five lines those of 4 to 99 characters, each after a space."""
+    lines = F.filter(F.transform(F.slice(F.split(strip(c), "\n", -1), 1, 5), strip), lambda x: (F.length(x) > 3) & (F.length(x) < 100))
+    return F.array_join(F.transform(lines, lambda x: F.concat(F.lit(" "), x)), "")

@@ -139,12 +139,26 @@ def chunk(text: str, most: int = 4000, depth: int = 5) -> list[dict]:
     return _joined(out, most)
 
 
-def split_recursive(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4000) -> DataFrame:
-    """(id, chunk_index, text, split_by, level, header) of the recursive split. Narrow: a document's chunks are made where it is read."""
+def chunk_arrays(text: Column, most: int = 4000) -> Column:
+    """The recursive split of a text as an array of chunks. Narrow: a document's chunks are made where it is read."""
 
     @F.pandas_udf(CHUNK)
     def chunks(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series([[c | {"chunk_index": i} for i, c in enumerate(chunk(t, most))] for t in batch])
 
-    return docs.select(F.col(id_col), F.explode(chunks(F.col(text_col))).alias("c")).select(id_col, "c.chunk_index", "c.text", "c.split_by", "c.level", "c.header")
+    return chunks(text)
+
+
+def split_recursive(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4000) -> DataFrame:
+    """(id, chunk_index, text, split_by, level, header) of the recursive split."""
+    return docs.select(F.col(id_col), F.explode(chunk_arrays(F.col(text_col), most)).alias("c")).select(id_col, "c.chunk_index", "c.text", "c.split_by", "c.level", "c.header")
+
+
+@F.udtf(returnType="chunk_index int, text string, split_by string, level int, header string")
+class SplitDocument:
+    """For SQL: SELECT ... FROM docs, LATERAL split_document(text), after spark.udtf.register("split_document", SplitDocument)."""
+
+    def eval(self, text: str):
+        for i, c in enumerate(chunk(text)):
+            yield i, c["text"], c["split_by"], c["level"], c["header"]

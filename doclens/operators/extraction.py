@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclens.functions.text import UI, U, UNKNOWN, extract, one_space, ordered_distinct
+from doclens.functions.text import UI, U, UNKNOWN, extract, let, one_space, ordered_distinct, strip
 
 DATE = r"\d{1,2}/\d{1,2}/\d{4}"
 #: The shapes of deadlines, in order.
@@ -20,20 +20,24 @@ DEADLINES = (
     rf"(?:muộn\s+nhất|chậm\s+nhất)\s+là\s+ngày\s+{DATE}",
     rf"thời\s+điểm\s+{DATE}",
 )
+REPORTS = rf"{UI}\b(?:báo cáo|tổng hợp|gửi)\b"
+#: The role of each verb, the role of others, and words of which one is in a unit's name.
+ROLE_VERBS = {"chủ trì": "chủ trì", "phối hợp": "phối hợp", "thực hiện": "thực hiện", "chịu trách nhiệm": "chủ trì", "có trách nhiệm": "thực hiện", "hỗ trợ": "hỗ trợ"}
+ROLE = "thực hiện"
+ORGANISATIONS = ("BHXH", "Bảo hiểm", "UBND", "Sở", "Phòng", "Bộ phận", "Bộ", "Cục", "Ban", "Tổ", "Đội", "Chi cục", "Trung tâm", "Tổng cục", "Hội đồng", "Công an", "Liên đoàn", "Tòa", "Viện", "cơ quan")
 BUDGET = r"(kinh phí[^.;\n]*|nguồn chi[^.;\n]*|ngân sách[^.;\n]*)"
 PLACE = r"(?:trên địa bàn|tại|trên phạm vi)\s+([^.;\n]{3,140})"
 START = rf"(?:từ ngày|bắt đầu từ ngày)\s*({DATE})"
 #: What a place can't begin with.
-JUNK = rf"{UI}^\s*(?:điểm\s+\w|tiết\s+\w|khoản\s+\d|mục\s+\d|phần mềm|đường dẫn|mẫu số|báo cáo tình|hội nghị đảm bảo|từ báo cáo)"
+JUNK = rf"{UI}^(?:điểm \d|tiết [a-z]|khoản \d|mục \d|phần mềm|đường dẫn|mẫu số|báo cáo tình|hội nghị đảm bảo|từ báo cáo)"
 
 
 def or_unknown(c: Column) -> Column:
-    return F.when(c == "", UNKNOWN).otherwise(c)
+    return F.regexp_replace(c, r"\A\z", UNKNOWN)
 
 
 def start_date(c: Column) -> Column:
-    d = extract(c, UI + START, 1)
-    return F.when(d == "", "").otherwise(F.concat(F.lit("từ "), d))
+    return F.regexp_replace(extract(c, UI + START, 1), r"\A(?=.)", "từ ")
 
 
 def budget(c: Column) -> Column:
@@ -44,42 +48,101 @@ def place(c: Column) -> Column:
     return or_unknown(F.btrim(extract(c, UI + PLACE, 1), F.lit(" ,")))
 
 
+def _hits(c: Column, pattern: str, order: int) -> Column:
+    """array<(at, order, phrase)> of a pattern's matches; the gaps between them give the places."""
+    once = F.struct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("found"), F.split(c, pattern, -1).alias("gaps"))
+    upto = lambda parts, n: F.length(F.array_join(F.slice(parts, F.lit(1), n), ""))
+    hit = lambda b, x, i: F.struct((upto(b["gaps"], i + 1) + upto(b["found"], i)).alias("at"), F.lit(order).alias("order"), x.alias("phrase"))
+    return let(once, lambda b: F.transform(b["found"], lambda x, i: hit(b, x, i)))
+
+
 def deadlines(c: Column) -> Column:
-    """All deadline phrases in the order of their shapes, single-spaced, each once."""
-    found = F.flatten(F.array(*[F.regexp_extract_all(c, F.lit(f"{UI}({p})"), F.lit(1)) for p in DEADLINES]))
-    return ordered_distinct(F.filter(F.transform(found, lambda x: F.trim(one_space(F.btrim(x, F.lit(" .,"))))), lambda x: x != ""))
+    """All deadline phrases in the order of the text (at one place in that of their shapes), of those that say the same the better one."""
+    found = F.array_sort(F.flatten(F.array(*[_hits(c, UI + p, k) for k, p in enumerate(DEADLINES)])))
+    once = ordered_distinct(F.filter(F.transform(found, lambda x: F.trim(one_space(F.btrim(x["phrase"], F.lit(" .,"))))), lambda x: x != ""))
+    return merged_deadlines(once)
 
 
 def normalized_deadline(c: Column) -> Column:
-    full = F.regexp_replace(c, rf"{UI}trước\s+(?:ngày\s+)?({DATE})", "trước ngày $1")
-    return F.trim(one_space(full))
+    """"trước ngày" a date becomes "trước"; a bare number of a period gets its "ngày"; single spaces."""
+    short = F.regexp_replace(strip(c), rf"{UI}\btrước ngày\s+({DATE})", "trước $1")
+    return F.btrim(one_space(F.regexp_replace(short, rf"{UI}\btrong thời hạn\s+(\d+)\s+kể từ\b", "trong thời hạn $1 ngày kể từ")), F.lit(" .,"))
 
 
 def deadline_signature(c: Column) -> Column:
     """(date, duration, kind) of a phrase; '' for what it lacks."""
-    t = F.lower(c)
-    kind = F.when(t.rlike(f"{U}báo cáo|tổng hợp|gửi"), "report").when(t.rlike(f"{U}trong thời hạn|kể từ|sau"), "execution").otherwise("generic")
-    return F.struct(extract(t, U + DATE).alias("date"), extract(t, rf"{U}\d+\s*(?:ngày|tháng)").alias("duration"), kind.alias("kind"))
+    t = F.lower(normalized_deadline(c))
+    kind = F.when(t.rlike(REPORTS), "report").when(t.rlike(rf"{U}\b(?:trong thời hạn|kể từ|sau)\b"), "execution").otherwise("generic")
+    return F.struct(extract(t, U + DATE).alias("date"), extract(t, rf"{U}\b\d+\s*(?:ngày|tháng)\b").alias("duration"), kind.alias("kind"))
+
+
+def _better(a: Column, b: Column) -> Column:
+    """The one that reports; of equals the longer, else the first."""
+    ra, rb = a.rlike(REPORTS), b.rlike(REPORTS)
+    return F.when(ra & ~rb, a).when(rb & ~ra, b).when(F.length(b) > F.length(a), b).otherwise(a)
+
+
+def merged_deadlines(phrases: Column) -> Column:
+    """Phrases in order; one with the date or period of an earlier one, or within it or around it, shares its place."""
+    part = lambda x, p: extract(F.lower(x), p)
+    same = lambda a, b, p: (part(b, p) != "") & (part(a, p) == part(b, p))
+
+    def related(a: Column, b: Column) -> Column:
+        return same(a, b, U + DATE) | same(a, b, rf"{U}\b\d+\s*(?:ngày|tháng)\b") | F.lower(a).contains(F.lower(b)) | F.lower(b).contains(F.lower(a))
+
+    def place(kept: Column, x: Column) -> Column:
+        first = F.array_position(F.transform(kept, lambda e: related(e, x)), F.lit(True))
+        return let(first, lambda at: F.when(at == 0, F.concat(kept, F.array(x))).otherwise(F.transform(kept, lambda e, i: F.when(i + 1 == at, _better(e, x)).otherwise(e))))
+
+    clean = F.filter(F.transform(phrases, normalized_deadline), lambda x: x != "")
+    return ordered_distinct(F.aggregate(clean, F.array().cast("array<string>"), place))
+
+
+def described_time(c: Column) -> Column:
+    """What follows "Thời gian (thực hiện):"; '' if that is only a date."""
+    said = F.btrim(extract(c, rf"{U}[Tt]hời gian(?:\s+thực hiện)?:\s*([^.\n]{{5,200}})", 1), F.lit(" ,;"))
+    return F.regexp_replace(said, rf"\A{DATE}\z", "")
+
+
+def when(c: Column) -> Column:
+    """Start, deadlines and described time, joined by "; "."""
+    said = F.filter(F.concat(F.array(start_date(c)), deadlines(c), F.array(described_time(c))), lambda x: x != "")
+    return or_unknown(F.array_join(said, "; "))
+
+
+def tasks(c: Column) -> Column:
+    """array<(don_vi, noi_dung, vai_tro)>: units before a role verb, then those that something is assigned to; each unit once."""
+
+    def units(pattern: str, role) -> Column:
+        all_of = lambda g: F.regexp_extract_all(c, F.lit(UI + pattern), F.lit(g))
+        return F.zip_with(all_of(1), all_of(2), lambda u, v: F.struct(F.btrim(u, F.lit(" ,")).alias("don_vi"), F.lit("").alias("noi_dung"), role(F.lower(v)).alias("vai_tro")))
+
+    verbs = F.create_map(*[F.lit(x) for pair in ROLE_VERBS.items() for x in pair])
+    by_verb = units(rf"([A-ZĐ][^.;\n]{{0,120}}?)\s+({'|'.join(ROLE_VERBS)})", lambda v: F.coalesce(F.try_element_at(verbs, v), F.lit(ROLE)))
+    assigned = units(r"(?:giao|giao cho)\s+([A-ZĐ][^.;\n]{0,120}?)\s+(thực hiện|triển khai|tổ chức)", lambda v: F.lit(ROLE))
+    known = F.filter(F.concat(by_verb, assigned), lambda t: t["don_vi"].rlike(rf"{UI}\b(?:{'|'.join(ORGANISATIONS)})\b"))
+    return let(known, lambda k: F.filter(k, lambda t, i: ~F.exists(F.slice(k, F.lit(1), i), lambda e: F.lower(e["don_vi"]) == F.lower(t["don_vi"]))))
 
 
 def clean_place(c: Column) -> Column:
     """Parts between ; and , that aren't references to documents."""
-    kept = F.filter(F.transform(F.split(c, "[;,]"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(JUNK))
+    kept = F.filter(F.transform(F.split(c, "[;,]", -1), strip), lambda x: (x != "") & ~x.rlike(JUNK))
     return or_unknown(F.array_join(kept, "; "))
 
 
 def legal_items(c: Column) -> Column:
-    """The legal basis as at most 10 items of over 5 characters."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(c, rf"{UI}^căn\s+cứ\s*:?", ""), rf"{U}^[-+*•\s]+", ""))
-    items = F.filter(F.array(bare), lambda x: F.length(x) > 5)
-    by_mark = F.filter(F.transform(F.split(bare, ";"), lambda x: F.trim(x)), lambda x: F.length(x) > 5)
-    return F.slice(F.when(F.size(items) > 0, items).otherwise(by_mark), 1, 10)
+    """The legal basis as at most 10 items of over 5 characters: by marks of lists; if that gives none, by ; and lines."""
+    bare = F.regexp_replace(strip(c), rf"{UI}^căn\s+cứ\s+", "")
+    marked = F.filter(F.transform(F.split(bare, rf"{U}(?:\A|\n)\s*(?:\d+\.|[a-z]\)|[-•])", -1), lambda x: F.btrim(x, F.lit(" ;,"))), lambda x: F.length(x) > 5)
+    parts = F.transform(F.filter(F.split(bare, "[;\n]", -1), lambda x: F.length(x) > 5), lambda x: F.btrim(x, F.lit(" ,-")))
+    return F.slice(F.when(F.size(marked) > 0, marked).otherwise(parts), 1, 10)
 
 
 def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, deadlines, kinh_phi, dia_diem) of each text. One pass, no shuffle."""
+    """(id, start, deadlines, thoi_gian, kinh_phi, dia_diem, nhiem_vu) of each text. One pass, no shuffle."""
     c = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col), start_date(c).alias("start"), deadlines(c).alias("deadlines"), budget(c).alias("kinh_phi"), place(c).alias("dia_diem"))
+    fields = {"start": start_date(c), "deadlines": deadlines(c), "thoi_gian": when(c), "kinh_phi": budget(c), "dia_diem": place(c), "nhiem_vu": tasks(c)}
+    return docs.select(F.col(id_col), *[x.alias(n) for n, x in fields.items()])
 
 
 def unknown_fields(df: DataFrame, *fields: str) -> DataFrame:

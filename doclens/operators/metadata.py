@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclens.functions.text import UI, U, extract, first_match, normalized_lines, one_space, strip_markdown
+from doclens.functions.text import UI, U, extract, first_match, normalized_lines, one_space, strip, strip_markdown
+from doclens.operators.chunking import PATTERNS
 
 NUMBER_LINE = rf"{UI}^số\s*:|^\d{{1,6}}\s*/\s*[A-ZĐ\-]+|^/[A-ZĐ\-]+"
 NUMBER = rf"{UI}số\s*:\s*(\d{{1,6}})\s*/\s*([A-ZĐ\-]+)"
@@ -64,9 +65,28 @@ def legal_basis(lines: Column) -> Column:
     return F.coalesce(one_space(F.trim(F.concat_ws(" ", F.try_element_at(lines, start), F.array_join(F.slice(rest, F.lit(1), stop), " ")))), F.lit(""))
 
 
+def body(text: Column, safe: bool = False) -> Column:
+    """The text without its header, and without blank lines.
+
+    It starts at the first heading (#) that isn't empty or the motto's last line; without headings, at the line of the first match of the
+    first chunk pattern, in their order, that matches at all: so a late chapter comes before an early article. Without either, only the
+    last line is left ('' if the text ends with a line end). With `safe` it starts at the earliest match of any pattern, and all stays without one.
+    """
+    lines = F.split(text, "\n", -1)
+    heading = first_match(F.transform(lines, lambda x: F.when(x.startswith("#"), F.lower(strip(F.ltrim(x, F.lit("#"))))).otherwise("")), r"\A(?!độc lập - tự do - hạnh phúc\z).")
+    starts = []
+    for _, pattern, fold in PATTERNS:
+        p = (UI if fold else U) + "(?m)" + pattern
+        starts.append(F.when(text.rlike(p), F.size(F.split(F.split(text, p, 2)[0], "\n", -1))))
+    at = F.coalesce(heading, F.least(*starts), F.lit(1)) if safe else F.coalesce(heading, *starts, F.size(lines))
+    return strip(F.array_join(F.filter(F.slice(lines, at, F.greatest(F.size(lines), F.lit(1))), lambda x: strip(x) != ""), "\n"))
+
+
 def extract_metadata(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, issuer, so_van_ban, ngay_ban_hanh, tieu_de, can_cu) of each document; '' for what is missing. One pass, no shuffle."""
+    """(id, issuer, so_van_ban, ngay_ban_hanh, tieu_de, can_cu, clean_text, body_text) of each document; '' for what is missing. One pass, no shuffle."""
+    clean = without_motto(F.coalesce(F.col(text_col), F.lit("")))
     plain = without_motto(strip_markdown(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = docs.select(F.col(id_col), plain.alias("plain")).withColumn("lines", normalized_lines(F.col("plain")))
+    rows = docs.select(F.col(id_col), clean.alias("clean_text"), plain.alias("plain")).withColumn("lines", normalized_lines(F.col("plain")))
     lines = F.col("lines")
-    return rows.select(id_col, issuer(lines).alias("issuer"), document_number(lines).alias("so_van_ban"), issue_date(F.col("plain")).alias("ngay_ban_hanh"), title(lines).alias("tieu_de"), legal_basis(lines).alias("can_cu"))
+    header = {"issuer": issuer(lines), "so_van_ban": document_number(lines), "ngay_ban_hanh": issue_date(F.col("plain")), "tieu_de": title(lines), "can_cu": legal_basis(lines)}
+    return rows.select(id_col, *[c.alias(n) for n, c in header.items()], "clean_text", body(F.col("clean_text")).alias("body_text"))

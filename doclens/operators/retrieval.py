@@ -49,6 +49,31 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def within(queries: DataFrame, corpus: DataFrame, least: float = 0.8) -> DataFrame:
+    """(query_id, id, similarity): all rows of corpus (id, v) with 1 - squared distance of at least `least` from a query (query_id, v), itself left out.
+
+    Queries are taken in blocks as in knn; a task writes its hits alone.
+    """
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    out = None
+    for b in range(blocks):
+        own = (queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries).select("query_id", "v").toPandas()
+        ids, q = own["query_id"].to_numpy(), np.stack(own["v"].to_numpy()).astype(np.float64) if len(own) else np.zeros((0, 1))
+
+        def hits(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                name, x = batch.column("id").to_numpy(), np.array(batch.column("v").to_pylist(), dtype=np.float64)
+                for i, one in enumerate(q if len(name) else ()):
+                    near = 1 - ((x - one) ** 2).sum(axis=1)
+                    rows = np.flatnonzero((near >= least) & (name != ids[i]))
+                    if len(rows):
+                        yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(rows)), pa.array(name[rows]), pa.array(near[rows])], names=["query_id", "id", "similarity"])
+
+        part = corpus.select("id", "v").mapInArrow(hits, "query_id long, id long, similarity double")
+        out = part if out is None else out.union(part)
+    return out
+
+
 def rank_fused(hits: DataFrame, k: int = 6) -> DataFrame:
     """(…, score, pos): score = 1 / (1 + dist), 0.05 more for law and for an article; of equal first 200 characters the best stays; the best k of each query.
 

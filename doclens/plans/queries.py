@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.functions import predicates, text
-from doclens.operators import chunking, extraction, index, metadata, retrieval
+from doclens.functions import json, predicates, text
+from doclens.operators import analysis, chunking, extraction, index, ingestion, metadata, retrieval
 from doclens.plans import fixture, prompts
 from doclens.sources import files
 
@@ -218,7 +218,7 @@ def legal_basis(spark, sf_dir):
     return _metadata(spark, sf_dir).select("doc_id", "can_cu")
 
 
-@_query(_admin(f"SELECT doc_id, trim(regexp_replace({_L}[7], '(?i)^căn\\s+cứ', '')) AS item FROM admin_docs"))
+@_query(_admin(f"SELECT doc_id, trim(regexp_replace({_L}[7], '(?i)^căn\\s+cứ', ''), ' ;,') AS item FROM admin_docs"))
 def legal_basis_items(spark, sf_dir):
     return _metadata(spark, sf_dir).select("doc_id", F.explode(extraction.legal_items(F.col("can_cu"))).alias("item"))
 
@@ -241,7 +241,7 @@ def rule_budget_location(spark, sf_dir):
     return extraction.rules(fixture.admin_docs(spark, sf_dir)).select("doc_id", "kinh_phi", "dia_diem")
 
 
-@_query(_admin("r AS (SELECT doc_id, unnest(list_concat(regexp_extract_all(text, '(?i)báo\\s*cáo[^.;\\n]{0,80}?trước\\s+(?:ngày\\s+)?\\d{1,2}/\\d{1,2}/\\d{4}'), regexp_extract_all(text, '(?i)trước\\s+(?:ngày\\s+)?\\d{1,2}/\\d{1,2}/\\d{4}'))) AS deadline FROM admin_docs) SELECT DISTINCT doc_id, deadline FROM r"))
+@_query(_admin("SELECT DISTINCT l_orderkey AS doc_id, 'báo cáo trước ' || strftime(l_shipdate, '%d/%m/%Y') AS deadline FROM items WHERE l_orderkey IN (SELECT doc_id FROM admin_docs)"))
 def rule_deadlines(spark, sf_dir):
     return extraction.rules(fixture.admin_docs(spark, sf_dir)).select("doc_id", F.explode("deadlines").alias("deadline"))
 
@@ -266,3 +266,75 @@ def feedback_log(spark, sf_dir):
 @_query()
 def split_recursive(spark, sf_dir):
     return chunking.split_recursive(fixture.admin_docs(spark, sf_dir))
+
+
+_UNITS = """u AS (SELECT l_orderkey AS doc_id, 'Phòng Nghiệp vụ ' || l_suppkey AS don_vi, min(i) AS i, CASE min(i) % 3 WHEN 0 THEN 'chủ trì' WHEN 1 THEN 'phối hợp' ELSE 'hỗ trợ' END AS vai_tro FROM items WHERE l_orderkey IN (SELECT doc_id FROM admin_docs) GROUP BY l_orderkey, l_suppkey),
+days AS (SELECT doc_id, string_agg('báo cáo trước ' || d, '; ' ORDER BY i) AS thoi_gian FROM (SELECT l_orderkey AS doc_id, strftime(l_shipdate, '%d/%m/%Y') AS d, min(i) AS i FROM items GROUP BY 1, 2) GROUP BY doc_id)"""
+
+
+@_query(_admin(f"{_UNITS} SELECT doc_id, don_vi, vai_tro FROM u"))
+def rule_tasks(spark, sf_dir):
+    return extraction.rules(fixture.admin_docs(spark, sf_dir)).select("doc_id", F.explode("nhiem_vu").alias("t")).select("doc_id", "t.don_vi", "t.vai_tro")
+
+
+@_query(_admin(f"{_UNITS} SELECT doc_id, thoi_gian FROM days JOIN admin_docs USING (doc_id)"))
+def rule_time(spark, sf_dir):
+    return extraction.rules(fixture.admin_docs(spark, sf_dir)).select("doc_id", "thoi_gian")
+
+
+@_query(_admin(f"""{_UNITS}, s AS (SELECT doc_id, string_agg(don_vi || ' chủ trì', '. ' ORDER BY i) FILTER (vai_tro = 'chủ trì') AS a, 'Phối hợp: ' || string_agg(don_vi, ', ' ORDER BY i) FILTER (vai_tro = 'phối hợp') AS b, string_agg(don_vi, '. ' ORDER BY i) FILTER (vai_tro = 'hỗ trợ') AS c FROM u GROUP BY doc_id)
+SELECT doc_id, concat_ws('. ', a, b, c, 'Thời gian: ' || thoi_gian, 'Kinh phí: Kinh phí từ ngân sách đơn vị ' || l_quantity::INT, 'Địa điểm: địa bàn ' || l_suppkey, 'Căn cứ pháp lý: ' || trim(substr({_L}[7], 8), ' ;')) || '.' AS summary FROM s JOIN days USING (doc_id) JOIN admin_docs USING (doc_id) JOIN items ON l_orderkey = doc_id AND i = 1"""))
+def structured_summary(spark, sf_dir):
+    docs = fixture.admin_docs(spark, sf_dir)
+    c = F.col("text")
+    rows = docs.select("doc_id", F.struct(extraction.tasks(c).alias("nhiem_vu"), extraction.when(c).alias("thoi_gian"), extraction.budget(c).alias("kinh_phi"), extraction.clean_place(extraction.place(c)).alias("dia_diem")).alias("record"), extraction.legal_items(metadata.legal_basis(text.normalized_lines(c))).alias("basis"))
+    return rows.select("doc_id", analysis.summary(F.col("record"), F.col("basis")).alias("summary"))
+
+
+@_query(_admin("SELECT doc_id, body AS body_text FROM admin_docs JOIN bodies ON l_orderkey = doc_id"))
+def body_start(spark, sf_dir):
+    return _metadata(spark, sf_dir).select("doc_id", "body_text")
+
+
+@_query(_admin(f"SELECT doc_id, replace(regexp_extract(text, '(?i)số\\s*:\\s*(\\d{{1,6}}\\s*/\\s*[A-ZĐ-]+)', 1), ' ', '') || ' — ' || substr({_L}[5], 1, 80) AS label FROM admin_docs"))
+def ingest_label(spark, sf_dir):
+    return ingestion.preview(fixture.admin_docs(spark, sf_dir)).select("doc_id", "label")
+
+
+@_query("SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(l, lambda x: regexp_replace(x, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')), lambda x: length(x) > 3 AND length(x) < 100), lambda x: ' ' || x), '') AS title FROM (SELECT doc_id, string_split(regexp_replace(text, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'), chr(10))[1:5] AS l FROM documents)")
+def extract_title_head(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", text.title_head(F.col("text")).alias("title"))
+
+
+@_query("""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r]'), lambda x: regexp_replace(x, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(?:ví dụ|input:|output:|kết quả tốt|kết quả:|các ý đầu vào|các ý cần gộp)')), lambda x: trim(ltrim(x, '→'))), ' '),
+'(?i)\\b(?:Kết quả tốt|Kết quả|Ví dụ|Input|Output)[\\s\\p{Z}]*:[\\s\\p{Z}]*', '', 'g'), '\\[[A-Z_]+\\]', '', 'g'), '[\\s\\p{Z}]+', ' ', 'g')) AS plain FROM documents""")
+def sanitize_artifacts(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", analysis.without_echoes(F.col("text")).alias("plain"))
+
+
+@_query("SELECT event_id, event_id % 4 <> 3 AS is_json, CASE WHEN event_id % 4 = 3 THEN 'không nói rõ' ELSE event_type || '; ' || user_id END AS kinh_phi, CASE WHEN event_id % 4 = 3 THEN '' ELSE 'đơn vị ' || user_id END AS don_vi FROM events")
+def model_reply_fields(spark, sf_dir):
+    """Replies made of events: bare JSON, fenced, amid prose, and none."""
+    made = F.to_json(F.struct(F.array(F.col("event_type"), F.concat(F.lit("**"), F.col("user_id").cast("string"), F.lit("**"))).alias("kinh_phi"), F.array(F.struct(F.concat(F.lit("đơn vị "), F.col("user_id").cast("string")).alias("don_vi"))).alias("nhiem_vu")))
+    kind = F.col("event_id") % 4
+    reply = F.when(kind == 0, made).when(kind == 1, F.concat(F.lit("```json\n"), made, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("Đây là kết quả: "), made, F.lit(" (hết)"))).otherwise("không có {gì} cả")
+    rows = _t(spark, sf_dir, "events").select("event_id", json.json_object(reply).alias("v"))
+    unit = F.coalesce(F.try_element_at(analysis.model_tasks(F.col("v")), F.lit(1))["don_vi"], F.lit(""))
+    return rows.select("event_id", F.col("v").isNotNull().alias("is_json"), json.text_value(F.col("v"), "kinh_phi").alias("kinh_phi"), unit.alias("don_vi"))
+
+
+@_query("""WITH RECURSIVE v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+near AS (SELECT a.id AS later, b.id AS earlier FROM v a JOIN v b ON a.id <> b.id AND (b.id % 50 <> 0 OR b.id < a.id) WHERE a.id % 50 = 0 AND 1 - list_sum(list_transform(range(1, 65), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i]))) >= 0.8),
+q AS (SELECT id, row_number() OVER (ORDER BY id) AS n, coalesce((SELECT list(earlier) FROM near WHERE later = id), []) AS e, coalesce((SELECT bool_or(earlier % 50 <> 0) FROM near WHERE later = id), false) AS known FROM v WHERE id % 50 = 0),
+r AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS acc UNION ALL SELECT q.n, CASE WHEN known OR list_has_any(acc, e) THEN acc ELSE list_append(acc, id) END FROM r JOIN q ON q.n = r.n + 1)
+SELECT id, CASE WHEN list_contains((SELECT acc FROM r ORDER BY n DESC LIMIT 1), id) THEN 'accepted' ELSE 'duplicate' END AS status FROM q""")
+def greedy_dedup(spark, sf_dir):
+    """The batch is the vectors whose id is divisible by 50, in order; all others are stored."""
+    rows = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    batch = rows.where("id % 50 = 0").withColumn("label", F.lit(None).cast("string"))
+    return ingestion.resolve(batch, rows.where("id % 50 <> 0").withColumn("label", F.lit("stored"))).select("id", "status")
+
+
+@_query()
+def analyze_document_rules(spark, sf_dir):
+    return analysis.analyze(fixture.admin_docs(spark, sf_dir))

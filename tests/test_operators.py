@@ -99,6 +99,6 @@ def test_sources_feedback_and_answers(spark, tmp_path):
 def test_rules(spark):
     text = "Bắt đầu từ ngày 1/2/2024. Gửi báo cáo trước 5/6/2024; trong thời hạn 10 ngày kể từ khi nhận. Kinh phí do đơn vị tự lo. Tại phường 5, điểm a"
     r = extraction.rules(spark.createDataFrame([(1, text)], DOC)).first()
-    assert r.start == "từ 1/2/2024" and r.kinh_phi == "Kinh phí do đơn vị tự lo" and "báo cáo trước 5/6/2024" in r.deadlines
+    assert r.start == "từ 1/2/2024" and r.kinh_phi == "Kinh phí do đơn vị tự lo" and r.deadlines == ["Gửi báo cáo trước 5/6/2024", "trong thời hạn 10 ngày kể từ khi nhận"]
     df = spark.createDataFrame([("Tại quận 1; khoản 2 điều 3, phường 5",), ("mục 3",)], "t string")
     assert [x[0] for x in df.select(extraction.clean_place(F.col("t"))).collect()] == ["Tại quận 1; phường 5", "không nói rõ"]
