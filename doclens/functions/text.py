@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 U = "(?Ud)"
 UI = "(?iuUd)"
 UNKNOWN = "không nói rõ"
+MARK = "\u0001"
 
 
 def let(c: Column, use) -> Column:

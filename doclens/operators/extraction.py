@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclens.functions.text import UI, U, UNKNOWN, extract, let, one_space, ordered_distinct, strip
+from doclens.functions.text import MARK, UI, U, UNKNOWN, extract, let, one_space, ordered_distinct, strip
 
 DATE = r"\d{1,2}/\d{1,2}/\d{4}"
 #: The shapes of deadlines, in order.
@@ -49,8 +49,8 @@ def place(c: Column) -> Column:
 
 
 def _hits(c: Column, pattern: str, order: int) -> Column:
-    """array<(at, order, phrase)> of a pattern's matches; the gaps between them give the places."""
-    once = F.struct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("found"), F.split(c, pattern, -1).alias("gaps"))
+    """array<(at, order, phrase)> of a pattern's matches; the gaps between them give the places. The mark is no pattern, so that split compiles none."""
+    once = F.struct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("found"), F.split(F.regexp_replace(c, pattern, MARK), MARK, -1).alias("gaps"))
     upto = lambda parts, n: F.length(F.array_join(F.slice(parts, F.lit(1), n), ""))
     hit = lambda b, x, i: F.struct((upto(b["gaps"], i + 1) + upto(b["found"], i)).alias("at"), F.lit(order).alias("order"), x.alias("phrase"))
     return let(once, lambda b: F.transform(b["found"], lambda x, i: hit(b, x, i)))
@@ -58,7 +58,7 @@ def _hits(c: Column, pattern: str, order: int) -> Column:
 
 def deadlines(c: Column) -> Column:
     """All deadline phrases in the order of the text (at one place in that of their shapes), of those that say the same the better one."""
-    found = F.array_sort(F.flatten(F.array(*[_hits(c, UI + p, k) for k, p in enumerate(DEADLINES)])))
+    found = let(F.replace(c, F.lit(MARK), F.lit(" ")), lambda t: F.array_sort(F.flatten(F.array(*[_hits(t, UI + p, k) for k, p in enumerate(DEADLINES)]))))
     once = ordered_distinct(F.filter(F.transform(found, lambda x: F.trim(one_space(F.btrim(x["phrase"], F.lit(" .,"))))), lambda x: x != ""))
     return merged_deadlines(once)
 

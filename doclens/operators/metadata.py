@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclens.functions.text import UI, U, extract, first_match, normalized_lines, one_space, strip, strip_markdown
+from doclens.functions.text import MARK, UI, U, extract, first_match, normalized_lines, one_space, strip, strip_markdown
 from doclens.operators.chunking import PATTERNS
 
 NUMBER_LINE = rf"{UI}^số\s*:|^\d{{1,6}}\s*/\s*[A-ZĐ\-]+|^/[A-ZĐ\-]+"
@@ -77,7 +77,8 @@ def body(text: Column, safe: bool = False) -> Column:
     starts = []
     for _, pattern, fold in PATTERNS:
         p = (UI if fold else U) + "(?m)" + pattern
-        starts.append(F.when(text.rlike(p), F.size(F.split(F.split(text, p, 2)[0], "\n", -1))))
+        before = F.substring_index(F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(" ")), p, MARK), MARK, 1)
+        starts.append(F.when(text.rlike(p), F.size(F.split(before, "\n", -1))))
     at = F.coalesce(heading, F.least(*starts), F.lit(1)) if safe else F.coalesce(heading, *starts, F.size(lines))
     return strip(F.array_join(F.filter(F.slice(lines, at, F.greatest(F.size(lines), F.lit(1))), lambda x: strip(x) != ""), "\n"))
 

@@ -223,6 +223,11 @@ def legal_basis_items(spark, sf_dir):
     return _metadata(spark, sf_dir).select("doc_id", F.explode(extraction.legal_items(F.col("can_cu"))).alias("item"))
 
 
+def _each(rows: DataFrame, items: str, name: str) -> DataFrame:
+    """(doc_id, name) for each item. Outer, as plain explode makes Spark compute the items once more, to filter by their number."""
+    return rows.select("doc_id", F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+
+
 _PIECES = "p AS (SELECT doc_id, string_split(regexp_replace(text, '(?m)^Điều \\d+', chr(1) || '\\0', 'g'), chr(1)) AS p FROM admin_docs), c AS (SELECT doc_id, unnest(range(len(p))) AS chunk_index, unnest(p) AS x, len(p) AS n FROM p)"
 
 
@@ -243,12 +248,12 @@ def rule_budget_location(spark, sf_dir):
 
 @_query(_admin("SELECT DISTINCT l_orderkey AS doc_id, 'báo cáo trước ' || strftime(l_shipdate, '%d/%m/%Y') AS deadline FROM items WHERE l_orderkey IN (SELECT doc_id FROM admin_docs)"))
 def rule_deadlines(spark, sf_dir):
-    return extraction.rules(fixture.admin_docs(spark, sf_dir)).select("doc_id", F.explode("deadlines").alias("deadline"))
+    return _each(extraction.rules(fixture.admin_docs(spark, sf_dir)), "deadlines", "deadline")
 
 
 @_query(_admin("r AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)báo\\s*cáo[^.;\\n]{0,80}?trước\\s+(?:ngày\\s+)?\\d{1,2}/\\d{1,2}/\\d{4}')) AS d FROM admin_docs) SELECT DISTINCT doc_id, regexp_extract(d, '\\d{1,2}/\\d{1,2}/\\d{4}') AS date, '' AS duration, 'report' AS kind FROM r"))
 def deadline_signature(spark, sf_dir):
-    rows = extraction.rules(fixture.admin_docs(spark, sf_dir)).select("doc_id", F.explode("deadlines").alias("d")).where("d like 'báo%'")
+    rows = _each(extraction.rules(fixture.admin_docs(spark, sf_dir)), "deadlines", "d").where("d like 'báo%'")
     return rows.select("doc_id", extraction.deadline_signature(extraction.normalized_deadline(F.col("d"))).alias("s")).select("doc_id", "s.*")
 
 
@@ -274,7 +279,7 @@ days AS (SELECT doc_id, string_agg('báo cáo trước ' || d, '; ' ORDER BY i)
 
 @_query(_admin(f"{_UNITS} SELECT doc_id, don_vi, vai_tro FROM u"))
 def rule_tasks(spark, sf_dir):
-    return extraction.rules(fixture.admin_docs(spark, sf_dir)).select("doc_id", F.explode("nhiem_vu").alias("t")).select("doc_id", "t.don_vi", "t.vai_tro")
+    return _each(extraction.rules(fixture.admin_docs(spark, sf_dir)), "nhiem_vu", "t").select("doc_id", "t.don_vi", "t.vai_tro")
 
 
 @_query(_admin(f"{_UNITS} SELECT doc_id, thoi_gian FROM days JOIN admin_docs USING (doc_id)"))
