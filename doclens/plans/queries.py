@@ -292,7 +292,7 @@ SELECT doc_id, concat_ws('. ', a, b, c, 'Thời gian: ' || thoi_gian, 'Kinh phí
 def structured_summary(spark, sf_dir):
     docs = fixture.admin_docs(spark, sf_dir)
     c = F.col("text")
-    rows = docs.select("doc_id", F.struct(extraction.tasks(c).alias("nhiem_vu"), extraction.when(c).alias("thoi_gian"), extraction.budget(c).alias("kinh_phi"), extraction.clean_place(extraction.place(c)).alias("dia_diem")).alias("record"), extraction.legal_items(metadata.legal_basis(text.normalized_lines(c))).alias("basis"))
+    rows = docs.select("doc_id", F.struct(extraction.tasks(c).alias("nhiem_vu"), extraction.when(c).alias("thoi_gian"), extraction.budget(c).alias("kinh_phi"), extraction.clean_place(extraction.place(c)).alias("dia_diem")).alias("record"), extraction.legal_items(text.let(text.normalized_lines(c), metadata.legal_basis)).alias("basis"))
     return rows.select("doc_id", analysis.summary(F.col("record"), F.col("basis")).alias("summary"))
 
 
