@@ -87,3 +87,39 @@ def test_items_in_blocks_give_the_same(spark, monkeypatch):
     whole = key(D.contaminated(df, bench).collect())
     monkeypatch.setattr(D, "_BLOCK_ROWS", 7)
     assert key(D.contaminated(df, bench).collect()) == whole
+
+
+def edited(rnd, words, edits):
+    """words after so many random substitutions, insertions and deletions."""
+    w = list(words)
+    for k in range(edits):
+        i, kind = rnd.randrange(len(w)), rnd.randrange(3)
+        if kind == 1 and len(w) > 1:
+            del w[i]
+        else:
+            w[i : i + (kind == 0)] = [f"new{k}"]
+    return w
+
+
+def test_recall_by_item_length_at_the_full_allowed_distance():
+    """All windows are found, whatever the item's length: at least 60 items of each length from 1 to 60 words, with all edits allowed."""
+    rnd = random.Random(12)
+    say = lambda n: [f"w{rnd.randrange(3000)}" for _ in range(n)]
+    for n in range(1, 61):
+        items = [(k, " ".join(say(n))) for k in range(60)]
+        most = int(0.2 * n + 1e-9)
+        texts = [" ".join(say(rnd.randrange(12)) + edited(rnd, t.split(), most) + say(rnd.randrange(12))) for _, t in items]
+        assert {(d, k) for d, k, *_ in D.Index(items, 0.8).matches(texts)} >= {(k, k) for k in range(60)}, n
+
+
+def test_recall_with_the_edits_spread_evenly():
+    """The worst case: the edits leave the shortest possible runs."""
+    for n in range(5, 61):
+        item = [f"w{i}" for i in range(n)]
+        most = int(0.2 * n + 1e-9)
+        for kind in range(3):
+            words = list(item)
+            for e in range(most, 0, -1):
+                i = e * (n + 1) // (most + 1) - 1
+                words[i : i + (kind != 2)] = [] if kind == 1 else ["new"]
+            assert D.Index([(0, " ".join(item))], 0.8).matches([" ".join(["a", *words, "b"])]), (n, kind)
