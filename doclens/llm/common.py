@@ -99,6 +99,11 @@ def map_texts(df: DataFrame, fn: Callable[[Any, dict[str, list], list[str]], dic
     return df.mapInArrow(run, schema)
 
 
+def mark_of(text_col: str) -> Column:
+    """A 64-bit hash of the text, by which rows that share an id are told apart; never null."""
+    return F.xxhash64(text_col)
+
+
 def remainder_of(id_col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; a null id has none."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % mod

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclens.llm.common import map_texts
+from doclens.llm.common import key_of, map_texts, mark_of
 
 _WORD = re.compile(r"\w+")
 _BLOCK_ROWS = 1000
@@ -208,10 +208,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     come out null; repeated rows give repeated rows. Other columns aren't read. Items are read in blocks of about 1000,
     each a pass over the documents, so what a task holds of them is bounded.
     """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _found(rows, {"doc_id": "long"}, benchmark, item_col, item_text, similarity)
+
+
+def _found(rows: DataFrame, carry: dict[str, str], benchmark: DataFrame, item_col: str, item_text: str, similarity: float) -> DataFrame:
+    """What contaminated gives, with the columns (and their types) of rows in carry in the place of doc_id."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where(F.trim("text") != "")
     blocks = max(1, -(-items.count() // _BLOCK_ROWS))
     out = None
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
         index = Index(sorted(map(tuple, own.collect()), key=str), similarity)
@@ -220,8 +225,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def run(state, cols, texts, index=index):
             found = index.matches(texts)
             n = [index.items[k][1] for _, k, *_ in found]
-            return {
-                "doc_id": [cols["doc_id"][d] for d, *_ in found],
+            return {c: [cols[c][d] for d, *_ in found] for c in carry} | {
                 "item_id": [index.items[k][0] for _, k, *_ in found],
                 "n_words": n,
                 "edit_distance": [e for _, _, e, *_ in found],
@@ -230,12 +234,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 "word_end": [x[4] for x in found],
             }
 
-        part = map_texts(rows, run, "doc_id long, item_id long, n_words int, edit_distance int, similarity double, word_start int, word_end int")
+        part = map_texts(rows, run, "".join(f"{c} {kind}, " for c, kind in carry.items()) + "item_id long, n_words int, edit_distance int, similarity double, word_start int, word_end int")
         out = part if out is None else out.union(part)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = 0.8) -> DataFrame:
-    """The rows of docs without a passage of the benchmark; rows and columns are otherwise those of docs. A null id marks all rows with a null id."""
-    bad = contaminated(docs, benchmark, id_col, text_col, item_col, item_text, similarity).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad")), "left_anti")
+    """The rows of docs without a passage of the benchmark; rows and columns are otherwise those of docs.
+
+    A row is known by its id and its text's 64-bit hash, so of rows that share an id (or have none) only those with a passage go.
+    """
+    marked = docs.select(key_of(id_col).alias("__key"), mark_of(text_col).alias("__mark"), F.col(text_col).alias("text"))
+    bad = _found(marked, {"__key": "long", "__mark": "long"}, benchmark, item_col, item_text, similarity).select("__key", "__mark").distinct()
+    rows = docs.withColumns({"__key": key_of(id_col), "__mark": mark_of(text_col)})
+    return rows.join(bad, ["__key", "__mark"], "left_anti").select(docs.columns)

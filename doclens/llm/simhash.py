@@ -14,11 +14,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from doclens.llm.common import id_of, key_of, map_texts, written
+from doclens.llm.common import id_of, key_of, map_texts, mark_of, written
 from doclens.llm.graph import components
 
 #: Six blocks of the 64 bits, as (lowest bit, width).
@@ -51,14 +51,17 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(key, fp): the id (key_of) and the signed 64-bit fingerprint of every row; a null text counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, marked: bool = False) -> DataFrame:
+    """(key, fp): the id (key_of) and the signed 64-bit fingerprint of every row; a null text counts as empty. If marked, mark (mark_of) too."""
+    carry = {"key": key_of(id_col)} | ({"mark": mark_of(text_col)} if marked else {})
+    names = tuple(carry)
 
     def run(_, cols, texts):
         fps = np.fromiter((fingerprint(shingle_hashes(t, shingle)) for t in texts), dtype=np.uint64, count=len(texts))
-        return {"key": cols["key"], "fp": fps.view(np.int64)}
+        return {k: cols[k] for k in names} | {"fp": fps.view(np.int64)}
 
-    return map_texts(docs.select(key_of(id_col).alias("key"), F.col(text_col).alias("text")), run, "key long, fp long")
+    rows = docs.select(*[c.alias(k) for k, c in carry.items()], F.col(text_col).alias("text"))
+    return map_texts(rows, run, ", ".join(f"{k} long" for k in (*names, "fp")))
 
 
 def _planes(fps: np.ndarray) -> np.ndarray:
@@ -235,16 +238,27 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     any other, so its group's component_id is null. Repeated rows give repeated rows. Other columns of docs aren't read.
     """
     fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("key").alias("least"))
+    known = _least(fps, F.col("key"), radius)
+    return fps.join(known, "fp").select(id_of("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_of("component").alias("component_id"))
+
+
+def _least(fps: DataFrame, value: Column, radius: int) -> DataFrame:
+    """(fp, component) of every distinct fingerprint: the least value of the rows of its group."""
+    distinct = fps.groupBy("fp").agg(F.min(value).alias("least"))
     roots = components(links(distinct.select("fp"), radius)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     linked = distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
-    known = written(linked.join(least, "root").select("fp", "component"), "components")
-    return fps.join(known, "fp").select(id_of("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_of("component").alias("component_id"))
+    return written(linked.join(least, "root").select("fp", "component"), "components")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that stay: of each group the smallest id's, one of them if it repeats. Columns are those of docs."""
-    gone = groups(docs, id_col, text_col, shingle, radius).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
-    return kept.dropDuplicates([id_col])
+    """The rows of docs that stay: one of each group, of the smallest id; of rows of that id, the one whose text has the least hash.
+
+    A row is known by its id and its text's 64-bit hash, so rows that share an id (or have none) but not a text are judged apart.
+    Repeated rows are one. Columns are those of docs.
+    """
+    fps = written(fingerprints(docs, id_col, text_col, shingle, marked=True), "fingerprints")
+    row = F.struct("key", "mark")
+    gone = fps.join(_least(fps, row, radius), "fp").where(row != F.col("component")).select(F.col("key").alias("__key"), F.col("mark").alias("__mark")).distinct()
+    rows = docs.withColumns({"__key": key_of(id_col), "__mark": mark_of(text_col)})
+    return rows.join(gone, ["__key", "__mark"], "left_anti").dropDuplicates(["__key", "__mark"]).select(docs.columns)

@@ -123,3 +123,9 @@ def test_recall_with_the_edits_spread_evenly():
                 i = e * (n + 1) // (most + 1) - 1
                 words[i : i + (kind != 2)] = [] if kind == 1 else ["new"]
             assert D.Index([(0, " ".join(item))], 0.8).matches([" ".join(["a", *words, "b"])]), (n, kind)
+
+
+def test_of_rows_that_share_an_id_only_those_with_a_passage_go(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon")], ITEM)
+    docs = spark.createDataFrame([(None, "x alpha beta gamma delta epsilon y"), (None, "one"), (None, "two"), (None, None), (4, "alpha beta gamma delta epsilon"), (4, "three"), (4, "three")], DOC)
+    assert sorted(str(r.text) for r in D.clean(docs, bench).collect()) == ["None", "one", "three", "three", "two"]

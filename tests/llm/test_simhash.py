@@ -98,3 +98,12 @@ def test_empty_table_extra_columns_nulls_and_repeats(spark):
 def test_fingerprint_of_a_long_text_is_summed_in_pieces():
     text = " ".join(f"w{i}" for i in range(9000))
     assert simhash.fingerprint(simhash.shingle_hashes(text)) == plain(text)
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    say = lambda seed: " ".join(f"w{random.Random(seed * 1000 + i).randrange(9000)}" for i in range(60))
+    rows = [(None, say(1)), (None, say(2)), (None, say(2)), (None, say(3).upper()), (5, say(3)), (6, say(4)), (6, say(1)), (6, say(6)), (7, say(4)), (8, None), (8, "")]
+    kept = simhash.representatives(spark.createDataFrame(rows, DOC).repartition(4)).collect()
+    texts = sorted((str(r.doc_id), r.text) for r in kept if r.doc_id != 8)
+    assert texts == sorted([("None", say(1)), ("None", say(2)), ("None", say(3).upper()), ("6", say(4)), ("6", say(6))])
+    assert len(kept) == 6
