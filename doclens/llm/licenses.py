@@ -37,6 +37,25 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 }
+#: Compared with windows of words only: what TEMPLATES lacks.
+FULLER: dict[str, tuple[str, ...]] = {
+    "MIT": (
+        "This code is licensed under the MIT License.",
+        TEMPLATES["MIT"][2] + ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    ),
+    "BSD-2-Clause": (
+        "Distributed under the BSD 2-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS",
+    ),
+    "BSD-3-Clause": ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",),
+    "LGPL-2.1": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",),
+    "LGPL-3.0": ("This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+    "AGPL-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+    "CC0-1.0": ("To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",),
+    "Unlicense": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",),
+}
+#: The opening that all BSD licences share tells none of them in a longer text.
+_SHARED = TEMPLATES["BSD-3-Clause"][1]
 LEAST = 0.8
 _WORD = re.compile(r"[a-z0-9]+")
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
@@ -51,9 +70,14 @@ class Scanner:
     """Templates by size: only those that could reach the coefficient at a part's size are compared with it."""
 
     def __init__(self, templates: dict[str, tuple[str, ...]], least: float) -> None:
-        known = sorted(((len(b), name, b) for name, texts in templates.items() for b in map(bigrams, texts) if b), key=lambda x: (x[0], x[1]))
+        known = sorted(((len(b), name, b, len(_WORD.findall(t.lower()))) for name, texts in templates.items() for t in texts if (b := bigrams(t))), key=lambda x: (x[0], x[1]))
         self.sizes, self.known, self.least = [x[0] for x in known], known, least
-        self.words = {w for _, _, b in known for pair in b for w in pair}
+        self.words = {w for _, _, b, _ in known for pair in b for w in pair}
+        self.lengths, self.where = [x[3] for x in known], {}
+        for k, (_, _, b, _) in enumerate(known):
+            for pair in b:
+                self.where.setdefault(pair, []).append(k)
+        self.known = [x[:3] for x in known]
 
     def _allowed(self, size: int) -> list:
         # 2 min / (a + b) >= t holds for b from a t / (2 - t) to a (2 - t) / t.
@@ -74,6 +98,58 @@ class Scanner:
                     best[name] = (dice, kind)
         return best
 
+    def windows(self, text: str, but: dict) -> dict[str, tuple[float, str]]:
+        """For each licence that is not in `but` and that a window of words reaches, its largest coefficient.
+
+        A window begins with a bigram of the template and has as many words as the template or more, up to the size bound;
+        near the end of the text it is the last words of it.
+        """
+        words = _WORD.findall(text.lower())
+        if len(words) < 2 or self.words.isdisjoint(words):
+            return {}
+        pairs = list(zip(words, words[1:], strict=False))
+        shared = self.where.keys() & set(pairs)
+        held: dict[int, int] = {}
+        for p in shared:
+            for k in self.where[p]:
+                held[k] = held.get(k, 0) + 1
+        r = self.least / (2 - self.least)
+        best: dict[str, tuple[float, str]] = {}
+        # Of a template with b bigrams, a window that reaches the coefficient holds b r at least.
+        for k in sorted(k for k, c in held.items() if c >= self.known[k][0] * r - 1e-9 and self.known[k][1] not in but):
+            n, name, theirs = self.known[k]
+            dice = self._window(pairs, theirs, self.lengths[k] - 1, n / r + 1e-9)
+            if dice >= self.least and (name not in best or dice > best[name][0]):
+                best[name] = (dice, "window")
+        return best
+
+    @staticmethod
+    def _window(pairs: list[tuple[str, str]], theirs: set, length: int, most: float) -> float:
+        """The largest coefficient of the windows of pairs, of `length` pairs or more."""
+        best, n, last, done = 0.0, len(theirs), max(0, len(pairs) - length), -1
+        for s, p in enumerate(pairs):
+            if p not in theirs or min(s, last) == done:
+                continue
+            done = s = min(s, last)
+            own: set = set()
+            both = 0
+            for e in range(s, len(pairs)):
+                q = pairs[e]
+                if q not in own:
+                    own.add(q)
+                    both += q in theirs
+                    if len(own) > most:
+                        break
+                elif q == pairs[s] and e - s >= length:
+                    break  # a later start has the same without the first
+                if e - s + 1 >= min(length, len(pairs)):
+                    best = max(best, 2 * both / (len(own) + n))
+                    if both == n:
+                        break
+            if best == 1.0:
+                break
+        return best
+
     @staticmethod
     def _parts(text: str) -> Iterator[tuple[str, str]]:
         lines = text.split("\n")
@@ -87,26 +163,39 @@ class Scanner:
             yield "text", text
 
 
-def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] | None = None, least: float = LEAST) -> DataFrame:
+def with_fuller() -> dict[str, tuple[str, ...]]:
+    """The templates that windows are compared with."""
+    return {k: tuple(t for t in (*TEMPLATES.get(k, ()), *FULLER.get(k, ())) if t != _SHARED) for k in TEMPLATES | FULLER}
+
+
+def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] | None = None, least: float = LEAST, windows: bool = False) -> DataFrame:
     """One row for each document and licence that its text names: doc_id, license, dice, part.
 
     Parts are the whole text, its paragraphs (between blank lines) and its lines. Of each, the distinct word bigrams (runs of a-z and
     0-9, lower-cased) are compared with each template of a size that can reach `least`; dice is the largest coefficient of the licence's
     templates, part the smallest kind that has it. Null and empty texts, and parts of one word, match nothing. Repeated rows give
     repeated rows, null ids stay. Other columns aren't read.
+
+    With windows, licences that no part reaches are looked for in windows of words over the whole text, across lines and paragraphs
+    (Scanner.windows), with the templates of FULLER besides; their part is 'window'.
     """
     kind = dict(docs.dtypes)[id_col]
     use = TEMPLATES if templates is None else templates
+    wide = {} if not windows else with_fuller() if templates is None else templates
 
-    def run(scanner, cols, texts):
+    def run(scanners, cols, texts):
+        scanner, wider = scanners
         out: dict[str, list] = {k: [] for k in ("doc_id", "license", "dice", "part")}
         for doc, t in zip(cols["doc_id"], texts, strict=True):
-            for name, (dice, part) in sorted(scanner.scan(t).items()):
+            found = scanner.scan(t)
+            if windows:
+                found |= wider.windows(t, found)
+            for name, (dice, part) in sorted(found.items()):
                 for k, v in zip(out, (doc, name, dice, part), strict=True):
                     out[k].append(v)
         return out
 
-    return map_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, license string, dice double, part string", lambda: Scanner(use, least))
+    return map_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, license string, dice double, part string", lambda: (Scanner(use, least), Scanner(wide, least)))
 
 
 def sql(least: float = LEAST) -> str:

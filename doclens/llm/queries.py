@@ -19,7 +19,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.licenses(table(spark, sf_dir, "documents"))
+    return licenses.licenses(table(spark, sf_dir, "documents"), windows=True)
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,3 +42,63 @@ def test_nulls_repeats_and_extra_columns(spark):
     got = L.licenses(df).collect()
     assert sorted(str(r.doc_id) for r in got) == ["7", "7", "None"] and {r.license for r in got} == {"MIT"}
     assert L.licenses(df.limit(0)).count() == 0
+
+
+def test_notices_inside_lines_and_across_paragraphs(spark):
+    apache = L.TEMPLATES["Apache-2.0"][1].replace("at http", "at\n\n    http").replace("2.0 Unless", "2.0\n\nUnless")
+    prose = "Here is what else the document says, and it goes on for some time about other things."
+    long = " ".join(f"word{i}" for i in range(120))
+    rows = [
+        (1, f"{prose}\n\n{apache}\n\n{long}", {"Apache-2.0"}),
+        (2, "This code is released under the MIT License.", {"MIT"}),
+        (3, "See the notes. Released under the MIT License.", {"MIT"}),
+        (4, f"{prose} {L.FULLER['LGPL-2.1'][0]} {prose}", {"LGPL-2.1"}),
+        (5, f"{prose} {L.FULLER['Unlicense'][0]} {prose}", {"Unlicense"}),
+        (6, "This project is licensed under the terms of its owner, and this work is licensed under no licence at all.", set()),
+        (7, f"{prose} Released\n\nunder the MIT\nLicense", {"MIT"}),
+        (8, f"{prose} {L.FULLER['BSD-2-Clause'][1]} {prose}", {"BSD-2-Clause"}),
+        (9, None, set()),
+        (10, prose * 50, set()),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], DOC)
+    got = L.licenses(df, windows=True).collect()
+    for d, _, want in rows:
+        assert {r.license for r in got if r.doc_id == d} >= want and bool(want) == any(r.doc_id == d for r in got), d
+    assert {r.part for r in got if r.doc_id == 1 or r.license in ("LGPL-2.1", "Unlicense")} == {"window"}
+    assert all(r.dice == 1 for r in got if r.doc_id in (1, 2, 3) and r.license in ("Apache-2.0", "MIT"))
+    assert {r.license for r in got if r.doc_id == 8} == {"BSD-2-Clause"}
+
+
+def test_windows_match_all_windows():
+    rnd = random.Random(4)
+    templates = L.with_fuller()
+    scanner = L.Scanner(templates, 0.8)
+    short = [(k, t) for k, ts in templates.items() for t in ts if len(t) < 100]
+    hits = 0
+    for _ in range(150):
+        words = []
+        for _ in range(3):
+            own = rnd.choice(short)[1].split()
+            for _ in range(rnd.randint(0, 2)):
+                own[rnd.randrange(len(own))] = rnd.choice(["x", "and", "the"])
+            words += [rnd.choice(["the", "y", "under"]) for _ in range(rnd.randint(0, 9))] + own
+        text = " ".join(words)
+        ws = L._WORD.findall(text.lower())
+        want = {}
+        for name, t in short:
+            theirs, n = L.bigrams(t), len(L._WORD.findall(t.lower()))
+            for a in range(len(ws)):
+                for b in range(a + n, len(ws) + 1):
+                    own = set(zip(ws[a:b], ws[a + 1 : b]))
+                    d = 2 * len(own & theirs) / (len(own) + len(theirs))
+                    if d >= 0.8 and d > want.get(name, 0):
+                        want[name] = d
+        assert {k: v[0] for k, v in scanner.windows(text, {}).items()} == want
+        hits += len(want)
+    assert hits > 100
+
+
+def test_windows_add_rows_and_change_none(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    key = lambda rows: {tuple(r) for r in rows if r.part != "window"}
+    assert key(L.licenses(df).collect()) == key(L.licenses(df, windows=True).collect())
