@@ -13,7 +13,10 @@ from doclens.llm.common import remainder_of, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a language (null, or without any letter) go."""
+    """Texts without a language (null, or without any letter) go.
+
+    Whether a text has a letter decides alone: neither the predicted language nor its score, however low, removes a row.
+    """
     held = F.coalesce(remainder_of("doc_id", 4) == 2, F.lit(False))
     profiles = langid.learn(docs.where(~held))
     known = langid.identify(docs, profiles, carry=tuple(c for c in docs.columns if c != "doc_id"))
