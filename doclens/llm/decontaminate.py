@@ -1,18 +1,21 @@
 """Benchmark decontamination: passages of benchmark items in documents, by word edit distance.
 
-A word sequence is walked as in the CGK embedding (Chakraborty, Goldenberg and Koucky, 2016):
-step j writes the current word and moves on if a random bit of (j, word) says so. Items are walked
-from all their offsets, documents from every word, a few times with other bits; where all walks write
-the same words is a candidate, which is verified: the exact edit distance of the item to the best
-window around the place. A walk takes as many steps as an item within the allowed distance has words
-in a row unedited somewhere (e edits leave n - e words in e + 1 runs at most). It never gets past
-them, so both sides write the same there: no passage within the distance is missed.
+The CGK embedding (Chakraborty, Goldenberg and Koucky, 2016) walks a word sequence: step j writes the current word and
+moves on if a random bit of (j, word) says so. Two sequences at a small edit distance get embeddings at a small Hamming
+distance, as their walks fall into step again after an edit. Items are dealt to kinds by length. For each kind, windows of
+its length are embedded from every word of the documents, by a fresh walk in each repetition; where SAMPLED randomly
+chosen steps of a repetition write the same words as they do for an item, the window is a candidate. The number of repetitions
+follows from the target recall (repetitions). Candidates are verified: the exact edit distance of the item to the best window around.
+
+Windows without enough words of the kind's items are not walked at all: none of them is within the distance.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
+from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
@@ -22,18 +25,33 @@ from pyspark.sql import functions as F
 from doclens.llm.common import key_of, map_texts, mark_of
 
 _WORD = re.compile(r"\w+")
-_BLOCK_ROWS = 1000
+_BLOCK_ROWS = 5000
 
 
-#: Walks from each start: each has its own random bits, so together they nearly see all words that a walk may reach.
-WALKS = 4
-#: Steps of a walk at most.
-MOST_STEPS = 8
+#: Steps of an embedding that a repetition samples.
+SAMPLED = 3
+#: Of items at the full allowed distance, the share that the candidates hold at least, about.
+RECALL = 0.99
+#: Words of a window at most; longer items are cut into parts, of which one has no more than its share of the edits.
+LONGEST = 64
+#: How much longer than its shortest the longest item of a kind may be.
+SPREAD = 1.15
 
 
-def steps_of(n: int, most: int) -> int:
-    """Words in a row that an item of n words keeps unedited somewhere under `most` edits, MOST_STEPS at most."""
-    return min(MOST_STEPS, -(-(n - most) // (most + 1)))
+def allowed(n: int, similarity: float) -> int:
+    return int((1 - similarity) * n + 1e-9)
+
+
+def repetitions(n: int, edits: int, recall: float = RECALL) -> int:
+    """Walks for items of n words. Without edits, one: all its steps agree.
+
+    With edits, measured at a fifth of the words (evenly spaced, the hardest): the sampled steps of one walk agree with a
+    probability of about 0.28 for up to 15 words, which falls with the power 0.6 of the length. As some edits are harder than others, a third more are made.
+    """
+    if not edits:
+        return 1
+    once = 0.28 * min(1.0, (15 / n) ** 0.6)
+    return math.ceil(1.33 * math.log(1 - recall) / math.log(1 - once))
 
 
 def words_of(text: str) -> list[str]:
@@ -83,65 +101,116 @@ def least_distance(item: list, words: list) -> int:
     return best
 
 
+@dataclass
+class Kind:
+    """Windows of the lengths of some items (or their parts): `walks` has the sampled steps of each repetition and what the items write there."""
+
+    reach: int  # words of a window within the distance, at most
+    need: int  # words of the items among them, at least
+    known: np.ndarray  # by word: whether an item of the kind has it
+    walks: list[tuple[np.ndarray, list[np.ndarray], np.ndarray]]  # steps; signatures after each step, sorted; parts in the order of the last
+    parts: np.ndarray  # (item, offset)
+
+
 class Index:
     """The walks of a block of items: bounded by the block, not by the corpus."""
 
-    def __init__(self, items: list[tuple[Any, str]], similarity: float, seed: int = 7) -> None:
+    def __init__(self, items: list[tuple[Any, str]], similarity: float, seed: int = 7, recall: float = RECALL) -> None:
         self.items = [(i, words_of(t)) for i, t in items]
         self.vocab = {w: k for k, w in enumerate(sorted({w for _, ws in self.items for w in ws}), 1)}
         self.pad = len(self.vocab) + 1  # between texts; 0 is any word that is in no item
         self.ids = [np.array([self.vocab[w] for w in ws], dtype=np.int64) for _, ws in self.items]
-        self.most = [int((1 - similarity) * len(ws) + 1e-9) for _, ws in self.items]
-        rng = np.random.default_rng(seed)
+        self.most = [allowed(len(ws), similarity) for _, ws in self.items]
+        parts = []
+        for k, ids in enumerate(self.ids):
+            cuts = np.linspace(0, len(ids), max(1, -(-len(ids) // LONGEST)) + 1).astype(int)
+            parts += [(b - a, k, a) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b > a]
+        parts.sort()
+        self.seed, self.bits = seed, []
         self.kinds = []
-        longest = [steps_of(len(x), most) for x, most in zip(self.ids, self.most, strict=True)]
-        for steps in sorted(set(longest) - {0}):
-            own = [k for k, n in enumerate(longest) if n == steps]
-            bits = rng.integers(0, 2, (WALKS, steps, self.pad + 1), dtype=np.int64)
-            odd = rng.integers(0, 2**62, (WALKS, steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-            where = np.array([(k, o) for k in own for o in range(len(self.ids[k]) - steps + 1)], dtype=np.int64)
-            flat = np.concatenate([self.ids[k] for k in own])
-            base = dict(zip(own, np.concatenate(([0], np.cumsum([len(self.ids[k]) for k in own])[:-1])), strict=True))
-            tokens, at = np.append(flat, [self.pad] * steps), np.array([base[k] + o for k, o in where])
-            sig, seen = np.zeros(len(at), dtype=np.uint64), []
-            for w in range(WALKS):
-                sig = self.walk(sig, tokens, at, bits[w], odd[w])
-                seen.append(np.zeros(1 << 20, dtype=bool))
-                seen[-1][self.cell(sig)] = True
+        at = 0
+        while at < len(parts):
+            low, end = parts[at][0], at
+            while end < len(parts) and parts[end][0] <= max(low, int(low * SPREAD)) and (allowed(parts[end][0], similarity) > 0) == (allowed(low, similarity) > 0):
+                end += 1
+            self.kinds.append(self._kind(parts[at:end], similarity, recall))
+            at = end
+
+    def _bits(self, walk: int) -> np.ndarray:
+        """64 random bits of every word for each 64 steps of a walk. The word between texts has none, so that walks end there."""
+        while len(self.bits) <= walk:
+            rng = np.random.default_rng([self.seed, len(self.bits)])
+            made = rng.integers(-(2**63), 2**63, (2 * LONGEST // 64, self.pad + 1), dtype=np.int64)
+            made[:, self.pad] = 0
+            self.bits.append(made)
+        return self.bits[walk]
+
+    def _kind(self, parts: list[tuple[int, int, int]], similarity: float, recall: float) -> Kind:
+        low, high = parts[0][0], parts[-1][0]
+        edits = allowed(high, similarity)
+        rng = np.random.default_rng([self.seed, low, 1])
+        # Steps are sampled as far as the walk of an item seldom ends before; without edits, as far as none does.
+        upto = int(1.6 * low) if edits else low
+        tokens = np.concatenate([np.append(self.ids[k][o : o + n], self.pad) for n, k, o in parts])
+        starts = np.cumsum([0] + [n + 1 for n, *_ in parts[:-1]])
+        known = np.zeros(self.pad + 1, dtype=bool)
+        known[tokens] = True
+        known[self.pad] = False
+        walks = []
+        for r in range(repetitions(high, edits, recall)):
+            steps = np.sort(rng.choice(upto, min(SAMPLED if edits else 8, upto), replace=False))
+            sigs = []
+            sig, at, j = np.zeros(len(starts), dtype=np.uint64), starts, 0
+            for step in steps.tolist():
+                at, j = self._moved(r, tokens, at, j, step), step
+                sig = self._signed(sig, tokens[at])
+                sigs.append(np.unique(sig))
             order = np.argsort(sig, kind="stable")
-            self.kinds.append((bits, odd, seen, sig[order], where[order]))
+            walks.append((steps, [*sigs[:-1], sig[order]], order))
+        return Kind(high + edits, low - allowed(low, similarity), known, walks, np.array([(k, o) for _, k, o in parts], dtype=np.int64))
 
-    @staticmethod
-    def walk(sig: np.ndarray, tokens: np.ndarray, at: np.ndarray, bits: np.ndarray, odd: np.ndarray) -> np.ndarray:
-        """sig with the words that a walk from each of the places `at` writes."""
-        for step, o in zip(bits, odd, strict=True):
-            s = tokens[at]
-            sig = (sig ^ s.astype(np.uint64)) * o
-            sig ^= sig >> np.uint64(29)
-            at = at + step[s]
-        return sig
+    def _moved(self, walk: int, tokens: np.ndarray, at: np.ndarray, j: int, until: int) -> np.ndarray:
+        """Where walks that are at `at` before step j are before step `until`."""
+        bits = self._bits(walk)
+        for k in range(j, until):
+            at = at + (bits[k >> 6][tokens[at]] >> (k & 63) & 1)
+        return at
 
     @staticmethod
-    def cell(sig: np.ndarray) -> np.ndarray:
-        return (sig * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
+    def _signed(sig: np.ndarray, words: np.ndarray) -> np.ndarray:
+        sig = (sig ^ words.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        return sig ^ sig >> np.uint64(29)
 
     def candidates(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Items, and the places of their first words in tokens, whose walks are those of tokens; each pair once, in order."""
+        """Items, and the places of their first words in tokens, whose sampled steps are those of a window; each pair once, in order."""
         found = []
-        known = np.flatnonzero((tokens > 0) & (tokens < self.pad))
-        padded = np.append(tokens, [self.pad] * MOST_STEPS)
-        for bits, odd, seen, sigs, where in self.kinds:
-            at, sig = known, np.zeros(len(known), dtype=np.uint64)
-            for w in range(WALKS):
-                sig = self.walk(sig, padded, at, bits[w], odd[w])
-                some = seen[w][self.cell(sig)]
-                at, sig = at[some], sig[some]
-            low, high = (np.searchsorted(sigs, sig, side) for side in ("left", "right"))
-            n = high - low
-            entry = where[np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1]))[: len(n)], n) + np.arange(n.sum())]
-            found.append(entry[:, 0] * (4 * len(tokens)) + np.repeat(at, n) - entry[:, 1] + len(tokens))
+        n = len(tokens)
+        for kind in self.kinds:
+            own = kind.known[tokens]
+            count = np.concatenate(([0], np.cumsum(own)))
+            ends = np.minimum(np.arange(n) + kind.reach, n)
+            # A window within the distance may begin at a word of the items: others in front of it make it no nearer.
+            starts = np.flatnonzero(own & (count[ends] - count[:n] >= kind.need))
+            if not len(starts):
+                continue
+            for r, (steps, sigs, order) in enumerate(kind.walks):
+                place, at, j, sig = starts, starts, 0, np.zeros(len(starts), dtype=np.uint64)
+                for i, step in enumerate(steps.tolist()):
+                    at, j = self._moved(r, tokens, at, j, step), step
+                    sig = self._signed(sig, tokens[at])
+                    low = np.searchsorted(sigs[i], sig)
+                    low[low == len(sigs[i])] = 0
+                    some = sigs[i][low] == sig
+                    place, at, sig = place[some], at[some], sig[some]
+                    if not len(at):
+                        break
+                if len(at):
+                    low, high = (np.searchsorted(sigs[-1], sig, side) for side in ("left", "right"))
+                    c = high - low
+                    entry = kind.parts[order[np.repeat(low - np.concatenate(([0], np.cumsum(c)[:-1])), c) + np.arange(c.sum())]]
+                    found.append(entry[:, 0] * (4 * n) + np.repeat(place, c) - entry[:, 1] + n)
         both = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
-        return both // (4 * len(tokens)), both % (4 * len(tokens)) - len(tokens)
+        return both // (4 * n), both % (4 * n) - n
 
     def plausible(self, tokens: np.ndarray, k: int, place: np.ndarray) -> np.ndarray:
         """Of the places of item k, those with enough words of the item around: the others are further than the allowed distance."""
@@ -159,9 +228,8 @@ class Index:
         """(text, item, edit distance, first word, end word) of the best window of every item that is near enough to a text's window."""
         get = self.vocab.get
         per = [[get(w, 0) for w in words_of(t)] for t in texts]
-        gap = [self.pad] * 64
-        tokens = np.array([x for ids in per for x in (*ids, *gap)], dtype=np.int64)
-        begins = np.concatenate(([0], np.cumsum([len(ids) + len(gap) for ids in per])))
+        tokens = np.array([x for ids in per for x in (*ids, self.pad)], dtype=np.int64)
+        begins = np.concatenate(([0], np.cumsum([len(ids) + 1 for ids in per])))
         spots = defaultdict(list)
         item, place = self.candidates(tokens)
         bounds = np.flatnonzero(np.diff(item, prepend=-1, append=-1))
@@ -183,19 +251,19 @@ class Index:
                 if p <= last + most // 2:
                     continue  # the region around the last start holds this one's
                 last = p
+                if ids[max(0, p) : max(0, p) + n] == item:
+                    best = (0, p, None)
+                    break
                 a, b = max(0, p - most), min(len(ids), p + n + 2 * most + most // 2)
-                window = ids[a:b]
-                if (have & Counter(window)).total() < n - most or least_distance(item, window) > most:
+                if (have & Counter(ids[a:b])).total() < n - most:
                     continue
-                if ids[max(0, p) : max(0, p) + n] == item:
-                    near = (0, max(0, p), max(0, p) + n)
-                else:
-                    dist, s, e = best_window(item, window)
-                    near = (dist, a + s, a + e)
-                if near[0] <= most and (best is None or near < best):
-                    best = near
+                dist = least_distance(item, ids[a:b])
+                if dist <= most and (best is None or dist < best[0]):
+                    best = (dist, a, b)
             if best is not None:
-                out.append((d, k, *best))
+                dist, a, b = best
+                s, e = (max(0, a), max(0, a) + n) if b is None else (a + x for x in best_window(item, ids[a:b])[1:])
+                out.append((d, k, dist, s, e))
         return out
 
 
@@ -205,8 +273,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Columns: doc_id, item_id, n_words (of the item), edit_distance, similarity (1 - edit_distance / n_words, at least the
     parameter), word_start, word_end: the nearest window in the document, the first of equal ones. Words are runs of letters,
     digits and underscores, lower-cased. Items without words (null, empty) match nothing, nor do texts without. Null ids
-    come out null; repeated rows give repeated rows. Other columns aren't read. Items are read in blocks of about 1000,
-    each a pass over the documents, so what a task holds of them is bounded.
+    come out null; repeated rows give repeated rows. Other columns aren't read. Items are read in blocks of about 5000,
+    each a pass over the documents, so what a task holds of them is bounded. Of passages at the full allowed distance about RECALL are found, of exact ones all.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return _found(rows, {"doc_id": "long"}, benchmark, item_col, item_text, similarity)
@@ -234,7 +302,7 @@ def _found(rows: DataFrame, carry: dict[str, str], benchmark: DataFrame, item_co
                 "word_end": [x[4] for x in found],
             }
 
-        part = map_texts(rows, run, "".join(f"{c} {kind}, " for c, kind in carry.items()) + "item_id long, n_words int, edit_distance int, similarity double, word_start int, word_end int")
+        part = map_texts(rows, run, "".join(f"{c} {kind}, " for c, kind in carry.items()) + "item_id long, n_words int, edit_distance int, similarity double, word_start int, word_end int", most=4 << 20)
         out = part if out is None else out.union(part)
     return out
 
