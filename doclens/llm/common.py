@@ -18,9 +18,11 @@ NULL_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a temporary one if all run on one machine, else an error."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names the folder that the driver and all executors share; it is unset")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="doclens-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -113,13 +115,29 @@ def bounded_sample(df: DataFrame, most: int, key: str, by: str) -> DataFrame:
     """About most rows of df at the most, in equal shares of the values of `by`: rows whose hashed key is low.
 
     The bound is a parameter of the caller; the choice depends on keys alone, so it is the same in every run.
-    Small values of `by` are taken whole.
+    Small values of `by` are taken whole. The counts stay a table, as `by` may have any number of values.
     """
-    counts = df.groupBy(by).count().collect()
-    share = max(1, most // max(1, len(counts)))
+    counts = df.groupBy(F.col(by).alias("__by")).agg(F.count("*").alias("__n"))
     level = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30))
-    keep = F.lit(True)
-    for row in counts:
-        if row["count"] > share:
-            keep = keep & ~(F.col(by).eqNullSafe(F.lit(row[0])) & (level >= int((1 << 30) * share / row["count"])))
-    return df.where(keep)
+    share = max(1, most // max(1, counts.count()))
+    rates = counts.select("__by", (F.lit(float(share << 30)) / F.col("__n")).alias("__rate"))
+    return df.join(rates, F.col(by).eqNullSafe(F.col("__by"))).where(level < F.col("__rate")).select(df.columns)
+
+
+#: A key of at least so many rows may be hot, and its rows are joined in so many shares.
+HOT, SHARES = 10_000, 64
+
+
+def hot_join(rows: DataFrame, one: DataFrame, on: list[str], n: str, spread: list[str]) -> DataFrame:
+    """rows joined to one, which has a row for each key `on` and says in column n how many rows have it; n is dropped.
+
+    Of keys with more than HOT rows and a thousandth of all there are fewer than 1000, so they are broadcast; their rows are dealt by `spread`
+    to SHARES shares, each with its copy of the key's row. So no task gets all the rows of a key.
+    """
+    total = one.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > max(HOT, total // 1000)
+    keys = F.broadcast(one.where(hot).select(*on, F.lit(True).alias("__hot")))
+    share = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(SHARES)).cast("int")).otherwise(0)
+    left = rows.join(keys, on, "left").withColumn("__share", share).drop("__hot")
+    copies = F.when(hot, F.sequence(F.lit(0), F.lit(SHARES - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(one.withColumn("__share", F.explode(copies)).drop(n), [*on, "__share"]).drop("__share")

@@ -31,7 +31,7 @@ _BLOCK_ROWS = 5000
 #: Steps of an embedding that a repetition samples.
 SAMPLED = 3
 #: Of items at the full allowed distance, the share that the candidates hold at least, about.
-RECALL = 0.99
+RECALL = 0.999
 #: Words of a window at most; longer items are cut into parts, of which one has no more than its share of the edits.
 LONGEST = 64
 #: How much longer than its shortest the longest item of a kind may be.
