@@ -128,13 +128,15 @@ def bounded_sample(df: DataFrame, most: int, key: str, by: str) -> DataFrame:
 HOT, SHARES = 10_000, 64
 
 
-def hot_join(rows: DataFrame, one: DataFrame, on: list[str], n: str, spread: list[str]) -> DataFrame:
+def hot_join(rows: DataFrame, one: DataFrame, on: list[str], n: str, spread: list[str], total: int | None = None) -> DataFrame:
     """rows joined to one, which has a row for each key `on` and says in column n how many rows have it; n is dropped.
 
     Of keys with more than HOT rows and a thousandth of all there are fewer than 1000, so they are broadcast; their rows are dealt by `spread`
-    to SHARES shares, each with its copy of the key's row. So no task gets all the rows of a key.
+    to SHARES shares, each with its copy of the key's row. So no task gets all the rows of a key. total is the number of rows, if it is known.
     """
-    total = one.agg(F.sum(n)).first()[0] or 0
+    total = one.agg(F.sum(n)).first()[0] or 0 if total is None else total
+    if total <= HOT:
+        return rows.join(one.drop(n), on)
     hot = F.col(n) > max(HOT, total // 1000)
     keys = F.broadcast(one.where(hot).select(*on, F.lit(True).alias("__hot")))
     share = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(SHARES)).cast("int")).otherwise(0)

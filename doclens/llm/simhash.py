@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from doclens.llm.common import id_of, key_of, map_texts, mark_of, written
+from doclens.llm.common import discard, hot_join, id_of, key_of, map_texts, mark_of, written
 from doclens.llm.graph import components
 
 #: Six blocks of the 64 bits, as (lowest bit, width).
@@ -174,8 +174,8 @@ def _find(root: np.ndarray, i: int) -> int:
 def links(fps: DataFrame, radius: int = RADIUS, split: int = 20000) -> DataFrame:
     """(a, b): links of distinct fingerprints (fps.fp) that join exactly those that pairs at `radius` bits or fewer join.
 
-    Any bucket of over `split` rows is dealt again by two more of its remaining blocks, in finer pieces, until it is
-    small or nothing is left to split by, so no task holds a large bucket of unlike fingerprints.
+    A bucket of over `split` rows is dealt again by finer pieces of the fingerprints, twice; what is still larger then is compared by pairs of
+    blocks of about `split` rows. So no task holds more than two such blocks, and no pair is left out.
     """
     if radius > 4:
         raise ValueError("six blocks and pairs of them hold for a radius of 4 at most")
@@ -213,17 +213,21 @@ def _compared(rows: DataFrame, radius: int, split: int, level: int) -> DataFrame
             b, f = (np.concatenate(x) for x in zip(*held, strict=True))
             yield made(b, f)
 
+    large = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > split), "buckets")
+    if large.isEmpty():
+        return _sorted(rows).mapInArrow(run, "a long, b long")
+    apart = hot_join(rows, large, ["bucket"], "n", ["fp"]) if level < 2 else hot_join(rows, large.withColumn("size", F.col("n")), ["bucket"], "n", ["fp"])
+    small = _sorted(rows.join(large, "bucket", "left_anti")).mapInArrow(run, "a long, b long")
     if level < 2:
-        counts = rows.groupBy("bucket").count().where(F.col("count") > split).select("bucket")
-        large = written(counts, "buckets")
-        if not large.isEmpty():
-            # At `radius` bits two rows agree on one of radius + 1 pieces of the bits, whatever the bucket: as many copies.
-            width = -(-64 // (radius + 1 + level))
-            pieces = [(at, min(width, 64 - at)) for at in range(0, 64, width)]
-            dealt = F.array(*[F.xxhash64("bucket", F.lit(at), F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << w) - 1))) for at, w in pieces])
-            finer = rows.join(large, "bucket", "left_semi").select("fp", F.explode(dealt).alias("bucket"))
-            return _sorted(rows.join(large, "bucket", "left_anti")).mapInArrow(run, "a long, b long").union(_compared(finer, radius, split, level + 1))
-    return _sorted(rows).mapInArrow(run, "a long, b long")
+        # At `radius` bits two rows agree on one of radius + 1 pieces of the bits, whatever the bucket: as many copies.
+        width = -(-64 // (radius + 1 + level))
+        pieces = [(at, min(width, 64 - at)) for at in range(0, 64, width)]
+        dealt = F.array(*[F.xxhash64("bucket", F.lit(at), F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << w) - 1))) for at, w in pieces])
+        return small.union(_compared(apart.select("fp", F.explode(dealt).alias("bucket")), radius, split, level + 1))
+    blocks = F.ceil(F.col("size") / split).cast("int")
+    mine = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.xxhash64("bucket", F.least(mine, k), F.greatest(mine, k)))
+    return small.union(_sorted(apart.select("fp", F.explode(pairs).alias("bucket"))).mapInArrow(run, "a long, b long"))
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
@@ -239,16 +243,18 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     """
     fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     known = _least(fps, F.col("key"), radius)
-    return fps.join(known, "fp").select(id_of("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_of("component").alias("component_id"))
+    return hot_join(fps, known, ["fp"], "n", ["key"]).select(id_of("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_of("component").alias("component_id"))
 
 
 def _least(fps: DataFrame, value: Column, radius: int) -> DataFrame:
-    """(fp, component) of every distinct fingerprint: the least value of the rows of its group."""
-    distinct = fps.groupBy("fp").agg(F.min(value).alias("least"))
+    """(fp, component, n) of every distinct fingerprint: the least value of the rows of its group, and how many rows have it."""
+    distinct = written(fps.groupBy("fp").agg(F.min(value).alias("least"), F.count("*").alias("n")), "distinct")
     roots = components(links(distinct.select("fp"), radius)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    linked = distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = linked.groupBy("root").agg(F.min("least").alias("component"))
-    return written(linked.join(least, "root").select("fp", "component"), "components")
+    linked = written(distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "n"), "linked")
+    least = linked.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("fps"))
+    known = written(hot_join(linked, least, ["root"], "fps", ["fp"]).select("fp", "component", "n"), "components")
+    discard(distinct, linked)
+    return known
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = RADIUS) -> DataFrame:
@@ -259,6 +265,12 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = written(fingerprints(docs, id_col, text_col, shingle, marked=True), "fingerprints")
     row = F.struct("key", "mark")
-    gone = fps.join(_least(fps, row, radius), "fp").where(row != F.col("component")).select(F.col("key").alias("__key"), F.col("mark").alias("__mark")).distinct()
+    known = _least(fps, row, radius)
+    gone = hot_join(fps, known, ["fp"], "n", ["key", "mark"]).where(row != F.col("component")).select(F.col("key").alias("__key"), F.col("mark").alias("__mark")).distinct()
+    gone = written(gone, "gone")
     rows = docs.withColumns({"__key": key_of(id_col), "__mark": mark_of(text_col)})
-    return rows.join(gone, ["__key", "__mark"], "left_anti").dropDuplicates(["__key", "__mark"]).select(docs.columns)
+    rows = rows.join(gone, ["__key", "__mark"], "left_anti")
+    # Only where rows are repeated do texts have to be shuffled to make one of them.
+    if not fps.groupBy("key", "mark").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["__key", "__mark"])
+    return rows.select(docs.columns)
