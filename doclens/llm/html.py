@@ -126,14 +126,14 @@ def features(page: list[Block]) -> np.ndarray:
     x = np.zeros((len(page), PATH + WORDS + EXTRA), dtype=np.float32)
     total = sum(len(b.text) for b in page) or 1
     for i, b in enumerate(page):
-        words = _WORD.findall(b.text[:2000].lower())  # of a long block, its length and beginning tell enough
+        words = _WORD.findall(b.text.lower())
         x[i, :PATH] = _path_vector(b.path)
-        for w in words[:40]:
+        for w in words:
             k, sign = _slot(w, WORDS)
             x[i, PATH + k] += sign
-        x[i, PATH : PATH + WORDS] /= max(1.0, len(words[:40])) ** 0.5
+        x[i, PATH : PATH + WORDS] /= max(1.0, len(words) ** 0.5, len(words) / 40**0.5)  # of long blocks the mean, so that length adds nothing
         n = len(b.text)
-        x[i, PATH + WORDS :] = (np.log1p(n) / 6, min(1.0, b.linked / n), b.text.count(".") / max(1, len(words)), n / total, i / len(page), b.text[-1] in ".!?:;\"'", len(words) / 40 if len(words) < 40 else 1, 1)
+        x[i, PATH + WORDS :] = (np.log1p(n) / 6, min(1.0, b.linked / n), b.text.count(".") / max(1, len(words)), n / total, i / len(page), b.text[-1] in ".!?:;\"'", min(1.0, len(words) / 40), 1)
     return x
 
 
@@ -302,7 +302,7 @@ class _Grammar:
             inner = "".join(f"<label>{self.say(2, kind)}</label><input name=x>" + ("<br>" if r.random() < 0.5 else "") for _ in range(r.randint(1, 4))) + f"<button>{self.say(1, kind)}</button>"
             inner = (f"<p>{self.say(r.randint(3, 15), kind)}</p>" if r.random() < 0.4 else "") + inner
         elif kind == "comment":
-            inner = (f"<h3>{self.say(2, kind)}</h3>" if r.random() < 0.6 else "") + "".join(self.tag(r.choice(["div", "li", "div.comment", "article", "p"]), f"<p>{self.say(r.randint(3, 60), kind)}</p>" + (f"<span>{self.say(2, kind)}</span>" if r.random() < 0.4 else "")) for _ in range(r.randint(1, 6)))
+            inner = (f"<h3>{self.say(2, kind)}</h3>" if r.random() < 0.6 else "") + "".join(self.tag(r.choice(["div", "li", "div.comment", "article", "p"]), f"<p>{self.say(r.randint(3, 60) if r.random() < 0.98 else r.randint(100, 600), kind)}</p>" + (f"<span>{self.say(2, kind)}</span>" if r.random() < 0.4 else "")) for _ in range(r.randint(1, 6)))
         else:
             body = self.say(r.randint(1, 45), kind)
             inner = r.choice([body, f"<p>{body}</p>", f"<p>{body}</p><p>{self.say(r.randint(3, 30), kind)}</p>", f"<h4>{self.say(3, kind)}</h4><p>{body}</p>", f"<span>{body}</span> {self.link(self.say(2, kind))}"])
@@ -313,7 +313,9 @@ class _Grammar:
         if r.random() < 0.8:
             out.append(f"<h1>{self.say(r.randint(3, 12))}</h1>")
         for _ in range(int(r.choice([1, 2, 4, 8, 14]) * r.uniform(0.7, 1.5)) + 1):
-            body = self.say(r.choice([1, 3, 8, 25, 60, 120]))
+            body = self.say(r.choice([1, 3, 8, 25, 60, 120]) if r.random() < 0.98 else r.randint(200, 2500))
+            if body[-1] not in ".!?" and r.random() < 0.6:
+                body += "."  # a short sentence, or what is left of one
             if r.random() < 0.3:
                 cut = body.split(" ")
                 k = r.randrange(len(cut))

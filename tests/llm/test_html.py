@@ -1,3 +1,5 @@
+import numpy as np
+
 from doclens.llm import html as H
 
 PAGE = "page_id long, url string, html string"
@@ -58,3 +60,44 @@ def test_articles_of_the_given_pages(spark):
         want = [" ".join(unescape(re.sub(r"<[^>]+>", "", p)).split()) for p in re.split(r"</?p>|</?h1>", inner)]
         right += "\n".join(w for w in want if w) == got[r.page_id]
     assert right >= 0.95 * len(got)
+
+
+def test_long_blocks_are_read_whole(spark):
+    """A block of 10,000 words stays in the article, and what stands at its end counts."""
+    story = " ".join(f"word{i % 700}" + ("." if i % 12 == 11 else "") for i in range(10_000))
+    page = f'<html><body><nav><ul><li><a href="/">Home</a></li></ul></nav><article><h1>A long story</h1><p>{story}</p><p>The end of it comes here.</p></article><footer>&copy; 2024 The Site</footer></body></html>'
+    got = H.extract(spark.createDataFrame([(1, "u", page)], PAGE)).first().text
+    assert got == f"A long story\n{story}\nThe end of it comes here."
+    one, other = (H.features([H.Block(("p",), story + end, 0)])[0] for end in (" apple", " zebra crossing"))
+    assert (one[H.PATH : H.PATH + H.WORDS] != other[H.PATH : H.PATH + H.WORDS]).any()
+    ratio = H.features([H.Block(("p",), story, 0)])[0][H.PATH + H.WORDS + 2]
+    assert abs(ratio - story.count(".") / 10_000) < 1e-6
+
+
+def test_gradients_by_differences():
+    grammar = H._Grammar(3)
+    pages = [(H.features(b), y) for b, y in (grammar.page() for _ in range(3)) if len(b)]
+    x, y = [p for p, _ in pages], [t for _, t in pages]
+    net = H._new(5)
+    for p in net.params():
+        p *= 0.3
+
+    def loss():
+        z, (_, live, *_) = H.logits(net, x)
+        total = 0.0
+        for k, t in enumerate(y):
+            s = z[: len(t), k].astype(np.float64)
+            total += (np.logaddexp(0, s) - s * t).sum()
+        return total / live.sum()
+
+    rng = np.random.default_rng(0)
+    for p, g in zip(net.params(), H._gradient(net, x, y), strict=True):
+        along = rng.standard_normal(p.shape).astype(np.float32) * (g != 0)
+        old = p.copy()
+        p[...] = old + 1e-2 * along
+        up = loss()
+        p[...] = old - 1e-2 * along
+        down = loss()
+        p[...] = old
+        want = float((g.astype(np.float64) * along).sum())
+        assert abs((up - down) / 2e-2 - want) < 0.02 * abs(want) + 2e-4
