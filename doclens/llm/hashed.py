@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,9 +26,9 @@ def words(text: str) -> set[str]:
 
 
 def words_and_stems(text: str) -> set[str]:
-    """The lower-cased words of a text, and the first four and five letters of the longer ones."""
+    """The lower-cased words of a text, and the first four to seven letters of the longer ones."""
     out = words(text)
-    return out | {w[:4] + "\x00" for w in out if len(w) > 4} | {w[:5] + "\x00" for w in out if len(w) > 5}
+    return out | {w[:k] + "\x00" for w in out for k in range(4, min(8, len(w)))}
 
 
 def words_and_shapes(text: str) -> set[str]:
@@ -81,49 +82,82 @@ def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return padded[bounds[1:]] - padded[bounds[:-1]]
 
 
-def sample(docs: DataFrame, labels: DataFrame, terms: Callable[[str], set[str]], most: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label") -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Buckets and labels of at most about `most` labelled documents, in equal shares of the labels, and each one's weight.
+@dataclass
+class Sample:
+    """Labelled documents as columns of a model: for each bucket its column or -1, the number of columns, and of each document its columns, label and weight."""
+
+    columns: np.ndarray
+    n: int
+    rows: list[np.ndarray]
+    y: np.ndarray
+    weight: np.ndarray
+
+
+def sample(docs: DataFrame, labels: DataFrame, terms: Callable[[str], set[str]], most: int, pick: Callable[[np.ndarray, np.ndarray, int, int], np.ndarray], id_col: str = "doc_id", text_col: str = "text", label_col: str = "label") -> Sample:
+    """At most about `most` labelled documents, in equal shares of the labels; the weights say how many rows of labels a sampled one stands for.
 
     Only the sampled ids are joined to the documents: they are few by the bound, so they are broadcast and no text is shuffled.
-    Rows with a null label or id teach nothing; of an id labelled twice, the larger label counts. The weights say how many rows of
-    labels a sampled one stands for.
+    Rows with a null label or id teach nothing; of an id labelled twice, the larger label counts. Buckets are counted in the executors: the driver gets
+    a count for each (BUCKETS at most), picks by counts (of all rows, of those of label 1, and the numbers of both) the columns, and then gets
+    the columns of each sampled document.
     """
     one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    counts = {r[0]: r[1] for r in one.groupBy("label").count().collect()}
     some = bounded_sample(one, most, "id", "label")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id").select("id", "label", "text")
 
+    def count(find, cols, texts):
+        found = {k: [] for k in set(cols["label"])}
+        for k, t in zip(cols["label"], texts, strict=True):
+            found[k] += [find(t), np.array([-1], dtype=np.int32)]  # -1 counts the documents
+        out = [(b, k, c) for k, x in found.items() for b, c in zip(*(v.tolist() for v in np.unique(np.concatenate(x), return_counts=True)), strict=True)]
+        return dict(zip(("bucket", "label", "n"), map(list, zip(*out, strict=True)) if out else ([], [], []), strict=True))
+
+    counted = map_texts(rows.select("label", "text"), count, "bucket int, label int, n long", lambda: Terms(terms)).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("ones")).toArrow()
+    bucket, n, ones = (counted.column(c).to_numpy() for c in ("bucket", "n", "ones"))
+    every, of_one = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
+    every[bucket[bucket >= 0]], of_one[bucket[bucket >= 0]] = n[bucket >= 0], ones[bucket >= 0]
+    columns, size = numbered(pick(every, of_one, int(n[bucket < 0].sum()), int(ones[bucket < 0].sum())))
+
     def run(find, cols, texts):
         return {"id": cols["id"], "label": cols["label"], "ids": [find(t).tobytes() for t in texts]}
 
-    got = map_texts(rows, run, f"id {dict(docs.dtypes)[id_col]}, label int, ids binary", lambda: Terms(terms)).collect()
+    got = map_texts(rows, run, f"id {dict(docs.dtypes)[id_col]}, label int, ids binary", lambda: Terms(terms, columns)).collect()
     got.sort(key=lambda r: (r.id, r.ids))
     y = np.array([r.label for r in got], dtype=np.int64)
-    seen = {k: (y == k).sum() for k in counts}
+    seen = dict(zip(*(v.tolist() for v in np.unique(y, return_counts=True)), strict=True))
+    counts = {r[0]: r[1] for r in one.where(F.col("label").isin(sorted(seen))).groupBy("label").count().collect()}
     weight = np.array([counts[k] / seen[k] for k in y.tolist()])
-    return [np.frombuffer(r.ids, dtype=np.int32) for r in got], y, weight
+    return Sample(columns, size, [np.frombuffer(r.ids, dtype=np.int32) for r in got], y, weight)
 
 
-def columns_of(rows: list[np.ndarray], least: int = 4) -> tuple[np.ndarray, int]:
-    """For each bucket its column, or -1 if fewer than `least` of the rows have it; and the number of columns."""
-    return _numbered(_counted(rows) >= least)
+def counted(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """What pick gets, for rows of buckets that are at hand."""
+    count = lambda r: np.bincount(np.concatenate(r) if r else np.zeros(0, dtype=np.int64), minlength=BUCKETS)
+    return count(rows), count([r for r, k in zip(rows, y, strict=True) if k == 1]), len(rows), int((y == 1).sum())
 
 
-def telling_columns(rows: list[np.ndarray], y: np.ndarray, least: int = 4, z: float = 4.0) -> tuple[np.ndarray, int]:
-    """The same for buckets whose share among rows of label 1 and of label 0 differs by `z` standard errors: by chance hardly one in 10,000 does."""
-    one, zero = _counted([r for r, k in zip(rows, y, strict=True) if k == 1]), _counted([r for r, k in zip(rows, y, strict=True) if k != 1])
-    n1, n0 = max(1, (y == 1).sum()), max(1, (y != 1).sum())
-    both = (one + zero) / (n1 + n0)
-    error = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n1 + 1 / n0))
-    return _numbered((one + zero >= least) & (np.abs(one / n1 - zero / n0) >= z * error))
+def of_rows(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, pick: Callable[[np.ndarray, np.ndarray, int, int], np.ndarray]) -> Sample:
+    """The same for rows of buckets that are at hand."""
+    columns, n = numbered(pick(*counted(rows, y)))
+    return Sample(columns, n, [np.sort(columns[r][columns[r] >= 0]) for r in rows], y, weight)
+
 
+def often(every: np.ndarray, ones: np.ndarray, n: int, n1: int, least: int = 4) -> np.ndarray:
+    """Buckets that at least `least` rows have."""
+    return every >= least
 
-def _counted(rows: list[np.ndarray]) -> np.ndarray:
-    return np.bincount(np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64), minlength=BUCKETS)
+
+def telling(every: np.ndarray, ones: np.ndarray, n: int, n1: int, least: int = 4, z: float = 4.0) -> np.ndarray:
+    """Buckets whose share among rows of label 1 and of the others differs by `z` standard errors: by chance hardly one in 10,000 does."""
+    n1, n0 = max(1, n1), max(1, n - n1)
+    both = every / (n1 + n0)
+    error = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n1 + 1 / n0))
+    return (every >= least) & (np.abs(ones / n1 - (every - ones) / n0) >= z * error)
 
 
-def _numbered(kept: np.ndarray) -> tuple[np.ndarray, int]:
-    out = np.full(BUCKETS, -1, dtype=np.int32)
+def numbered(kept: np.ndarray) -> tuple[np.ndarray, int]:
+    """For each bucket its column among the kept ones, or -1; and the number of columns."""
+    out = np.full(len(kept), -1, dtype=np.int32)
     own = np.flatnonzero(kept)
     out[own] = np.arange(len(own))
     return out, len(own)

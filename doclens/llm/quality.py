@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doclens.llm.common import map_texts
-from doclens.llm.hashed import Terms, columns_of, flat, row_sums, sample, words_and_shapes
+from doclens.llm.hashed import Sample, Terms, flat, often, row_sums, sample, words_and_shapes
 
 
 @dataclass
@@ -35,19 +35,41 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, rounds: int = 15, batch: int = 500, rate: float = 0.05, decay: float = 1e-4, seed: int = 5) -> Model:
+def gradients(params: list[np.ndarray], ids: np.ndarray, bounds: np.ndarray, level: np.ndarray, scale: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The negative log-likelihood of rows (columns ids[bounds[i]:bounds[i + 1]]) at their levels, each counted by scale, and its gradients.
+
+    params are the weights, the first threshold, and the logarithms of the gaps between thresholds.
+    """
+    size = np.sqrt(np.maximum(1, np.diff(bounds)))
+    f = row_sums(params[0][ids], bounds) / size
+    gaps = np.exp(params[2])
+    t = np.concatenate((params[1], params[1] + np.cumsum(gaps)))
+    n, k = len(level), len(t)
+    up = np.concatenate((np.ones((n, 1)), _sigmoid(f[:, None] - t), np.zeros((n, 1))), axis=1)  # P(level >= j)
+    here, above = up[np.arange(n), level], up[np.arange(n), level + 1]
+    p = np.maximum(here - above, 1e-9)
+    d_here, d_above = here * (1 - here) / p, above * (1 - above) / p
+    df = -(d_here - d_above) * scale
+    dt = np.zeros(k + 2)
+    np.add.at(dt, level, d_here * scale)
+    np.add.at(dt, level + 1, -d_above * scale)
+    dt = dt[1 : k + 1]
+    return float(-(np.log(p) * scale).sum()), [np.bincount(ids, np.repeat(df / size, np.diff(bounds)), len(params[0])), np.array([dt.sum()]), np.array([dt[i + 1 :].sum() for i in range(k - 1)]) * gaps]
+
+
+def fit(found: Sample, rounds: int = 15, batch: int = 500, rate: float = 0.05, decay: float = 1e-4, seed: int = 5) -> Model:
     """Adam on the cumulative-link log-likelihood; each row counts by its weight, so grades have the shares of all ratings.
 
     The gaps between thresholds are learned as exponentials, so they stay in order. With one grade, all texts get it.
     """
-    columns, n = columns_of(rows)
+    columns, n, y, weight = found.columns, found.n, found.y, found.weight
     grades = np.unique(y)
     k = len(grades) - 1
     if k < 1:
         return Model(columns, grades if len(grades) else np.array([0]), np.zeros(0), np.zeros(n))
     level = np.searchsorted(grades, y)
     rng = np.random.default_rng(seed)
-    kept = [columns[r][columns[r] >= 0] for r in rows]
+    kept = found.rows
     weight = weight / weight.mean()
     params = [np.zeros(n), np.zeros(1), np.zeros(k - 1)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -57,22 +79,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, rounds: int =
         for at in range(0, len(y), batch):
             own = order[at : at + batch]
             ids, bounds = flat([kept[i] for i in own])
-            size = np.sqrt(np.maximum(1, np.diff(bounds)))
-            f = row_sums(params[0][ids], bounds) / size
-            gaps = np.exp(params[2])
-            t = np.concatenate((params[1], params[1] + np.cumsum(gaps)))
-            up = np.concatenate((np.ones((len(own), 1)), _sigmoid(f[:, None] - t), np.zeros((len(own), 1))), axis=1)  # P(level >= j)
-            j = level[own]
-            at_, next_ = up[np.arange(len(own)), j], up[np.arange(len(own)), j + 1]
-            p = np.maximum(at_ - next_, 1e-9)
-            scale = weight[own] / len(own)
-            d_at, d_next = at_ * (1 - at_) / p, next_ * (1 - next_) / p
-            df = -(d_at - d_next) * scale
-            dt = np.zeros((len(own), k + 2))
-            np.add.at(dt, (np.arange(len(own)), j), d_at * scale)
-            np.add.at(dt, (np.arange(len(own)), j + 1), -d_next * scale)
-            dt = dt.sum(axis=0)[1 : k + 1]
-            grads = [np.bincount(ids, np.repeat(df / size, np.diff(bounds)), n) + decay * params[0], np.array([dt.sum()]), np.array([dt[i + 1 :].sum() for i in range(k - 1)]) * gaps]
+            grads = gradients(params, ids, bounds, level[own], weight[own] / len(own))[1]
+            grads[0] += decay * params[0]
             step += 1
             for q, d, m, s in zip(params, grads, first, second, strict=True):
                 m += 0.1 * (d - m)
@@ -83,7 +91,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, rounds: int =
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 12000) -> Model:
     """A model of the grades labels.label_col (integers) by id, from at most about `most` rated documents."""
-    return fit(*sample(docs, labels.select(id_col, F.col(label_col).alias("label")), words_and_shapes, most, id_col, text_col))
+    return fit(sample(docs, labels.select(id_col, F.col(label_col).alias("label")), words_and_shapes, most, often, id_col, text_col))
 
 
 def rate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", wanted: int | None = None, least: float = 0.5) -> DataFrame:
@@ -106,5 +114,5 @@ def rate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def graded(docs: DataFrame, labels: DataFrame, most: int = 12000) -> DataFrame:
-    """The op9 result: learned from the rated documents, for every row of docs."""
+    """The op9 result: learned from the rated documents, for every row of docs. Equal texts get equal grades; nulls, repeats and very long texts as in rate."""
     return rate(docs, learn(docs, labels, most=most))
