@@ -1,6 +1,6 @@
 """Language identification with hyperdimensional profiles.
 
-A letter has a random vector of +1 and -1. A letter trigram abc is bound as
+A letter (any code point that is one) has a random vector of +1 and -1 of its own. A letter trigram abc is bound as
 roll(V[a], 2) * roll(V[b], 1) * V[c], a text is the sum (bundle) of its trigrams, and a
 language is the sum of its learned texts, each scaled to length one. A text's language is
 the one whose sum has the largest cosine with it.
@@ -17,30 +17,31 @@ from pyspark.sql import functions as F
 from doclens.llm.common import bounded_sample, map_texts, remainder_of
 
 DIM = 512
-SLOTS = 256
+#: Above all code points: trigrams are numbers in this base. 0 is the gap between words.
+BASE = 0x110000
+#: Letters whose vectors a Python worker remembers.
+REMEMBERED = 20_000
 #: Bytes of text that are encoded at a time: the arrays of a piece are some 50 times as large.
 _PIECE = 1 << 18
 
 
 @lru_cache(1)
-def _slots() -> np.ndarray:
-    """For each code point its letter slot; 0 for what is no letter. a to z have their own, others share by remainder."""
-    out = np.zeros(0x110000, dtype=np.uint8)
-    for i in range(0x110000):
-        if chr(i).isalpha():
-            out[i] = 1 + i - 97 if 97 <= i < 123 else 27 + i % (SLOTS - 27)
-    return out
+def _is_letter() -> np.ndarray:
+    return np.fromiter((chr(i).isalpha() for i in range(BASE)), dtype=bool, count=BASE)
 
 
-@lru_cache(4)
-def _letters(dim: int) -> np.ndarray:
-    return np.random.default_rng(20).choice(np.array([-1, 1], dtype=np.int8), size=(SLOTS, dim))
+@lru_cache(REMEMBERED)
+def letter(code: int, dim: int = DIM) -> np.ndarray:
+    """The vector of a code point, or of the gap (0)."""
+    return np.random.default_rng([20, code]).choice(np.array([-1, 1], dtype=np.int8), size=dim)
 
 
 def trigram_vectors(codes: np.ndarray, dim: int = DIM) -> np.ndarray:
-    """The bound vectors of trigram codes (a * SLOTS + b) * SLOTS + c, as float32."""
-    v = _letters(dim)
-    a, b, c = codes // (SLOTS * SLOTS), codes // SLOTS % SLOTS, codes % SLOTS
+    """The bound vectors of trigram codes (a * BASE + b) * BASE + c, as float32."""
+    abc = np.stack((codes // (BASE * BASE), codes // BASE % BASE, codes % BASE))
+    used, place = np.unique(abc, return_inverse=True)
+    v = np.stack([letter(int(c), dim) for c in used])
+    a, b, c = place.reshape(abc.shape)
     return (np.roll(v, 2, axis=1)[a] * np.roll(v, 1, axis=1)[b] * v[c]).astype(np.float32)
 
 
@@ -52,7 +53,7 @@ def encode(texts: list[str], dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
     """
     out, has = np.zeros((len(texts), dim), dtype=np.float32), np.zeros(len(texts), dtype=bool)
     whole = np.frombuffer("\n\n".join(["", *(t.lower().replace("\n", " ") for t in texts), ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    s = _slots()[whole].astype(np.int64)
+    s = np.where(_is_letter()[whole], whole, 0).astype(np.int64)
     ends = np.flatnonzero(whole == 10)[1::2]  # the second of each pair of line feeds: where texts begin
     doc = np.zeros(len(whole), dtype=np.int64)
     doc[ends[1:]] = 1
@@ -62,13 +63,13 @@ def encode(texts: list[str], dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
     s, doc = s[keep], doc[keep]
     if len(s) < 3:
         return out, has
-    codes = (s[:-2] * SLOTS + s[1:-1]) * SLOTS + s[2:]
+    codes = (s[:-2] * BASE + s[1:-1]) * BASE + s[2:]
     mid = doc[1:-1]
     inside = s[1:-1] > 0
     used, place = np.unique(codes[inside], return_inverse=True)
-    pairs, counts = np.unique(mid[inside] * max(1, len(used)) + place, return_counts=True)
-    if not len(pairs):
+    if not len(used):
         return out, has
+    pairs, counts = np.unique(mid[inside] * len(used) + place, return_counts=True)
     vectors = trigram_vectors(used, dim)
     d, g = pairs // len(used), pairs % len(used)
     starts = np.flatnonzero(np.diff(d, prepend=-1))

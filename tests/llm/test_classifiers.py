@@ -36,11 +36,59 @@ def test_pairs_of_words_are_learned():
     docs, labels = corpus()
     find = hashed.Terms(hashed.words_and_stems)
     rows, y = [find(t) for _, t, _ in docs], np.array([t for _, _, t in labels])
-    model = toxicity.fit(rows[:600], y[:600], np.ones(600), rounds=60)
+    found = hashed.of_rows(rows[:600], y[:600], np.ones(600), toxicity.pick)
+    model = toxicity.fit(found, rounds=60)
     columns = [model.columns[r][model.columns[r] >= 0] for r in rows[600:]]
     assert auc(y[600:], model.logits(columns)) > 0.97
 
 
+def test_words_that_tell_only_together_are_learned():
+    """Label 1 is both words or neither: each alone tells nothing, so no sum of weights can say it."""
+    rnd = random.Random(4)
+    plain = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(300)]
+    texts, y = [], []
+    for _ in range(4000):
+        a, b = rnd.random() < 0.5, rnd.random() < 0.5
+        texts.append(" ".join([*rnd.choices(plain, k=rnd.randint(5, 60)), *["stranger"] * a, *["vermin"] * b]))
+        y.append(int(a == b))
+    find, y = hashed.Terms(hashed.words_and_stems), np.array(y)
+    rows = [find(t) for t in texts]
+    model = toxicity.fit(hashed.of_rows(rows[:3000], y[:3000], np.ones(3000), toxicity.pick))
+    got = model.logits([model.columns[r][model.columns[r] >= 0] for r in rows[3000:]]) > 0
+    assert (got == (y[3000:] == 1)).mean() >= 0.95
+
+
+def test_toxic_recall_on_held_out_labels_of_the_given_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    held = [(truth[r.doc_id], r.predicted) for r in toxicity.predict(docs, labels).where("held_out").collect() if truth.get(r.doc_id) is not None]
+    toxic = [p for t, p in held if t == 1]
+    clean = [p for t, p in held if t == 0]
+    assert len(toxic) > 100 and np.mean(toxic) > 0.83 and np.mean(clean) < 0.005
+
+
+def test_quality_on_held_out_labels_of_the_given_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    labels = labels.where("quality is not null").cache()
+    truth = {r.doc_id: r.quality for r in labels.where("doc_id % 5 = 0").collect()}
+    rated = quality.rate(docs, quality.learn(docs, labels.where("doc_id % 5 <> 0"))).collect()
+    held = [(truth[r.doc_id], r.expected_grade, r.keep) for r in rated if r.doc_id in truth]
+    assert len(held) > 500 and auc([t for t, *_ in held], [g for _, g, _ in held]) > 0.9
+    print("quality held out", len(held), auc([t for t, *_ in held], [g for _, g, _ in held]), np.mean([(t == 1) == k for t, _, k in held]))
+
+
+def test_very_long_and_equal_texts(spark):
+    docs, labels = corpus(6, 300)
+    long = " ".join(["plain"] * 200_000 + ["blockhead", "foreigners"])
+    rows = [*docs, (9000, long, "en"), (9001, long, "en"), (9002, docs[0][1], "en")]
+    df, known = spark.createDataFrame(rows, DOC), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    score = {r.doc_id: r.score for r in toxicity.predict(df, known).collect()}
+    grade = {r.doc_id: r.expected_grade for r in quality.graded(df, known).collect()}
+    lang = {r.doc_id: r.score for r in langid.predict(df).collect()}
+    for got in (score, grade, lang):
+        assert len(got) == len(rows) and got[9000] == got[9001] and got[9002] == got[0] and np.isfinite(got[9000])
+
+
 def test_forward_equals_the_sum_over_pairs():
     rng = np.random.default_rng(0)
     w, v = rng.standard_normal(9), rng.standard_normal((9, 3))
@@ -49,11 +97,27 @@ def test_forward_equals_the_sum_over_pairs():
     assert np.allclose(toxicity.forward(0.5, w, v, *hashed.flat(rows))[0], want)
 
 
-def test_ordinal_gradient_direction_and_order_of_thresholds():
+def test_ordinal_gradients_by_differences():
+    rng = np.random.default_rng(2)
+    ids, bounds = hashed.flat([np.array(r) for r in ([0, 2], [], [1], [0, 1, 3], [2])])
+    level, scale = np.array([0, 1, 2, 3, 1]), np.array([0.2, 0.1, 0.3, 0.3, 0.1])
+    params = [rng.standard_normal(4), rng.standard_normal(1), rng.standard_normal(2)]
+    _, grads = quality.gradients(params, ids, bounds, level, scale)
+    for p, g in zip(params, grads, strict=True):
+        for i in range(len(p)):
+            p[i] += 1e-6
+            up = quality.gradients(params, ids, bounds, level, scale)[0]
+            p[i] -= 2e-6
+            down = quality.gradients(params, ids, bounds, level, scale)[0]
+            p[i] += 1e-6
+            assert abs((up - down) / 2e-6 - g[i]) < 1e-6
+
+
+def test_ordinal_order_of_grades_and_thresholds():
     rng = np.random.default_rng(1)
     y = rng.integers(0, 4, 800)
     rows = [np.array(sorted({int(k) + 10, 20 + int(rng.integers(0, 30))})) for k in y]
-    model = quality.fit(rows, y, np.ones(len(y)), rounds=150)
+    model = quality.fit(hashed.of_rows(rows, y, np.ones(len(y)), hashed.often), rounds=150)
     assert (np.diff(model.thresholds) > 0).all()
     tails = model.tails([model.columns[r] for r in rows])
     expected = tails.sum(axis=1)
@@ -97,19 +161,24 @@ def test_held_out_languages(spark):
 
 
 def test_bundles_by_brute_force():
-    texts = ["", "a", "Über den Wolken", "x1 -- y\n\nz", "Ab ab AB", "\n"]
+    texts = ["", "a", "Über den Wolken", "x1 -- y\n\nz", "Ab ab AB", "\n", "\u4e2d\u6587\u5b57 \U00020000x"]
     got, has = langid.encode(texts)
-    v = langid._letters(langid.DIM).astype(int)
+    v = lambda code: langid.letter(code).astype(int)
     for t, g, h in zip(texts, got, has, strict=True):
         s = [0]
         for c in t.lower():
-            k = int(langid._slots()[ord(c)])
+            k = ord(c) if c.isalpha() else 0
             s += [k] if k or s[-1] else []
         s += [0] if s[-1] else []
-        want = sum((np.roll(v[a], 2) * np.roll(v[b], 1) * v[c] for a, b, c in zip(s, s[1:], s[2:]) if b), np.zeros(langid.DIM, dtype=int))
+        want = sum((np.roll(v(a), 2) * np.roll(v(b), 1) * v(c) for a, b, c in zip(s, s[1:], s[2:]) if b), np.zeros(langid.DIM, dtype=int))
         assert (g == want).all() and h == any(c.isalpha() for c in t)
 
 
+def test_every_letter_has_a_vector_of_its_own():
+    v = np.stack([langid.letter(c) for c in range(0x4E00, 0x4E00 + 600)]).astype(int)
+    assert (np.abs(v @ v.T - langid.DIM * np.eye(600)) < langid.DIM / 3).all()
+
+
 def test_odd_texts_are_undetermined(spark):
     rows = [(1, "der die das und nicht", "de"), (2, "the and of with from", "en"), (None, "the with and", None), (3, None, "en"), (4, "12 !", "de"), (2, "the and of with from", "en")]
     df = spark.createDataFrame([(*r, "x") for r in rows], DOC + ", score string")
