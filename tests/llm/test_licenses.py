@@ -102,3 +102,23 @@ def test_windows_add_rows_and_change_none(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     key = lambda rows: {tuple(r) for r in rows if r.part != "window"}
     assert key(L.licenses(df).collect()) == key(L.licenses(df, windows=True).collect())
+
+
+def test_every_template_inside_a_long_text_is_found_as_its_licence(spark):
+    """Each passage between other words, broken at its first and last words."""
+    rnd = random.Random(7)
+    say = lambda n: " ".join("".join(rnd.choices("abcdefgh", k=5)) for _ in range(n))
+    cases = [(name, t) for name, texts in L.with_fuller().items() for t in texts]
+    rows = [(i, say(300) + " " + "\n".join(t.replace(" ", "\n", 1).rsplit(" ", 3)) + " " + say(300)) for i, (_, t) in enumerate(cases)]
+    best = {}
+    for r in L.licenses(spark.createDataFrame(rows, "doc_id long, text string"), windows=True).collect():
+        best.setdefault(r.doc_id, {})[r.license] = r.dice
+    assert all(name in best[i] for i, (name, _) in enumerate(cases))
+    # Of notices that differ in few words, several licences are found. Where windows found them all, the own one is nearest.
+    whole = [(i, name) for i, (name, _) in enumerate(cases) if name not in L.TEMPLATES]
+    assert all(best[i][name] == max(best[i].values()) for i, name in whole)
+
+
+def test_a_very_long_text(spark):
+    text = "word " * 300_000 + L.with_fuller()["Zlib"][0] + " word" * 300_000
+    assert [r.license for r in L.licenses(spark.createDataFrame([(1, text)], "doc_id long, text string"), windows=True).collect()] == ["Zlib"]
