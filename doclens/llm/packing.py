@@ -35,10 +35,20 @@ _SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: chr(b) for b in _SEEN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _SEEN)}
 
 
+#: Texts that a vocabulary must encode by words as it does whole.
+_PROBES = [
+    "The quick brown Fox's tail -- 1234 times (or 5,678.90)!  A\ttab\n\nand a line; don't you'll we've I'm they're he'd",
+    "Über straße naïve CAFÉ Žluťoučký kůň ŁÓDŹ çà et là œuvre ¿qué? ±½ µm",
+    "snake_case_name x=y+z //path/to/file.txt #tag @user 100% $5.00 <b>bold</b> [1] {a:b} \"quoted\" 'single' a.b.c e-mail",
+    "repeat repeat repeat THE the The iPhone HTMLParser 3D 2x2 v1.0.0-rc1 0xFF __init__ ... !!! ??? --- ===",
+]
+
+
 class WordIds:
-    """The ids of texts. The tokenizer drops white space and joins nothing over it, so that each word is encoded once and remembered.
+    """The ids of texts. Where the tokenizer drops white space and joins nothing over it, each word is encoded once and remembered.
 
-    A new plain word is lower-cased, split and given to the tokenizer's model; all others go through the whole tokenizer.
+    A new plain word is lower-cased, split and given to the tokenizer's model; all others go through the whole tokenizer. That holds for some
+    vocabularies: whether it does for this one is found out with _PROBES, and where it does not, whole texts go through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -48,6 +58,12 @@ class WordIds:
         self.encode, self.model = tokenizer.encode_batch_fast, tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.by_words = False
+        try:
+            by_words = [b"".join(map(self._word, t.split())) for t in _PROBES]
+        except KeyError:  # a model without byte-level symbols
+            by_words = []
+        self.by_words = by_words == self._ids(_PROBES)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.encode(texts, add_special_tokens=False)]
@@ -70,7 +86,7 @@ class WordIds:
         out = []
         for t in texts:
             # Python's split also splits at four separators that are no white space to the tokenizer.
-            if any(c in t for c in _ODD_SPACE):
+            if not self.by_words or any(c in t for c in _ODD_SPACE):
                 out.append(self._ids([t])[0])
                 continue
             if len(self.known) > REMEMBERED:

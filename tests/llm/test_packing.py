@@ -91,3 +91,11 @@ def test_extra_columns_do_not_clash(spark):
     df = spark.createDataFrame([(1, "a b c", 7, "z"), (2, None, 8, None)], "doc_id long, text string, length int, rank string")
     assert P.pack(df).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert P.pack(df).count() == 2
+
+
+def test_other_tokenizers_give_their_own_ids():
+    """Where words can't be encoded apart, whole texts are."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, ids = Tokenizer.from_file(path), P.WordIds(path)
+    for t in TEXTS:
+        assert np.frombuffer(ids([t or ""])[0], dtype="<u4").tolist() == whole.encode(t or "", add_special_tokens=False).ids, t
