@@ -12,6 +12,18 @@ ENGLISH = ("the", "and", "this", "that", "is", "are", "activity", "funded", "fro
 UNTITLED = "Văn bản không rõ tiêu đề"
 
 
+#: The shapes of chunks. Patterns are read by Spark's and Python's regular expressions alike; those that end in _ANY ignore case.
+CONTINUED = r"^(?:và |hoặc |, |; |\. |: |\))"
+SMALL = r"^[a-zà-ỹđ]"
+LISTED = r"^[a-z]\d*[).]\s+"
+DECORATION = r"^[>#*\s]+"
+REFERRING_ANY = r"\b(?:mẫu số|phụ lục|biểu số)\s*:\s*$"
+OPEN_ENDS = (":", "(", "-", "/")
+SECTION_ANY = r"^(?:Phần|Chương)\s+(?:[IVXLC]+|\d+)\b|^Điều\s+\d+\b"
+SECTION = r"^(?:#{1,6}\s+\S|[IVXLC]+[.)]\s+|\d+\.\d+\b|\d+\.\s+|[a-z]\d*[).]\s+|[A-Z][.):\-]\s+)"
+SHORTEST, BAREST = 24, 10
+
+
 def contains_english(c: Column) -> Column:
     return c.rlike(rf"{UI}\b(?:{'|'.join(ENGLISH)})\b")
 
@@ -19,21 +31,17 @@ def contains_english(c: Column) -> Column:
 def is_weak(c: Column) -> Column:
     """A broken, cut or very short chunk. The range à-ỹ has capitals too, such as Đ."""
     t = strip(F.coalesce(c, F.lit("")))
-    return (
-        (F.length(t) < 24)
-        | t.rlike(rf"{U}^(?:và |hoặc |, |; |\. |: |\))")
-        | (t.rlike(rf"{U}^[a-zà-ỹđ]") & ~t.rlike(rf"{U}^[a-z]\d*[).]\s+"))
-        | (F.length(F.regexp_replace(t, rf"{U}^[>#*\s]+", "")) < 10)
-    )
+    return (F.length(t) < SHORTEST) | t.rlike(U + CONTINUED) | (t.rlike(U + SMALL) & ~t.rlike(U + LISTED)) | (F.length(F.regexp_replace(t, U + DECORATION, "")) < BAREST)
 
 
 def ends_with_connector(c: Column) -> Column:
-    return c.rlike(rf"{UI}\b(?:mẫu số|phụ lục|biểu số)\s*:\s*$") | F.regexp_replace(c, rf"{U}\s+$", "").rlike(r"[:(\-/]\z")
+    bare = F.regexp_replace(c, rf"{U}\s+$", "")
+    return c.rlike(UI + REFERRING_ANY) | F.right(bare, F.lit(1)).isin(*OPEN_ENDS)
 
 
 def starts_section(c: Column) -> Column:
     t = strip(c)
-    return t.rlike(rf"{UI}^(?:Phần|Chương)\s+(?:[IVXLC]+|\d+)\b|^Điều\s+\d+\b") | t.rlike(rf"{U}^(?:#{{1,6}}\s+\S|[IVXLC]+[.)]\s+|\d+\.\d+\b|\d+\.\s+|[a-z]\d*[).]\s+|[A-Z][.):\-]\s+)")
+    return t.rlike(UI + SECTION_ANY) | t.rlike(U + SECTION)
 
 
 def article_tag(c: Column) -> Column:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from doclens.functions import predicates as P
 from doclens.functions.text import UI, U, strip
 
 #: Fixed values, in order of priority.
@@ -56,72 +57,83 @@ def cap(chunks: Column, most: int = 40) -> Column:
 
 
 def _head(text: str) -> str:
-    first = next((x for x in text.splitlines() if x.strip()), "")
-    return first.strip().lstrip("#").strip()[:120]
+    first = next((x.strip() for x in text.split("\n") if x.strip()), "")
+    return first.lstrip("#").strip()[:120] if first.startswith("#") else first[:120]
+
+
+_CONTINUED, _SMALL, _LISTED, _DECORATION, _SECTION = (re.compile(p) for p in (P.CONTINUED, P.SMALL, P.LISTED, P.DECORATION, P.SECTION))
+_REFERRING, _SECTION_ANY = re.compile(P.REFERRING_ANY, re.IGNORECASE), re.compile(P.SECTION_ANY, re.IGNORECASE)
+_HEADING = re.compile(r"(#{1,6})\s*(.*)")
 
 
 def _weak(t: str) -> bool:
     t = t.strip()
-    cut = re.match(r"và |hoặc |, |; |\. |: |\)", t) or (re.match(r"[a-zà-ỹđ]", t) and not re.match(r"[a-z]\d*[).]\s+", t))
-    return len(t) < 24 or bool(cut) or len(re.sub(r"^[>#*\s]+", "", t)) < 10
+    return len(t) < P.SHORTEST or bool(_CONTINUED.match(t)) or bool(_SMALL.match(t) and not _LISTED.match(t)) or len(_DECORATION.sub("", t)) < P.BAREST
 
 
 def _connects(t: str) -> bool:
-    return bool(re.search(r"\b(?:mẫu số|phụ lục|biểu số)\s*:\s*$", t, re.I)) or t.rstrip().endswith((":", "(", "-", "/"))
+    return bool(_REFERRING.search(t)) or t.rstrip().endswith(P.OPEN_ENDS)
 
 
-_SECTION = re.compile(r"#{1,6}\s+\S|(?i:(?:Phần|Chương)\s+(?:[IVXLC]+|\d+)\b|Điều\s+\d+\b)|[IVXLC]+[.)]\s+|\d+\.\d+\b|\d+\.\s+|[a-z]\d*[).]\s+|[A-Z][.):\-]\s+")
+def _opens_section(t: str) -> bool:
+    return bool(_SECTION.match(t) or _SECTION_ANY.match(t))
 
 
-def _level(text: str, least: int = 80) -> list[dict]:
-    """One split: by headings if there are two, else by the first pattern that cuts."""
-    marks = [(m.start(), len(m.group(1))) for m in re.finditer(r"(?m)^(#{1,6})\s+\S", text)]
-    if len(marks) >= 2:
-        level = min(n for _, n in marks[1:])
-        cuts = [at for at, n in marks if n == level]
-        bounds = ([0] if cuts[0] > 0 else []) + cuts + [len(text)]
-        found = [text[a:b].strip() for a, b in zip(bounds, bounds[1:], strict=False)]
-        found = [t for t in found if len(t) >= least]
-        if found:
-            return [{"text": t, "split_by": "heading", "level": level, "header": _head(t)} for t in found]
-    for k, (name, p) in enumerate(_COMPILED):
+def _by_headings(text: str, least: int) -> list[dict]:
+    """Sections of at least `least` characters, cut at the headings of the highest level that any but the first has; [] if there are not two headings."""
+    lines = text.splitlines(keepends=True)
+    found = [(i, len(m[1]), m[2].strip()) for i, line in enumerate(lines) if (m := _HEADING.match(line)) and m[2].strip()]
+    if len(found) < 2:
+        return []
+    level = min(n for _, n, _ in found[1:])
+    cuts = [(i, title) for i, n, title in found if n == level]
+    bounds = [i for i, _ in cuts] + [len(lines)]
+    parts = [("".join(lines[: bounds[0]]).strip(), None)]
+    parts += [("".join(lines[a:b]).strip(), title) for (a, title), b in zip(cuts, bounds[1:], strict=True)]
+    return [{"text": t, "split_by": "heading_md", "level": level, "header": _head(t) if title is None else title} for t, title in parts if len(t) >= least]
+
+
+def _by_patterns(text: str) -> list[dict]:
+    """Parts cut before every match of the first pattern that gives more than one; [] without such a pattern."""
+    for name, p in _COMPILED:
         cuts = [m.start() for m in p.finditer(text)]
-        if len(cuts) >= 2:
-            bounds = ([0] if cuts[0] > 0 else []) + cuts + [len(text)]
-            found = [t for t in (text[a:b].strip() for a, b in zip(bounds, bounds[1:], strict=False)) if t]
-            if len(found) > 1:
-                return [{"text": t, "split_by": name, "level": k, "header": _head(t)} for t in found]
-    return [{"text": text, "split_by": "none", "level": 0, "header": _head(text)}]
+        if len(cuts) > 1:
+            bounds = sorted({0, *cuts, len(text)})
+            parts = [t for a, b in zip(bounds, bounds[1:], strict=False) if (t := text[a:b].strip())]
+            if len(parts) > 1:
+                return [{"text": t, "split_by": name, "level": 0, "header": _head(t)} for t in parts]
+    return []
 
 
-def _joined(chunks: list[dict], most: int) -> list[dict]:
-    """Weak, short and cut-off chunks go to their predecessors as long as they fit; then all of under 200 characters do."""
-    out: list[dict] = []
+def _level(text: str, least: int = 80) -> list[dict]:
+    """One split: by headings, else by patterns, else none."""
+    return _by_headings(text, least) or _by_patterns(text) or [{"text": text, "split_by": "none", "level": 0, "header": _head(text)}]
 
-    def add(text: str) -> None:
-        out[-1] = out[-1] | {"text": out[-1]["text"] + "\n" + text}
 
+def _joined(chunks: list[dict], most: int, section: int = 200) -> list[dict]:
+    """Weak, short and cut-off chunks go to their predecessors as long as they fit; then all of under `section` characters do.
+
+    A chunk that ends in the middle of a reference takes the next one's first sentence, after a space, and a new header with it.
+    """
+    out: list[dict] = []
     for c in chunks:
         t = c["text"].strip()
+        if t and out and _connects(out[-1]["text"]):
+            head, dot, t = t.partition(".")
+            longer = f"{out[-1]['text']} {(head + dot).strip()}"
+            out[-1] |= {"text": longer, "header": _head(longer)}
+            t = t.strip()
         if not t:
             continue
-        c = c | {"text": t}
-        if out and _connects(out[-1]["text"]):
-            head, dot, rest = t.partition(".")
-            add((head + dot).strip())
-            t = rest.strip() if dot else ""
-            if not t:
-                continue
-            c = c | {"text": t, "header": _head(t)}
-        room = out and len(out[-1]["text"]) + len(t) <= most
-        if room and ((_SECTION.match(t) and len(t) < 200) or (not _SECTION.match(t) and _weak(t))):
-            add(t)
+        joins = out and len(out[-1]["text"]) + len(t) <= most and (len(t) < section if _opens_section(t) else _weak(t))
+        if joins:
+            out[-1] |= {"text": f"{out[-1]['text']}\n{t}"}
         else:
-            out.append(c)
-    merged: list[dict] = []
-    for c in out:
-        if merged and len(c["text"]) < 200 and len(merged[-1]["text"]) + len(c["text"]) <= most:
-            merged[-1] = merged[-1] | {"text": merged[-1]["text"] + "\n" + c["text"]}
+            out.append(c | {"text": t})
+    merged = out[:1]
+    for c in out[1:]:
+        if len(c["text"]) < section and len(merged[-1]["text"]) + len(c["text"]) <= most:
+            merged[-1] |= {"text": f"{merged[-1]['text']}\n{c['text']}"}
         else:
             merged.append(c)
     return merged

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,16 +16,27 @@ def collection_of(kind: Column) -> Column:
     return F.when(kind == "law", "law").otherwise("knowledge")
 
 
-def records(chunks: DataFrame, collection: str = "collection", source: str = "source") -> DataFrame:
-    """Chunks as index rows: trimmed, blank ones dropped (numbers stay those before), with article and a stable id."""
+def records(chunks: DataFrame, collection: str = "collection", source: str = "source", embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Chunks as index rows: trimmed, blank ones dropped (numbers stay those before), with article, a stable id and, by `embed`, an embedding."""
     rows = chunks.withColumn("text", strip(F.col("text"))).where("text <> ''")
-    return rows.withColumn("article", article_tag(F.col("text"))).withColumn("id", F.sha2(F.to_json(F.struct(collection, source, "chunk_index")), 256))
+    rows = rows.withColumn("article", article_tag(F.col("text"))).withColumn("id", F.sha2(F.to_json(F.struct(F.col(collection).alias("collection"), F.col(source).alias("source"), "chunk_index")), 256))
+    return rows if embed is None else rows.withColumn("embedding", embed(F.col("text")))
 
 
 def add(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("collection").parquet(path)
 
 
+def read(spark: SparkSession, path: str) -> DataFrame | None:
+    """The index at a path; None if there is none yet."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    _recover(fs, jpath)
+    if not fs.exists(jpath) or not any(f.getPath().getName().startswith("collection=") for f in fs.listStatus(jpath)):
+        return None
+    return spark.read.parquet(path)
+
+
 def count_by_source(index: DataFrame) -> DataFrame:
     return index.where("source <> ''").groupBy("source").agg(F.count("*").alias("chunks"))
 
@@ -37,19 +50,37 @@ def without_source(index: DataFrame, source: str) -> DataFrame:
 
 
 def delete_by_source(spark: SparkSession, path: str, collection: str, source: str) -> int:
-    """Removes a source's rows from one collection's files and says how many there were. Only that partition is written anew, to a new folder first."""
+    """Removes a source's rows from one collection's files and says how many there were. Only that partition is written anew.
+
+    The new files are made aside (_new_), then the old ones are renamed away (_old_) and the new ones take their place. Whatever step a crash comes
+    after, the next read or delete finds all rows, old or new: it puts the old files back if the new ones have not taken their place.
+    """
+    if read(spark, path) is None:
+        return 0
     own = spark.read.parquet(path).where((F.col("collection") == collection) & (F.col("source") == source))
     n = own.count()
     if n:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        part, fresh = (jvm.org.apache.hadoop.fs.Path(f"{path}/{x}collection={collection}") for x in ("", "_new_"))
+        part, fresh, old = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{x}collection={collection}") for x in ("", "_new_", "_old_"))
         without_source(spark.read.parquet(part.toString()), source).write.mode("overwrite").parquet(fresh.toString())
-        fs = part.getFileSystem(conf)
-        fs.delete(part, True)
+        fs = part.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.rename(part, old)
         fs.rename(fresh, part)
+        fs.delete(old, True)
     return n
 
 
+def _recover(fs, root) -> None:
+    """Ends what a crashed delete has begun."""
+    found = [f.getPath() for f in fs.listStatus(root)] if fs.exists(root) else []
+    names = {p.getName(): p for p in found}
+    for name, p in names.items():
+        if name.startswith("_old_"):
+            if name.removeprefix("_old_") in names:
+                fs.delete(p, True)
+            else:
+                fs.rename(p, root.suffix("/" + name.removeprefix("_old_")))
+
+
 def first_per_label(docs: DataFrame, label: Column, order: str) -> DataFrame:
     """(label, first, duplicates): with equal labels the first in order is taken, the others are duplicates. Pre-aggregated, so a common label spreads."""
     return docs.groupBy(label.alias("label")).agg(F.min(order).alias("first"), (F.count("*") - 1).alias("duplicates"))

@@ -1,52 +1,133 @@
-"""Nearest chunks of each collection for a set of queries, their fused ranking, and the context made of it."""
+"""Nearest chunks of each collection for a set of queries, their fused ranking, and the context made of it.
+
+Vectors that are null or have a null or non-finite component are nobody's neighbours and have none; vectors are compared with those of
+their own length only. Ids may have any type; a row is no neighbour of the query of its own id, and null ids are unlike each other.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from doclens.functions.predicates import article_tag
 from doclens.functions.text import strip
 
-#: Queries that are compared with all rows in one pass.
-QUERY_BLOCK = 2000
+#: Queries that are compared with all rows in one pass, and rows that are compared with them at once.
+QUERY_BLOCK, ROW_BLOCK = 2000, 1024
+
+
+def comparable(v: Column) -> Column:
+    """Whether a vector can be compared: not null nor empty, no null, infinite or undefined component."""
+    return v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+
+
+class _Queries:
+    """A block of queries by the length of their vectors."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        ids, vectors = rows.column("query_id").to_pylist(), rows.column("v").to_pylist()
+        self.by_length = {}
+        for n in sorted(set(map(len, vectors))):
+            own = [i for i, v in enumerate(vectors) if len(v) == n]
+            self.by_length[n] = ([ids[i] for i in own], np.array([vectors[i] for i in own], dtype=np.float64))
+
+    def near(self, batch: pa.RecordBatch, bound: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple]:
+        """(length, queries, rows, distances) for the rows of a batch (id, v) that may be within bound(length, distances so far as products tell them).
+
+        Squared distances by products are only near the true ones: what is within the bound by a little more is computed by differences.
+        """
+        column = batch.column("v")
+        sizes = column.value_lengths().to_numpy()
+        ids = None if pa.types.is_nested(batch.column("id").type) else batch.column("id").to_pylist()
+        for n, (names, q) in self.by_length.items():
+            rows = np.flatnonzero(sizes == n)
+            where = {} if ids is None else {name: i for i, name in enumerate(names) if name is not None}
+            norms = (q * q).sum(axis=1)
+            for at in range(0, len(rows), ROW_BLOCK):
+                own = rows[at : at + ROW_BLOCK]
+                x = column.take(pa.array(own)).flatten().to_numpy().reshape(len(own), n).astype(np.float64)
+                squares = (x * x).sum(axis=1)
+                d = norms[:, None] + squares[None, :] - 2 * (q @ x.T)
+                for r, i in enumerate(own.tolist() if where else ()):
+                    k = where.get(ids[i], -1)
+                    if k >= 0:
+                        d[k, r] = np.inf
+                slack = 1e-12 * (norms[:, None] + squares[None, :])
+                k, r = np.nonzero(d <= bound(n, d)[:, None] + slack)
+                exact = np.concatenate([((x[r[i : i + 20_000]] - q[k[i : i + 20_000]]) ** 2).sum(axis=1) for i in range(0, len(k), 20_000)]) if len(k) else np.zeros(0)
+                some = np.isfinite(d[k, r])
+                yield n, k[some], own[r[some]], exact[some]
+
+
+def _in_blocks(queries: DataFrame, each: Callable[[_Queries], DataFrame]) -> DataFrame:
+    """The union of each(block) over blocks of about QUERY_BLOCK queries (query_id, v)."""
+    some = queries.where(comparable(F.col("v"))).select("query_id", F.col("v").cast("array<double>").alias("v"))
+    blocks = max(1, -(-some.count() // QUERY_BLOCK))
+    out = None
+    for b in range(blocks):
+        own = some.where(F.pmod(F.xxhash64("query_id", "v"), F.lit(blocks)) == b) if blocks > 1 else some
+        part = each(_Queries(own.toArrow()))
+        out = part if out is None else out.union(part)
+    return out
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, collection, id, dist, rank): of each collection the k rows at the least squared distance, equal ones by id.
 
-    queries (query_id, v) are taken in blocks of about QUERY_BLOCK, each one a pass over corpus (id, collection, v): a task keeps
-    the k best of every batch, so the shuffle has k rows for each query, collection and batch. A row is no neighbour of the query of its own id.
+    queries (query_id, v) are taken in blocks of about QUERY_BLOCK, each one a pass over corpus (id, collection, v): a task keeps its k best
+    rows for each query and collection, and those alone are shuffled.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    out = None
-    for b in range(blocks):
-        own = (queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries).select("query_id", "v").toPandas()
-        if own.empty and out is not None:
-            continue
-        ids, q = own["query_id"].to_numpy(), np.stack(own["v"].to_numpy()).astype(np.float64) if len(own) else np.zeros((0, 1))
+    kinds, of = dict(queries.dtypes), dict(corpus.dtypes)
+    rows = corpus.where(comparable(F.col("v"))).select("id", F.col("collection").cast("string").alias("collection"), F.col("v").cast("array<double>").alias("v"))
+    # In the order of ids, the first of equally near rows is the one that counts.
+    rows = rows.sortWithinPartitions("collection", "id")
+
+    def each(block: _Queries) -> DataFrame:
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept: dict[tuple, tuple[np.ndarray, np.ndarray, list]] = {}  # by collection and length: queries, distances, ids
+
+            def bound(c, n, d):
+                worst = np.full(len(d), np.inf)
+                q, dist, _ = kept.get((c, n), (np.zeros(0, dtype=np.int64), np.zeros(0), []))
+                count = np.bincount(q, minlength=len(d))
+                full = count >= k
+                if len(q):
+                    worst[full] = np.array([dist[e - 1] for e in np.cumsum(count)[full]])
+                if d.shape[1] > k:
+                    worst = np.minimum(worst, np.partition(d, k - 1, axis=1)[:, k - 1])
+                return worst
 
-        def best(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                name, kind = batch.column("id").to_numpy(), np.array(batch.column("collection").to_pylist())
-                x = np.array(batch.column("v").to_pylist(), dtype=np.float64)
-                for c in np.unique(kind):
-                    rows = np.flatnonzero(kind == c)
-                    for i, one in enumerate(q):
-                        d = ((x[rows] - one) ** 2).sum(axis=1)
-                        d[name[rows] == ids[i]] = np.inf
-                        top = np.lexsort((name[rows], d))[:k] if len(d) <= 4 * k else (lambda near: near[np.lexsort((name[rows[near]], d[near]))[:k]])(np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]))
-                        top = top[np.isfinite(d[top])]
-                        if len(top):
-                            yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(top)), pa.array([str(c)] * len(top)), pa.array(name[rows[top]]), pa.array(d[top])], names=["query_id", "collection", "id", "dist"])
-
-        part = corpus.select("id", "collection", "v").mapInArrow(best, "query_id long, collection string, id long, dist double")
-        out = part if out is None else out.union(part)
+                kinds_ = batch.column("collection")
+                for c in kinds_.unique().to_pylist():
+                    part = batch.filter(pa.compute.equal(kinds_, c) if c is not None else pa.compute.is_null(kinds_))
+                    names = part.column("id").to_pylist()
+                    for n, q, r, d in block.near(part, lambda n, d, c=c: bound(c, n, d)):
+                        q0, d0, i0 = kept.get((c, n), (np.zeros(0, dtype=np.int64), np.zeros(0), []))
+                        q1, d1, i1 = np.concatenate((q0, q)), np.concatenate((d0, d)), [*i0, *(names[i] for i in r.tolist())]
+                        order = np.lexsort((np.arange(len(q1)), d1, q1))
+                        q1, d1 = q1[order], d1[order]
+                        rank = np.arange(len(q1)) - np.searchsorted(q1, q1)
+                        some = rank < k
+                        kept[c, n] = (q1[some], d1[some], [i1[i] for i in order[some].tolist()])
+            for (c, n), (q, d, ids) in kept.items():
+                names = block.by_length[n][0]
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q.tolist()], out[0]), pa.array([c] * len(q), pa.string()), pa.array(ids, out[1]), pa.array(d)], names=["query_id", "collection", "id", "dist"])
+
+        return rows.mapInArrow(best, f"query_id {kinds['query_id']}, collection string, id {of['id']}, dist double")
+
+    out = (_arrow(queries, "query_id"), _arrow(corpus, "id"))
     w = Window.partitionBy("query_id", "collection").orderBy("dist", "id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return _in_blocks(queries, each).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _arrow(df: DataFrame, column: str) -> pa.DataType:
+    return df.select(column).limit(0).toArrow().schema.field(column).type
 
 
 def within(queries: DataFrame, corpus: DataFrame, least: float = 0.8) -> DataFrame:
@@ -54,24 +135,22 @@ def within(queries: DataFrame, corpus: DataFrame, least: float = 0.8) -> DataFra
 
     Queries are taken in blocks as in knn; a task writes its hits alone.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    out = None
-    for b in range(blocks):
-        own = (queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries).select("query_id", "v").toPandas()
-        ids, q = own["query_id"].to_numpy(), np.stack(own["v"].to_numpy()).astype(np.float64) if len(own) else np.zeros((0, 1))
+    kinds, of = dict(queries.dtypes), dict(corpus.dtypes)
+    rows = corpus.where(comparable(F.col("v"))).select("id", F.col("v").cast("array<double>").alias("v"))
+    out = (_arrow(queries, "query_id"), _arrow(corpus, "id"))
 
-        def hits(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
+    def each(block: _Queries) -> DataFrame:
+        def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                name, x = batch.column("id").to_numpy(), np.array(batch.column("v").to_pylist(), dtype=np.float64)
-                for i, one in enumerate(q if len(name) else ()):
-                    near = 1 - ((x - one) ** 2).sum(axis=1)
-                    rows = np.flatnonzero((near >= least) & (name != ids[i]))
-                    if len(rows):
-                        yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(rows)), pa.array(name[rows]), pa.array(near[rows])], names=["query_id", "id", "similarity"])
-
-        part = corpus.select("id", "v").mapInArrow(hits, "query_id long, id long, similarity double")
-        out = part if out is None else out.union(part)
-    return out
+                ids = batch.column("id")
+                for n, q, r, d in block.near(batch, lambda n, d: np.full(len(d), 1 - least)):
+                    some = 1 - d >= least
+                    names = block.by_length[n][0]
+                    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q[some].tolist()], out[0]), ids.take(pa.array(r[some])), pa.array(1 - d[some])], names=["query_id", "id", "similarity"])
+
+        return rows.mapInArrow(hits, f"query_id {kinds['query_id']}, id {of['id']}, similarity double")
+
+    return _in_blocks(queries, each)
 
 
 def rank_fused(hits: DataFrame, k: int = 6) -> DataFrame:
@@ -95,6 +174,19 @@ def context(ranked: DataFrame) -> DataFrame:
     return rows.select("query_id", F.array_join("b.block", "\n\n").alias("context"))
 
 
+def retrieve_context(queries: DataFrame, index: DataFrame, embed: Callable[[Column], Column], n: int = 5, k: int = 6) -> DataFrame:
+    """(query_id, context) of every row of queries (query_id, text): the n nearest chunks of each collection, fused to k, as labelled blocks; '' without any.
+
+    index has the rows of index.records: id, collection, embedding, text, source, article, issuer. A null text is like an empty one. Of rows that
+    share an id (or have none) the first text in order is asked, and each of them gets its context.
+    """
+    asked = queries.groupBy("query_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    hits = knn(asked.select("query_id", embed(F.col("text")).alias("v")), index.select("id", "collection", F.col("embedding").alias("v")), n)
+    rows = hits.join(index.select("id", "text", "source", "issuer", F.coalesce("article", article_tag(F.col("text"))).alias("article")), "id")
+    made = context(rank_fused(rows, k)).withColumnRenamed("query_id", "__query")
+    return queries.select("query_id").join(made, F.col("query_id").eqNullSafe(F.col("__query")), "left").select("query_id", F.coalesce("context", F.lit("")).alias("context"))
+
+
 def similar(queries: DataFrame, corpus: DataFrame, least: float = 0.8) -> DataFrame:
     """(query_id, id, similarity): the nearest row of any collection where 1 - dist reaches `least`."""
     near = knn(queries, corpus.withColumn("collection", F.lit("")), 1)

@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from doclens.functions.predicates import contains_english
+from doclens.functions.text import without_echoes
+
 NO_CONTEXT = "Không tìm thấy tài liệu liên quan."
 QA_HEAD = "Bạn là trợ lý pháp lý. Chỉ trả lời bằng tiếng Việt và chỉ dựa trên ngữ cảnh.\n\nCâu hỏi:\n"
 
@@ -30,10 +33,17 @@ def generate(df: DataFrame, prompt: str, into: str, model: Callable[[list[str]],
 
 
 def answer(questions: DataFrame, contexts: DataFrame, model: Callable[[list[str]], list[str]]) -> DataFrame:
-    """(query_id, answer, context, has_context): the model isn't asked without a context."""
+    """(query_id, answer, context, has_context): the model isn't asked without a context.
+
+    Replies are cleaned of what repeats the prompt; one of over 100 characters with English in it is asked for once more, and the second counts.
+    """
     rows = questions.join(contexts, "query_id", "left").withColumn("has_context", F.coalesce("context", F.lit("")) != "")
-    rows = rows.withColumn("prompt", F.when(F.col("has_context"), qa_prompt(F.col("question"), F.col("context"))))
-    return generate(rows, "prompt", "reply", model).select("query_id", F.coalesce("reply", F.lit(NO_CONTEXT)).alias("answer"), F.coalesce("context", F.lit("")).alias("context"), "has_context")
+    rows = generate(rows.withColumn("prompt", F.when(F.col("has_context"), qa_prompt(F.col("question"), F.col("context")))), "prompt", "reply", model)
+    rows = rows.withColumn("reply", F.when(F.col("reply").isNotNull(), without_echoes(F.col("reply"))))
+    foreign = contains_english(F.col("reply")) & (F.length("reply") > 100)
+    rows = generate(rows.withColumn("again", F.when(foreign, F.col("prompt"))), "again", "second", model)
+    said = F.when(F.col("again").isNotNull(), without_echoes(F.col("second"))).otherwise(F.col("reply"))
+    return rows.select("query_id", F.coalesce(said, F.lit(NO_CONTEXT)).alias("answer"), F.coalesce("context", F.lit("")).alias("context"), "has_context")
 
 
 def documents_context(texts: Column) -> Column:

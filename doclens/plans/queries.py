@@ -78,10 +78,10 @@ def format_context(spark, sf_dir):
     return retrieval.context(_ranked(spark, sf_dir))
 
 
-@_query(f"WITH {_CONTEXT} SELECT query_id, '{prompts.QA_HEAD}' || conversations.text || chr(10) || chr(10) || 'Ngữ cảnh:' || chr(10) || context AS prompt FROM blocks JOIN conversations ON conv_id = query_id AND turn = 0")
+@_query(f"WITH {_CONTEXT} SELECT conv_id AS query_id, '{prompts.QA_HEAD}' || text || chr(10) || chr(10) || 'Ngữ cảnh:' || chr(10) || coalesce(context, '{prompts.NO_CONTEXT}') AS prompt FROM conversations LEFT JOIN blocks ON conv_id = query_id WHERE turn = 0")
 def qa_prompt(spark, sf_dir):
     asked = _t(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("question"))
-    return retrieval.context(_ranked(spark, sf_dir)).join(asked, "query_id").select("query_id", prompts.qa_prompt(F.col("question"), F.col("context")).alias("prompt"))
+    return asked.join(retrieval.context(_ranked(spark, sf_dir)), "query_id", "left").select("query_id", prompts.qa_prompt(F.col("question"), F.col("context")).alias("prompt"))
 
 
 @_query(f"WITH {_NEAR}, one AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dist, id) = 1) SELECT query_id, id, round(1 - dist, 6) AS similarity FROM one WHERE 1 - dist >= 0.8")
@@ -268,9 +268,102 @@ def feedback_log(spark, sf_dir):
     return files.numbered_feedback(rows).drop("time")
 
 
-@_query()
+#: A chapter of over 4000 characters is cut into articles, which are joined as long as they fit; other chapters stay whole. Then chunks of under 200
+#: characters go to their predecessors if they fit. `most` is the size, `small` what is short.
+_CHAPTERS = """l AS (SELECT c_nationkey::BIGINT AS doc_id, c_custkey AS c, i, CASE WHEN i = 1 THEN 'Chương ' || c_custkey || chr(10) || line ELSE line END AS t, line, sum(length(line) + 1) OVER (PARTITION BY c_custkey) + length('Chương ' || c_custkey) AS whole FROM items),
+a AS (SELECT c, i, whole, 1 AS g, length(t)::BIGINT AS n FROM l WHERE i = 1
+  UNION ALL SELECT l.c, l.i, l.whole, CASE WHEN l.whole <= 4000 OR a.n + length(l.line) <= 4000 THEN g ELSE g + 1 END, CASE WHEN l.whole <= 4000 OR a.n + length(l.line) <= 4000 THEN a.n + 1 + length(l.line) ELSE length(l.line) END FROM a JOIN l ON l.c = a.c AND l.i = a.i + 1),
+p AS (SELECT l.doc_id, c, g, l.whole > 4000 AS big, string_agg(t, chr(10) ORDER BY i) AS t FROM l JOIN a USING (c, i) GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c, g) AS k FROM p),
+b AS (SELECT doc_id, k, 0 AS chunk_index, length(t)::BIGINT AS n FROM o WHERE k = 1
+  UNION ALL SELECT o.doc_id, o.k, CASE WHEN length(o.t) < 200 AND b.n + length(o.t) <= 4000 THEN chunk_index ELSE chunk_index + 1 END, CASE WHEN length(o.t) < 200 AND b.n + length(o.t) <= 4000 THEN b.n + 1 + length(o.t) ELSE length(o.t) END FROM b JOIN o ON o.doc_id = b.doc_id AND o.k = b.k + 1)
+SELECT doc_id, chunk_index::INT AS chunk_index, string_agg(t, chr(10) ORDER BY k) AS text, CASE WHEN arg_min(big, k) OR max(chapters) < 2 THEN 'article' ELSE 'chapter' END AS split_by, 0 AS level, substr(regexp_extract(arg_min(t, k), '^[^\\n]*'), 1, 120) AS header
+FROM b JOIN o USING (doc_id, k) JOIN (SELECT doc_id, count(DISTINCT c) AS chapters FROM o GROUP BY doc_id) USING (doc_id) GROUP BY doc_id, chunk_index"""
+
+
+@_query(f"WITH RECURSIVE {fixture.items_sql('c_custkey')}, {_CHAPTERS}")
 def split_recursive(spark, sf_dir):
-    return chunking.split_recursive(fixture.admin_docs(spark, sf_dir))
+    """Documents of many chapters, most of them longer than a chunk may be."""
+    return chunking.split_recursive(fixture.chapter_docs(spark, sf_dir))
+
+
+@_query(f"""WITH {fixture.items_sql('l_orderkey')}, s AS (
+  SELECT DISTINCT l_orderkey AS doc_id, 0 AS i, '# Văn bản ' || l_orderkey || chr(10) || rtrim('{fixture.PREAMBLE}') AS text, 'Văn bản ' || l_orderkey AS header FROM items
+  UNION ALL SELECT l_orderkey, i, '## Mục ' || i || chr(10) || line || chr(10) || line, 'Mục ' || i FROM items WHERE i % 3 <> 0)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_index, text, 'heading_md' AS split_by, 2 AS level, header FROM s""")
+def split_headings(spark, sf_dir):
+    """Markdown documents, of which sections of under 80 characters are dropped."""
+    return chunking.split_recursive(fixture.heading_docs(spark, sf_dir))
+
+
+@_query("SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'hạng ' || o_orderstatus END AS body_text FROM orders")
+def body_without_markers(spark, sf_dir):
+    return metadata.extract_metadata(fixture.plain_docs(spark, sf_dir)).select("doc_id", "body_text")
+
+
+_ARRIVING = """SELECT n_nationkey::BIGINT * 6 + v AS doc_id, 'law' AS collection,
+  CASE v WHEN 4 THEN 'Văn bản không rõ tiêu đề' WHEN 5 THEN 'Văn bản không rõ tiêu đề' ELSE (n_nationkey + CASE v WHEN 2 THEN 200 WHEN 3 THEN 300 ELSE 100 END) || '/UBND-TH — V/v rà soát ' || n_name END AS source,
+  CASE WHEN v IN (1, 2) THEN 'duplicate' WHEN v IN (0, 3) THEN 'success' WHEN n_nationkey > 0 OR v = 5 THEN 'duplicate' ELSE 'success' END AS status,
+  CASE WHEN v = 2 THEN (n_nationkey + 100) || '/UBND-TH — V/v rà soát ' || n_name END AS matched_source,
+  CASE WHEN v IN (0, 3) OR (v = 4 AND n_nationkey = 0) THEN 1 ELSE 0 END::BIGINT AS chunks,
+  CASE WHEN v IN (0, 3) OR (v = 4 AND n_nationkey = 0) THEN 0 ELSE 1 END::BIGINT AS existing_chunks
+FROM nation, range(6) r(v)"""
+
+
+@_query(_ARRIVING)
+def ingest_status(spark, sf_dir):
+    """What becomes of documents that arrive in order: of each nation a first one, one of the same label, one alike in content, an unlike one, one without header, an empty one."""
+    return ingestion.decided(*ingestion.prepared(fixture.arriving_docs(spark, sf_dir)), None)
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _letters(c):
+    """A stand-in for a sentence model that SQL can express: the counts of letters, at length 1."""
+    low = F.lower(c)
+    counts = F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))).cast("double") for x in _LETTERS])
+    return text.let(counts, lambda v: text.let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0))))
+
+
+_FLOW = f"""e AS (SELECT *, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS n FROM (
+  SELECT kind, id, collection, text, source, list_transform(string_split_regex('{_LETTERS}', ''), lambda x: (length(lower(text)) - length(replace(lower(text), x, '')))::DOUBLE) AS c FROM (
+    SELECT 'd' AS kind, doc_id AS id, CASE WHEN source = 'src0' THEN 'law' ELSE 'knowledge' END AS collection, regexp_replace(text, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS text, source FROM documents
+    UNION ALL SELECT 'q', item_id, '', text, '' FROM benchmark))),
+v AS (SELECT *, list_transform(c, lambda x: CASE WHEN n > 0 THEN x / n ELSE 0 END) AS v FROM e),
+d AS (SELECT q.id AS query_id, d.collection, d.id, d.text, coalesce(d.source, '') AS source, regexp_extract(d.text, '(?i)(Điều\\s+\\d+)', 1) AS article, list_sum(list_transform(range(1, 27), lambda i: (d.v[i] - q.v[i]) * (d.v[i] - q.v[i]))) AS dist,
+  sha256(concat('{{"collection":"', d.collection, '","source":"', d.source, '","chunk_index":', d.id, '}}')) AS key FROM v q JOIN v d ON q.kind = 'q' AND d.kind = 'd' AND d.text <> ''),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY round(dist, 12), key) AS rank FROM d QUALIFY rank <= 5),
+scored AS (SELECT *, 1 / (1 + dist) + CASE collection WHEN 'law' THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN article <> '' THEN 0.05::DOUBLE ELSE 0 END AS score, CASE collection WHEN 'law' THEN 0 ELSE 1 END AS o, substr(text, 1, 200) AS start FROM hits),
+uniq AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, start ORDER BY round(score, 12) DESC, o, rank) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, o, rank) AS pos FROM uniq QUALIFY pos <= 6),
+flow AS (SELECT query_id, string_agg(CASE collection WHEN 'law' THEN '[LUẬT' || CASE WHEN article <> '' THEN ' - ' || article ELSE '' END ELSE '[TÀI LIỆU' END || ']' || chr(10) || text || CASE WHEN source <> '' THEN chr(10) || '(Nguồn: ' || substr(source, 1, 80) || ')' ELSE '' END, chr(10) || chr(10) ORDER BY pos) AS context FROM ranked GROUP BY query_id)"""
+
+
+def _flow(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Questions (items of benchmark), and their contexts from an index of the documents."""
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_index"), "text", "source", F.lit("").alias("issuer"), F.when(F.col("source") == "src0", "law").otherwise("knowledge").alias("collection"))
+    asked = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return asked, retrieval.retrieve_context(asked, index.records(docs, embed=_letters), _letters)
+
+
+@_query(f"WITH {_FLOW} SELECT item_id AS query_id, coalesce(context, '') AS context FROM benchmark LEFT JOIN flow ON item_id = query_id")
+def retrieve_context(spark, sf_dir):
+    """From documents to index rows with embeddings, to the nearest chunks of each collection, to one context for each question."""
+    return _flow(spark, sf_dir)[1]
+
+
+@_query(f"WITH {_FLOW} SELECT item_id AS query_id, 'Câu hỏi dài ' || length('{prompts.QA_HEAD}' || text || chr(10) || chr(10) || 'Ngữ cảnh:' || chr(10) || context) || ' ký tự' AS answer, context <> '' AS has_context FROM benchmark JOIN flow ON item_id = query_id")
+def qa_answers(spark, sf_dir):
+    """Answers of a model that says how long its prompt is."""
+    asked, contexts = _flow(spark, sf_dir)
+    return prompts.answer(asked.select("query_id", F.col("text").alias("question")), contexts, lambda ps: [f"Câu hỏi dài Output: {len(p)} ký tự" for p in ps]).select("query_id", "answer", "has_context")
+
+
+@_query(_admin(f"SELECT doc_id, CASE WHEN length({_L}[1]) <= 25 AND length({_L}[2]) <= 80 THEN {_L}[1] || ' ' || {_L}[2] ELSE {_L}[1] END AS issuer, replace(regexp_extract(text, '(?i)số\\s*:\\s*(\\d{{1,6}}\\s*/\\s*[A-ZĐ-]+)', 1), ' ', '') AS so_van_ban, {_L}[4] AS ngay_ban_hanh, {_L}[5] AS tieu_de, {_L}[7] AS can_cu FROM admin_docs"))
+def metadata_below_motto(spark, sf_dir):
+    """The header fields of documents below a motto, with blank lines and no-break spaces."""
+    return metadata.extract_metadata(fixture.motto_docs(spark, sf_dir)).select("doc_id", "issuer", "so_van_ban", "ngay_ban_hanh", "tieu_de", "can_cu")
 
 
 _UNITS = """u AS (SELECT l_orderkey AS doc_id, 'Phòng Nghiệp vụ ' || l_suppkey AS don_vi, min(i) AS i, CASE min(i) % 3 WHEN 0 THEN 'chủ trì' WHEN 1 THEN 'phối hợp' ELSE 'hỗ trợ' END AS vai_tro FROM items WHERE l_orderkey IN (SELECT doc_id FROM admin_docs) GROUP BY l_orderkey, l_suppkey),
@@ -314,7 +407,7 @@ def extract_title_head(spark, sf_dir):
 @_query("""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r]'), lambda x: regexp_replace(x, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(?:ví dụ|input:|output:|kết quả tốt|kết quả:|các ý đầu vào|các ý cần gộp)')), lambda x: trim(ltrim(x, '→'))), ' '),
 '(?i)\\b(?:Kết quả tốt|Kết quả|Ví dụ|Input|Output)[\\s\\p{Z}]*:[\\s\\p{Z}]*', '', 'g'), '\\[[A-Z_]+\\]', '', 'g'), '[\\s\\p{Z}]+', ' ', 'g')) AS plain FROM documents""")
 def sanitize_artifacts(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", analysis.without_echoes(F.col("text")).alias("plain"))
+    return _t(spark, sf_dir, "documents").select("doc_id", text.without_echoes(F.col("text")).alias("plain"))
 
 
 @_query("SELECT event_id, event_id % 4 <> 3 AS is_json, CASE WHEN event_id % 4 = 3 THEN 'không nói rõ' ELSE event_type || '; ' || user_id END AS kinh_phi, CASE WHEN event_id % 4 = 3 THEN '' ELSE 'đơn vị ' || user_id END AS don_vi FROM events")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -14,16 +15,36 @@ from pyspark.sql import functions as F
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
+_LEVEL = re.compile(r"heading\s*(\d)", re.IGNORECASE)
+
+
+def _styles(archive: zipfile.ZipFile) -> dict[str, str]:
+    """The names of paragraph styles by their ids; ids are localised, names are not."""
+    if "word/styles.xml" not in archive.namelist():
+        return {}
+    out = {}
+    for s in ElementTree.fromstring(archive.read("word/styles.xml")).iter(_W + "style"):
+        name = s.find(_W + "name")
+        out[s.get(_W + "styleId", "")] = name.get(_W + "val", "") if name is not None else ""
+    return out
+
+
 def docx_text(data: bytes) -> str:
-    """Paragraphs of a DOCX file, one a line; headings get as many # as their numbering is deep."""
-    body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml"))
-    out = []
-    for p in body.iter(_W + "p"):
+    """Paragraphs of a DOCX file, one a line. Headings get as many # as their numbering is deep, and without numbering as their style says, 6 at most."""
+    archive = zipfile.ZipFile(io.BytesIO(data))
+    names, out = _styles(archive), []
+    for p in ElementTree.fromstring(archive.read("word/document.xml")).iter(_W + "p"):
         text = "".join(t.text or "" for t in p.iter(_W + "t")).strip()
-        style, level = p.find(f"{_W}pPr/{_W}pStyle"), p.find(f"{_W}pPr/{_W}numPr/{_W}ilvl")
-        if text:
-            heading = style is not None and "heading" in style.get(_W + "val", "").lower()
-            out.append("#" * (int(level.get(_W + "val", "0")) + 1 if level is not None else 1) * heading + " " * heading + text)
+        if not text:
+            continue
+        style, number = p.find(f"{_W}pPr/{_W}pStyle"), p.find(f"{_W}pPr/{_W}numPr/{_W}ilvl")
+        own = "" if style is None else style.get(_W + "val", "")
+        name = names.get(own) or own
+        if "heading" in name.lower():
+            said = _LEVEL.search(name)
+            level = int(number.get(_W + "val", "0")) + 1 if number is not None else int(said[1]) if said else 1
+            text = f"{'#' * min(6, max(1, level))} {text}"
+        out.append(text)
     return "\n".join(out)
 
 

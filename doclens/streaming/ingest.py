@@ -2,26 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from doclens.operators import chunking, index
+from doclens.operators import chunking, index, ingestion
+
 
+def start(docs: DataFrame, index_path: str, checkpoint: str, embed: Callable[[Column], Column] | None = None) -> StreamingQuery:
+    """docs (doc_id, source, collection, text) as a stream: of each batch, documents whose source is new are chunked and appended.
 
-def start(docs: DataFrame, index_path: str, checkpoint: str) -> StreamingQuery:
-    """docs (doc_id, source, collection, text) as a stream: of each batch, documents whose source is new are chunked and appended."""
+    Of a source, the document with the smallest id counts. Documents without a source (null) are no copies of each other: all are added. With `embed`, rows
+    have embeddings, and the duplicates of ingestion.ingest by label and content are left out instead, source being what the document itself says.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
+        if embed is not None:
+            ingestion.ingest(df, index_path, embed)
+            return
         spark = df.sparkSession
-        firsts = df.groupBy("source").agg(F.min("doc_id").alias("doc_id"))
-        new = df.join(firsts, ["source", "doc_id"])
-        try:
-            new = index.new_labels(new, spark.read.parquet(index_path))
-        except Exception as e:  # there is no index before the first batch
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        chunks = chunking.split_recursive(new).join(new.select("doc_id", "source", "collection"), "doc_id")
-        index.add(index.records(chunks).select("collection", "id", "source", "article", "chunk_index", "text"), index_path)
+        named, unnamed = df.where("source is not null"), df.where("source is null")
+        firsts = named.groupBy("source").agg(F.min("doc_id").alias("doc_id"))
+        new, stored = named.join(firsts, ["source", "doc_id"]), index.read(spark, index_path)
+        if stored is not None:
+            new = index.new_labels(new, stored)
+        new = new.select("doc_id", "source", "collection", "text").union(unnamed.select("doc_id", "source", "collection", "text"))
+        cut = new.select("doc_id", "source", "collection", F.explode(chunking.chunk_arrays(F.col("text"))).alias("c")).select("doc_id", "source", "collection", "c.chunk_index", "c.text")
+        named_by = F.coalesce("source", F.concat(F.lit("\x00"), F.col("doc_id").cast("string")))
+        rows = index.records(cut.withColumn("__name", named_by), source="__name").select("collection", "id", "source", "article", "chunk_index", "text")
+        if not rows.isEmpty():
+            index.add(rows, index_path)
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from doclens.functions import json
-from doclens.operators import analysis, chunking, extraction, ingestion, metadata
+from doclens.functions import json, text
+from doclens.operators import analysis, chunking, extraction, ingestion, metadata, retrieval
 from doclens.plans import prompts
 
 DOC = "doc_id long, text string"
@@ -83,8 +83,8 @@ def test_steps(spark):
 
 
 def test_without_echoes(spark):
-    assert one(spark, "Ví dụ: bỏ\n→→ giữ  lại [NHAN]\r\n\nInput: bỏ\nlà Kết quả: xong", analysis.without_echoes) == "giữ lại là xong"
-    assert one(spark, None, analysis.without_echoes) == ""
+    assert one(spark, "Ví dụ: bỏ\n→→ giữ  lại [NHAN]\r\n\nInput: bỏ\nlà Kết quả: xong", text.without_echoes) == "giữ lại là xong"
+    assert one(spark, None, text.without_echoes) == ""
 
 
 def record(**x):
@@ -164,10 +164,60 @@ def test_accept_is_greedy_in_order(spark, seed):
     r = random.Random(seed)
     docs = [(i, r.choice(["A", "B", None, f"L{i}"])) for i in range(40)]
     links = [p for p in itertools.combinations(range(40), 2) if r.random() < 0.06]
-    got = ingestion.accept(spark.createDataFrame(docs, "seq long, label string"), spark.createDataFrame(links, "earlier long, later long")).collect()
+    state = spark.createDataFrame([(i, label, i, True) for i, label in docs], "seq long, label string, twin long, counts boolean")
+    got = ingestion.accept(state, spark.createDataFrame(links, "earlier long, later long")).collect()
     assert len(got) == 40 and {x.seq for x in got if x.status == "accepted"} == greedy(docs, links)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_accept_by_classes_of_equal_documents(spark, seed):
+    """Links are between classes; documents that bring nothing refuse no other."""
+    r = random.Random(seed)
+    docs = [(i, r.choice(["A", None, f"L{i}"]), r.choice([None, *range(12)]), r.random() < 0.8) for i in range(40)]
+    near = [p for p in itertools.combinations(range(12), 2) if r.random() < 0.1]
+    taken, labels, classes, want = set(), set(), set(), set()
+    for seq, label, twin, counts in docs:
+        alike = twin is not None and (twin in classes or any({twin, c} in map(set, near) for c in classes))
+        if not alike and (label is None or label not in labels):
+            want.add(seq)
+            if counts:
+                taken.add(seq)
+                labels.add(label)
+                classes |= {twin} - {None}
+    got = ingestion.accept(spark.createDataFrame(docs, "seq long, label string, twin long, counts boolean"), spark.createDataFrame(near or [(90, 91)], "earlier long, later long")).collect()
+    assert {x.seq for x in got if x.status == "accepted"} == want and len(got) == 40
+
+
+def test_resolve_many_equal_and_odd_vectors(spark):
+    schema = "id long, label string, v array<double>"
+    batch = [(i, None, [1.0, 0.0]) for i in range(50)] + [(60, None, None), (61, None, [float("nan"), 1.0]), (62, None, [1.0]), (63, "x", None), (64, "x", None), (65, None, [0.0, 1.0])]
+    got = {r.id: r.status for r in ingestion.resolve(spark.createDataFrame(batch, schema), spark.createDataFrame([], schema)).collect()}
+    assert len(got) == 56 and {i for i, s in got.items() if s == "accepted"} == {0, 60, 61, 62, 63, 65}
+
+
+def test_ingest_in_two_batches(spark, tmp_path):
+    """The second batch meets the first one in the index: by label, by content (with the nearest source), or not at all."""
+    say = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    head = lambda n: f"Số: {n}/UBND-TH\nV/v việc {n}\nĐiều 1. "
+    path = str(tmp_path / "index")
+    first = [(1, "law", head(1) + say("a")), (2, "law", head(2) + say("b")), (3, "knowledge", head(1) + say("a")), (4, "law", None), (5, "law", "")]
+    got = {r.doc_id: r for r in ingestion.ingest(spark.createDataFrame([(*r, "x") for r in first], "doc_id long, collection string, text string, source string"), path).collect()}
+    assert {i: r.status for i, r in got.items()} == {1: "success", 2: "success", 3: "success", 4: "empty", 5: "empty"}
+    second = [(6, "law", head(1) + say("c")), (7, "law", head(7) + say("b")), (8, "law", head(8) + say("d")), (9, "law", head(9) + say("d")), (None, "law", "x")]
+    got = {r.doc_id: r for r in ingestion.ingest(spark.createDataFrame(second, "doc_id long, collection string, text string"), path).collect()}
+    assert {i: r.status for i, r in got.items()} == {6: "duplicate", 7: "duplicate", 8: "success", 9: "duplicate"}
+    assert got[6].matched_source is None and got[6].existing_chunks == 1
+    assert got[7].matched_source == "2/UBND-TH — V/v việc 2" and got[9].matched_source == "8/UBND-TH — V/v việc 8"
+    rows = spark.read.parquet(path)
+    assert rows.count() == 4 and {"embedding", "issuer", "so_van_ban", "article"} <= set(rows.columns)
+    asked = spark.createDataFrame([("q1", "w1 " + say("b")), ("q2", None), ("q1", "w1 " + say("b"))], "query_id string, text string")
+    found = sorted((r.query_id, r.context) for r in retrieval.retrieve_context(asked, rows, ingestion.embed).collect())
+    assert len(found) == 3 and found[0][1].startswith("[LUẬT - Điều 1]\nĐiều 1. wbx0") and "(Nguồn: 2/UBND-TH — V/v việc 2)" in found[0][1]
+    told = analysis.analyze_with_context(spark.createDataFrame([(1, head(4) + "Căn cứ Luật số 5;\n" + say("a")), (2, None)], DOC), rows, ingestion.embed, lambda ps: ['{"can_cu_phap_ly": ["L"], "khuyen_nghi": ["K"]}' for _ in ps])
+    by_id = {r.doc_id: r for r in told.collect()}
+    assert by_id[1].related_context and by_id[1].goi_y.khuyen_nghi == ["K"] and len(by_id) == 2
+
+
 def test_resolve_against_the_index(spark):
     schema = "id long, label string, v array<double>"
     index = spark.createDataFrame([(100, "Cũ", [1.0, 0.0]), (101, "", [0.0, 1.0])], schema)
