@@ -15,7 +15,11 @@ suffixes are settled without being moved:
    the bytes that all their suffixes share for themselves are settled.
 4. Last digit: what is left of the parts is opened to suffixes, by all their `length` bytes.
 
-Each pass is a grouped minimum, pre-aggregated before its shuffle, and a sort-merge join back.
+Each pass is a grouped minimum, pre-aggregated before its shuffle, and a join back in shares of hot digits. Strings are told apart by 64 bits of hash of
+the anchor and 64 of the rest, so by 128 in all.
+
+A row for every suffix, which passes over digits at fixed depths would move, takes at least 16 bytes for each byte of text; runs with a common
+anchor stand for about 25 suffixes each, and most are settled before they are moved.
 """
 
 from __future__ import annotations
@@ -28,11 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclens.llm.common import chunks, discard, id_of, key_of, written
+from doclens.llm.common import HOT, SHARES, chunks, discard, hot_join, id_of, key_of, written
 
 GRAM = 32
-#: From how many runs on a digit may be hot, and in how many shares its rows are joined.
-HOT, SHARES = 10_000, 64
 _rng = np.random.default_rng(100)
 _BYTES = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _ODD = _rng.integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -207,8 +209,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     discard(often)
 
     later = F.struct("key", "start") > F.struct("first.key", "first.start")
-    firsts = written(met.groupBy("anchor", "span").agg(F.min(F.struct("key", "start", "tag", "n", "sides")).alias("first")), "firsts")
-    whole = written(met.join(firsts, ["anchor", "span"]).where(later).select("key", "tag", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + length).alias("b")), "whole")
+    firsts = written(met.groupBy("anchor", "span").agg(F.min(F.struct("key", "start", "tag", "n", "sides")).alias("first"), F.count("*").alias("runs")), "firsts")
+    whole = written(hot_join(met, firsts, ["anchor", "span"], "runs", ["key", "start"]).where(later).select("key", "tag", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + length).alias("b")), "whole")
 
     discard(met)
     # A suffix of two different runs with one anchor has half of its other bytes on one side of the anchor at least.
@@ -219,16 +221,16 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     parts = texts.join(open_, ["key", "tag"]).select("key", "tag", "open", "text").mapInArrow(_opened(length), "anchor long, part int, core long, every long, key long, tag int, start int, suffixes array<long>")
     parts = written(parts, "parts")
     equal = ["anchor", "part", "core", "every"]
-    heads = written(parts.groupBy(*equal).agg(F.min(F.struct("key", "start", "tag")).alias("first")), "heads")
+    heads = written(parts.groupBy(*equal).agg(F.min(F.struct("key", "start", "tag")).alias("first"), F.count("*").alias("parts")), "heads")
     n = F.size("suffixes")
-    partly = written(parts.select(*equal, "key", "tag", "start", n.alias("n")).join(heads, equal).where(later).select("key", "tag", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + length).alias("b")), "partly")
+    partly = written(hot_join(parts.select(*equal, "key", "tag", "start", n.alias("n")), heads, equal, "parts", ["key", "start"]).where(later).select("key", "tag", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + length).alias("b")), "partly")
     shared = heads.groupBy("anchor", "part", "core").count().where("count > 1").drop("count")
     left = heads.join(shared, ["anchor", "part", "core"], "left_semi").select(*equal, "first.*")
     left = parts.join(left, [*equal, "key", "start", "tag"], "left_semi")
     suffixes = written(left.select("anchor", "key", "tag", "start", F.posexplode("suffixes").alias("pos", "suffix")).select("anchor", "suffix", "key", "tag", (F.col("start") + F.col("pos")).alias("start")), "suffixes")
     discard(firsts, parts, heads)
     least = suffixes.groupBy("anchor", "suffix").agg(F.min(F.struct("key", "start")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    single = suffixes.join(least, ["anchor", "suffix"]).where(later).select("key", "tag", F.col("start").alias("a"), (F.col("start") + length).alias("b"))
+    single = hot_join(suffixes, least, ["anchor", "suffix"], "c", ["key", "start"], suffixes.count()).where(later).select("key", "tag", F.col("start").alias("a"), (F.col("start") + length).alias("b"))
     found = whole.union(partly).union(single).groupBy("key", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     spans = written(found, "spans")
     discard(whole, partly, suffixes)

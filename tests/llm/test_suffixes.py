@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from doclens.llm import suffixes
+from doclens.llm import common, suffixes
 
 DOC = "doc_id long, text string"
 
@@ -54,6 +54,7 @@ def test_matches_brute_force(spark):
 
 def test_hot_digits_are_joined_in_shares(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT", 2)
+    monkeypatch.setattr(common, "HOT", 2)
     rows = corpus(7)
     got = suffixes.digest(spark.createDataFrame(rows, DOC).repartition(6))
     assert sorted(map(tuple, got.collect())) == brute(rows)
@@ -83,3 +84,11 @@ def test_cut_text_keeps_whole_characters(spark):
     text = "éàüö" * 1 + "é" * 76 + "".join(random.Random(6).choices("abc", k=40))
     df = spark.createDataFrame([(1, text), (2, "a" + text + "tail")], DOC)
     assert {r.doc_id: r.text for r in suffixes.without_repeats(df).collect()}[2] == "atail"
+
+
+def test_a_very_long_text(spark):
+    rnd = random.Random(8)
+    once = "".join(rnd.choices("abcdefghijklmnop", k=1_500_000))
+    rows = [(1, once), (2, "x" + once[700_000:700_400] + "y"), (3, once[:150] + "z" * 99)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.digest(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == {1: (1_500_000, 0, 0), 2: (402, 400, 1), 3: (249, 150, 1)}
