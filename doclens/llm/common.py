@@ -88,9 +88,9 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 1
 def map_texts(df: DataFrame, fn: Callable[[Any, dict[str, list], list[str]], dict[str, Any]], schema: str, setup: Callable[[], Any] | None = None, text: str = "text", most: int = 1 << 20) -> DataFrame:
     """df through fn(state, other columns, texts) -> columns of schema, in pieces of about `most` bytes of text; setup makes the state once in each task."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+    from pyspark.sql.types import DataType
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    arrow = to_arrow_schema(DataType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None

@@ -207,9 +207,12 @@ def logits(net: Net, pages: list[np.ndarray], keep: bool = False):
 
 def _gradient(net: Net, pages: list[np.ndarray], labels: list[np.ndarray]) -> list[np.ndarray]:
     y, (x, live, h, sa, sb) = logits(net, pages, True)
-    target, _ = _padded([np.repeat(k[:, None].astype(np.float32), PATH + WORDS + EXTRA, axis=1) for k in labels])
-    d = ((_sigmoid(y) - target[:, :, 0]) * live / live.sum()).astype(np.float32)[:, :, None]
-    grads = {"out": np.einsum("tph,tpo->ho", h, d), "direct": np.einsum("tpf,tpo->fo", x, d), "bias": d.sum(axis=(0, 1))}
+    target = np.zeros_like(y)
+    for k, own in enumerate(labels):
+        target[: len(own), k] = own
+    d = ((_sigmoid(y) - target) * live / live.sum()).astype(np.float32)[:, :, None]
+    over = lambda a, b: a.reshape(-1, a.shape[2]).T @ b.reshape(-1, b.shape[2])
+    grads = {"out": over(h, d), "direct": over(x, d), "bias": d.sum(axis=(0, 1))}
     dh_all = d @ net.out.T
     sides = []
     for k, (saved, xs) in enumerate(((sa, x), (sb, x[::-1]))):
@@ -226,7 +229,7 @@ def _gradient(net: Net, pages: list[np.ndarray], labels: list[np.ndarray]) -> li
             dwh += h0.T @ step
             dh = step @ net.wh[k].T + np.where(on, 0, g)
             dc = np.where(on, dct * f, dc)
-        sides.append((np.einsum("tpf,tpg->fg", xs, dz), dwh, dz.sum(axis=(0, 1))))
+        sides.append((over(xs, dz), dwh, dz.sum(axis=(0, 1))))
     return [sides[0][0], sides[1][0], sides[0][1], sides[1][1], sides[0][2], sides[1][2], grads["out"], grads["direct"], grads["bias"]]
 
 
