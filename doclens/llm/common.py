@@ -119,8 +119,11 @@ def bounded_sample(df: DataFrame, most: int, key: str, by: str) -> DataFrame:
     """
     counts = df.groupBy(F.col(by).alias("__by")).agg(F.count("*").alias("__n"))
     level = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30))
-    share = max(1, most // max(1, counts.count()))
+    n = counts.count()
+    share = max(1, most // max(1, n))
     rates = counts.select("__by", (F.lit(float(share << 30)) / F.col("__n")).alias("__rate"))
+    # A few values' rates are broadcast, so that nothing of df is shuffled.
+    rates = F.broadcast(rates) if n <= 10_000 else rates
     return df.join(rates, F.col(by).eqNullSafe(F.col("__by"))).where(level < F.col("__rate")).select(df.columns)
 
 
