@@ -20,6 +20,8 @@ DEADLINES = (
     rf"(?:muộn\s+nhất|chậm\s+nhất)\s+là\s+ngày\s+{DATE}",
     rf"thời\s+điểm\s+{DATE}",
 )
+#: What a text must have, in small letters, for each of these to match at all.
+DEADLINE_WORDS = ("trước", "gửi", "hợp", "thời", "au", "kể", "trước", "nhất", "điểm")
 REPORTS = rf"{UI}\b(?:báo cáo|tổng hợp|gửi)\b"
 #: The role of each verb, the role of others, and words of which one is in a unit's name.
 ROLE_VERBS = {"chủ trì": "chủ trì", "phối hợp": "phối hợp", "thực hiện": "thực hiện", "chịu trách nhiệm": "chủ trì", "có trách nhiệm": "thực hiện", "hỗ trợ": "hỗ trợ"}
@@ -58,7 +60,9 @@ def _hits(c: Column, pattern: str, order: int) -> Column:
 
 def deadlines(c: Column) -> Column:
     """All deadline phrases in the order of the text (at one place in that of their shapes), of those that say the same the better one."""
-    found = let(F.replace(c, F.lit(MARK), F.lit(" ")), lambda t: F.array_sort(F.flatten(F.array(*[_hits(t, UI + p, k) for k, p in enumerate(DEADLINES)]))))
+    none = F.array().cast("array<struct<at:int,order:int,phrase:string>>")
+    once = F.struct(F.replace(c, F.lit(MARK), F.lit(" ")).alias("text"), F.lower(c).alias("low"))
+    found = let(once, lambda b: F.array_sort(F.flatten(F.array(*[F.when(b["low"].contains(w), _hits(b["text"], UI + p, k)).otherwise(none) for k, (p, w) in enumerate(zip(DEADLINES, DEADLINE_WORDS, strict=True))]))))
     once = ordered_distinct(F.filter(F.transform(found, lambda x: F.trim(one_space(F.btrim(x["phrase"], F.lit(" .,"))))), lambda x: x != ""))
     return merged_deadlines(once)
 

@@ -74,5 +74,14 @@ def append_feedback(rows: DataFrame, path: str) -> None:
 
 
 def numbered_feedback(rows: DataFrame, day: str = "day") -> DataFrame:
-    """Each day's feedback, the newest first, numbered from 1."""
-    return rows.withColumn("number", F.row_number().over(Window.partitionBy(day).orderBy(F.desc("time"), F.desc("id"))))
+    """Each day's feedback, the newest first, numbered from 1; rows without a time come last, equal times by id, the largest first.
+
+    A busy day isn't one task's: its minutes are counted, then each is numbered for itself, from where the later ones end.
+    """
+    rows = rows.withColumn("__minute", F.date_trunc("minute", "time"))
+    minutes = rows.groupBy(F.col(day).alias("__day"), F.col("__minute").alias("__m")).agg(F.count("*").alias("__n"))
+    later = F.sum("__n").over(Window.partitionBy("__day").orderBy(F.desc("__m"))) - F.col("__n")
+    minutes = minutes.select("__day", "__m", later.alias("__later"))
+    within = F.row_number().over(Window.partitionBy(day, "__minute").orderBy(F.desc("time"), F.desc("id")))
+    known = rows.withColumn("__within", within).join(minutes, F.col(day).eqNullSafe(F.col("__day")) & F.col("__minute").eqNullSafe(F.col("__m")))
+    return known.withColumn("number", (F.col("__later") + F.col("__within")).cast("int")).drop("__minute", "__day", "__m", "__n", "__later", "__within")
