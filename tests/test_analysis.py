@@ -91,11 +91,13 @@ def record(**x):
     return {"nhiem_vu": [], "thoi_gian": "không nói rõ", "kinh_phi": "không nói rõ", "dia_diem": "không nói rõ", "tom_tat": "", "luu_y": "", "tom_tat_parts": []} | x
 
 
-def test_merging_rules():
-    assert analysis.union_text("a; abc", "ABC d; không nói rõ") == "ABC d" and analysis.union_text("", "không có") == "không nói rõ"
-    assert analysis.union_notes("a b", "a; không; c") == "a b; c"
-    assert analysis.union_clauses("làm x", "x; thêm y") == "làm x; thêm y" and analysis.union_clauses("", "y") == "y"
-    got = analysis.union_tasks([{"don_vi": "Sở Y tế", "noi_dung": "a", "vai_tro": "chủ trì"}], [{"don_vi": "sở y", "noi_dung": "b", "vai_tro": "hỗ trợ"}, {"don_vi": "?", "noi_dung": "", "vai_tro": ""}])
+def test_merging_rules(spark):
+    text = lambda f, a, b, *more: spark.range(1).select(f(F.lit(a), F.lit(b), *more).alias("x")).first().x
+    assert text(analysis.union_text, "a; abc", "ABC d; không nói rõ") == "ABC d" and text(analysis.union_text, "", "không có") == "không nói rõ"
+    assert text(analysis.union_notes, "a b", "a; không; c") == "a b; c"
+    assert text(analysis.union_clauses, "làm x", "x; thêm y") == "làm x; thêm y" and text(analysis.union_clauses, "", "y") == "y"
+    df = spark.createDataFrame([([("Sở Y tế", "a", "chủ trì")], [("sở y", "b", "hỗ trợ"), ("?", "", "")])], f"a {analysis.TASKS}, b {analysis.TASKS}")
+    got = [t.asDict() for t in df.select(analysis.union_tasks(F.col("a"), F.col("b")).alias("x")).first().x]
     assert got == [{"don_vi": "Sở Y tế", "noi_dung": "a; b", "vai_tro": "chủ trì"}]
 
 
@@ -105,7 +107,7 @@ def test_records_merge_as_an_ordered_tree(spark):
     random.Random(1).shuffle(rows)
     df = spark.createDataFrame(rows, f"doc_id long, chunk_index int, record {analysis.RECORD}").repartition(5)
     got = analysis.merge_records(df).first().record
-    two = lambda a, b: analysis.union_text(a, b, ", ")
+    two = lambda a, b: spark.range(1).select(analysis.union_text(F.lit(a), F.lit(b), ", ").alias("x")).first().x
     assert got.kinh_phi == two(two(two("x1", "x2"), two("x3; y", "x4")), "x")
     assert [t.don_vi for t in got.nhiem_vu] == [f"Sở {i}" for i in range(5)]
 
