@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclens.llm import decontaminate, forest, html, langid, licenses, packing, quality, simhash, suffixes, toxicity
+from doclens.llm import decontaminate, forest, html, langid, licenses, manifest, packing, prefixes, quality, simhash, suffixes, toxicity, variants
 from doclens.llm.common import table
 
 
@@ -50,6 +50,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return prefixes.search(rows, rows.where("vec_id % 20 = 0"))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -57,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_suffix_dedup, op3_licenses, op4_html, op5_embeddings, op6_simhash, op7_toxicity, op8_packing, op9_quality, op10_language_id, pipeline)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_suffix_dedup, op3_licenses, op4_html, op5_embeddings, op6_simhash, op7_toxicity, op8_packing, op9_quality, op10_language_id, op11_merkle, op12_nearest, op13_variants, pipeline)}
 
 
 _EMBEDDINGS = """
@@ -77,4 +90,4 @@ FROM embeddings e JOIN (SELECT vec_id, min(other) AS component_id FROM reached G
 
 def oracle_sql() -> dict[str, str]:
     """For those that SQL can say and DuckDB can run on whole tables; the others are tested against brute force or held-out accuracy."""
-    return {"op3_licenses": licenses.sql(), "op5_embeddings": _EMBEDDINGS}
+    return {"op3_licenses": licenses.sql(), "op5_embeddings": _EMBEDDINGS, "op11_merkle": manifest.sql()}
