@@ -77,9 +77,12 @@ def flat(rows: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sums over values[bounds[i]:bounds[i + 1]]; 0 for empty rows."""
-    padded = np.concatenate([np.zeros_like(values[:1]) if len(values) else np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0)])
-    return padded[bounds[1:]] - padded[bounds[:-1]]
+    """Sums over values[bounds[i]:bounds[i + 1]], each row for itself, so that equal rows have equal sums whatever is before them; 0 for empty rows."""
+    out = np.zeros((len(bounds) - 1, *values.shape[1:]), dtype=values.dtype)
+    some = np.flatnonzero(bounds[1:] > bounds[:-1])
+    if len(some):
+        out[some] = np.add.reduceat(values, bounds[some], axis=0)
+    return out
 
 
 @dataclass

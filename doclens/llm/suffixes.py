@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclens.llm.common import HOT, SHARES, chunks, discard, hot_join, id_of, key_of, written
+from doclens.llm.common import HOT, SHARES, chunks, discard, hot_join, id_of, key_of, mark_of, written
 
 GRAM = 32
 _rng = np.random.default_rng(100)
@@ -143,7 +143,7 @@ def _run_rows(length: int):
             for first, raw in _packed(texts):
                 ends = np.cumsum([len(x) for x in raw], dtype=np.int64)
                 doc, anchor, span, start, n, sides = runs(np.frombuffer(b"".join(raw), dtype=np.uint8), ends, length)
-                keys, tags = np.array(cols["key"][first : first + len(raw)], dtype=np.int64), np.array(cols["tag"][first : first + len(raw)], dtype=np.int32)
+                keys, tags = np.array(cols["key"][first : first + len(raw)], dtype=np.int64), np.array(cols["tag"][first : first + len(raw)], dtype=np.int64)
                 held.append((anchor.view(np.int64), span.view(np.int64), keys[doc], tags[doc], (start - np.append(0, ends)[doc]).astype(np.int32), n.astype(np.int32), sides.astype(np.int32)))
                 if sum(len(x[0]) for x in held) >= 50_000:
                     yield batch()
@@ -153,7 +153,7 @@ def _run_rows(length: int):
     return run
 
 
-RUN = "anchor long, span long, key long, tag int, start int, n int, sides int"
+RUN = "anchor long, span long, key long, tag long, start int, n int, sides int"
 
 
 PART = 8
@@ -182,7 +182,7 @@ def _opened(length: int):
                 size = np.diff(np.append(cut, len(at)))
                 every = _mixed(whole[at[cut]] * _ODD[8] + whole[at[cut + size - 1]] * _ODD[7] + size.astype(np.uint64))
                 offsets = pa.array(np.append(cut, len(at)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[own]), pa.array(k.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(every.view(np.int64)), pa.array(np.full(len(cut), cols["key"][i])), pa.array(np.full(len(cut), cols["tag"][i], dtype=np.int32)), pa.array(at[cut].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(whole[at].view(np.int64)))], names=["anchor", "part", "core", "every", "key", "tag", "start", "suffixes"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[own]), pa.array(k.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(every.view(np.int64)), pa.array(np.full(len(cut), cols["key"][i])), pa.array(np.full(len(cut), cols["tag"][i], dtype=np.int64)), pa.array(at[cut].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(whole[at].view(np.int64)))], names=["anchor", "part", "core", "every", "key", "tag", "start", "suffixes"])
 
     return run
 
@@ -190,11 +190,11 @@ def _opened(length: int):
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> tuple[DataFrame, DataFrame]:
     """(texts: key, tag, text; found: key, tag, spans): where strings of `length` bytes start that also start earlier.
 
-    tag is a hash of the text, so that rows that repeat an id with another text are told apart.
+    tag is a 64-bit hash of the text, so that rows that repeat an id with another text are told apart.
     """
     if length < GRAM:
         raise ValueError(f"strings of {GRAM} bytes or more")
-    texts = docs.select(key_of(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("key", F.hash("text").alias("tag"), "text")
+    texts = docs.select(key_of(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("key", mark_of("text").alias("tag"), "text")
     rows = texts.where(F.octet_length("text") >= length).mapInArrow(_run_rows(length), RUN)
     digit = F.shiftrightunsigned("anchor", 16)
     often = written(rows.groupBy(digit.alias("digit")).count().where("count > 1"), "digits")
@@ -218,7 +218,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     shared = sides.groupBy("anchor", "side").count().where("count > 1").select("anchor", "side")
     meets = sides.join(shared, ["anchor", "side"], "left_semi").select("anchor", "span").distinct()
     open_ = firsts.join(meets, ["anchor", "span"], "left_semi").select("anchor", "first.*").groupBy("key", "tag").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("open"))
-    parts = texts.join(open_, ["key", "tag"]).select("key", "tag", "open", "text").mapInArrow(_opened(length), "anchor long, part int, core long, every long, key long, tag int, start int, suffixes array<long>")
+    parts = texts.join(open_, ["key", "tag"]).select("key", "tag", "open", "text").mapInArrow(_opened(length), "anchor long, part int, core long, every long, key long, tag long, start int, suffixes array<long>")
     parts = written(parts, "parts")
     equal = ["anchor", "part", "core", "every"]
     heads = written(parts.groupBy(*equal).agg(F.min(F.struct("key", "start", "tag")).alias("first"), F.count("*").alias("parts")), "heads")
@@ -285,7 +285,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Of a character that is cut in two, the bytes that are left go too. A null text stays null.
     """
     _, found = repeats(docs, id_col, text_col, length)
-    rows = docs.withColumns({"__key": key_of(id_col), "__tag": F.hash(F.coalesce(F.col(text_col), F.lit("")))})
+    rows = docs.withColumns({"__key": key_of(id_col), "__tag": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
     found = found.select(F.col("key").alias("__key"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
     names, n = docs.columns, docs.columns.index(text_col)
 
