@@ -1,4 +1,4 @@
-"""The chunk index: a Parquet table partitioned by collection."""
+"""The chunk index: a Parquet table partitioned by collection, in generations."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from doclens.functions.predicates import article_tag
 from doclens.functions.text import strip
+from doclens.operators import generations
 
 
 def collection_of(kind: Column) -> Column:
@@ -23,18 +24,15 @@ def records(chunks: DataFrame, collection: str = "collection", source: str = "so
     return rows if embed is None else rows.withColumn("embedding", embed(F.col("text")))
 
 
-def add(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("collection").parquet(path)
+def add(rows: DataFrame, path: str, batch: str | None = None) -> None:
+    """Rows as one new generation of the index; of a batch that was added before, nothing is written again."""
+    generations.add(rows.sparkSession, path, rows, batch)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame | None:
-    """The index at a path; None if there is none yet."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    _recover(fs, jpath)
-    if not fs.exists(jpath) or not any(f.getPath().getName().startswith("collection=") for f in fs.listStatus(jpath)):
-        return None
-    return spark.read.parquet(path)
+def read(spark: SparkSession, path: str, generation: int | None = None) -> DataFrame | None:
+    """The index at a path as it is now, or as a generation had it; None if there is nothing. What is changed later does not show in it."""
+    found = generations.rows(spark, path, generations.load(spark, path, generation))
+    return None if found is None else found.drop("batch")
 
 
 def count_by_source(index: DataFrame) -> DataFrame:
@@ -50,35 +48,9 @@ def without_source(index: DataFrame, source: str) -> DataFrame:
 
 
 def delete_by_source(spark: SparkSession, path: str, collection: str, source: str) -> int:
-    """Removes a source's rows from one collection's files and says how many there were. Only that partition is written anew.
-
-    The new files are made aside (_new_), then the old ones are renamed away (_old_) and the new ones take their place. Whatever step a crash comes
-    after, the next read or delete finds all rows, old or new: it puts the old files back if the new ones have not taken their place.
-    """
-    if read(spark, path) is None:
-        return 0
-    own = spark.read.parquet(path).where((F.col("collection") == collection) & (F.col("source") == source))
-    n = own.count()
-    if n:
-        part, fresh, old = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{x}collection={collection}") for x in ("", "_new_", "_old_"))
-        without_source(spark.read.parquet(part.toString()), source).write.mode("overwrite").parquet(fresh.toString())
-        fs = part.getFileSystem(spark._jsc.hadoopConfiguration())
-        fs.rename(part, old)
-        fs.rename(fresh, part)
-        fs.delete(old, True)
-    return n
-
-
-def _recover(fs, root) -> None:
-    """Ends what a crashed delete has begun."""
-    found = [f.getPath() for f in fs.listStatus(root)] if fs.exists(root) else []
-    names = {p.getName(): p for p in found}
-    for name, p in names.items():
-        if name.startswith("_old_"):
-            if name.removeprefix("_old_") in names:
-                fs.delete(p, True)
-            else:
-                fs.rename(p, root.suffix("/" + name.removeprefix("_old_")))
+    """Removes a source's rows from one collection and says how many there were. Only the files that have some are written anew, aside; the change
+    counts at once or not at all, and readers keep what they read. generations.vacuum frees the old files."""
+    return generations.replace(spark, path, collection, F.col("source").eqNullSafe(source))
 
 
 def first_per_label(docs: DataFrame, label: Column, order: str) -> DataFrame:

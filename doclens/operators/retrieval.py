@@ -2,23 +2,26 @@
 
 Vectors that are null or have a null or non-finite component are nobody's neighbours and have none; vectors are compared with those of
 their own length only. Ids may have any type; a row is no neighbour of the query of its own id, and null ids are unlike each other.
+
+Queries and rows both stay tables: they are dealt to blocks, and a task compares one block of each. What it gives is bounded: the k best rows of each query,
+or a summary of its hits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclens.functions.predicates import article_tag
 from doclens.functions.text import strip
 
-#: Queries that are compared with all rows in one pass, and rows that are compared with them at once.
-QUERY_BLOCK, ROW_BLOCK = 2000, 1024
+#: Queries and rows of a block, about, and queries that are compared with all rows of a block at once.
+QUERY_BLOCK, ROW_BLOCK, AT_ONCE = 4096, 4096, 256
 
 
 def comparable(v: Column) -> Column:
@@ -26,131 +29,169 @@ def comparable(v: Column) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
 
 
-class _Queries:
-    """A block of queries by the length of their vectors."""
-
-    def __init__(self, rows: pa.Table) -> None:
-        ids, vectors = rows.column("query_id").to_pylist(), rows.column("v").to_pylist()
-        self.by_length = {}
-        for n in sorted(set(map(len, vectors))):
-            own = [i for i, v in enumerate(vectors) if len(v) == n]
-            self.by_length[n] = ([ids[i] for i in own], np.array([vectors[i] for i in own], dtype=np.float64))
-
-    def near(self, batch: pa.RecordBatch, bound: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple]:
-        """(length, queries, rows, distances) for the rows of a batch (id, v) that may be within bound(length, distances so far as products tell them).
-
-        Squared distances by products are only near the true ones: what is within the bound by a little more is computed by differences.
-        """
-        column = batch.column("v")
-        sizes = column.value_lengths().to_numpy()
-        ids = None if pa.types.is_nested(batch.column("id").type) else batch.column("id").to_pylist()
-        for n, (names, q) in self.by_length.items():
-            rows = np.flatnonzero(sizes == n)
-            where = {} if ids is None else {name: i for i, name in enumerate(names) if name is not None}
-            norms = (q * q).sum(axis=1)
-            for at in range(0, len(rows), ROW_BLOCK):
-                own = rows[at : at + ROW_BLOCK]
-                x = column.take(pa.array(own)).flatten().to_numpy().reshape(len(own), n).astype(np.float64)
-                squares = (x * x).sum(axis=1)
-                d = norms[:, None] + squares[None, :] - 2 * (q @ x.T)
-                for r, i in enumerate(own.tolist() if where else ()):
-                    k = where.get(ids[i], -1)
-                    if k >= 0:
-                        d[k, r] = np.inf
-                slack = 1e-12 * (norms[:, None] + squares[None, :])
-                k, r = np.nonzero(d <= bound(n, d)[:, None] + slack)
-                exact = np.concatenate([((x[r[i : i + 20_000]] - q[k[i : i + 20_000]]) ** 2).sum(axis=1) for i in range(0, len(k), 20_000)]) if len(k) else np.zeros(0)
-                some = np.isfinite(d[k, r])
-                yield n, k[some], own[r[some]], exact[some]
-
-
-def _in_blocks(queries: DataFrame, each: Callable[[_Queries], DataFrame]) -> DataFrame:
-    """The union of each(block) over blocks of about QUERY_BLOCK queries (query_id, v)."""
-    some = queries.where(comparable(F.col("v"))).select("query_id", F.col("v").cast("array<double>").alias("v"))
-    blocks = max(1, -(-some.count() // QUERY_BLOCK))
-    out = None
-    for b in range(blocks):
-        own = some.where(F.pmod(F.xxhash64("query_id", "v"), F.lit(blocks)) == b) if blocks > 1 else some
-        part = each(_Queries(own.toArrow()))
-        out = part if out is None else out.union(part)
-    return out
+def _order(ids: pa.ChunkedArray) -> np.ndarray:
+    """The place of each id in their order, nulls first, as Spark sorts them."""
+    values = [tuple(x.values()) if isinstance(x, dict) else x for x in ids.to_pylist()]
+    known = [i for i, x in enumerate(values) if x is not None]
+    place = np.zeros(len(values), dtype=np.int64)
+    try:
+        known.sort(key=values.__getitem__)
+    except TypeError:  # a struct with nulls inside
+        known.sort(key=lambda i: tuple((x is not None, x if x is not None else 0) for x in values[i]))
+    place[known] = np.arange(1, len(known) + 1)
+    return place
+
+
+def _matrix(v: pa.ChunkedArray, own: np.ndarray, n: int) -> np.ndarray:
+    return v.combine_chunks().take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), n)
+
+
+def distances(queries: pa.Table, rows: pa.Table, each: Callable[[np.ndarray, np.ndarray, np.ndarray, Callable], None]) -> None:
+    """each(queries, rows, d, exact) for pieces of the two: the numbers of the queries and rows, squared distances as products tell them, a row's own
+    query's infinite; exact(i, j) computes those of pairs by differences. Products are off by `slack` relative to the squares' sum at the most."""
+    sizes, lengths = rows.column("v").combine_chunks().value_lengths().to_numpy(), queries.column("v").combine_chunks().value_lengths().to_numpy()
+    names, ids = queries.column("query_id"), rows.column("id")
+    same = None
+    if names.type == ids.type and not pa.types.is_nested(ids.type):
+        same = pc.index_in(names.combine_chunks(), value_set=ids.combine_chunks(), skip_nulls=True)
+        copies = {}
+        for j, x in enumerate(ids.to_pylist()) if same.null_count < len(same) else ():
+            if x is not None:
+                copies.setdefault(x, []).append(j)
+        named = names.to_pylist()
+    for n in sorted(set(sizes.tolist()) & set(lengths.tolist())):
+        own, asked = np.flatnonzero(sizes == n), np.flatnonzero(lengths == n)
+        x, q = _matrix(rows.column("v"), own, n), _matrix(queries.column("v"), asked, n)
+        squares, norms = (x * x).sum(axis=1), (q * q).sum(axis=1)
+        place = {j: c for c, j in enumerate(own.tolist())}
+        for at in range(0, len(asked), AT_ONCE):
+            part = q[at : at + AT_ONCE]
+            d = norms[at : at + AT_ONCE, None] + squares[None, :] - 2 * (part @ x.T)
+            slack = 1e-12 * (norms[at : at + AT_ONCE, None] + squares[None, :])
+            if same is not None:
+                for i, k in enumerate(asked[at : at + AT_ONCE].tolist()):
+                    if same[k].is_valid:
+                        d[i, [place[j] for j in copies[named[k]] if j in place]] = np.inf
+            exact = lambda i, j, part=part: np.concatenate([((x[j[a : a + 20_000]] - part[i[a : a + 20_000]]) ** 2).sum(axis=1) for a in range(0, len(i), 20_000)] or [np.zeros(0)])
+            each(asked[at : at + AT_ONCE], own, d - slack, exact)
+
+
+def _in_blocks(queries: DataFrame, rows: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str, size: int | None = None) -> DataFrame:
+    """fn(queries, rows) for every pair of a block of queries (query_id, v, …) and one of rows (id, v, …). A row is written once for each block of queries."""
+    count = lambda df, most: max(1, -(-df.count() // most))
+    many, size = count(queries, QUERY_BLOCK), count(rows, size or ROW_BLOCK)
+    good = lambda df: df.where(comparable(F.col("v"))).withColumn("v", F.col("v").cast("array<double>"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = good(queries).withColumns({"__q": F.pmod(F.xxhash64("query_id", "v"), F.lit(many)).cast("int")}).withColumn("__r", every(size))
+    right = good(rows).withColumns({"__r": F.pmod(F.xxhash64("id", "v"), F.lit(size)).cast("int")}).withColumn("__q", every(many))
+    by = ["__q", "__r"]
+    left, right = left.select(*by, *queries.columns).toDF(*by, *queries.columns), right.select(*by, *rows.columns).toDF(*by, *rows.columns)
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(fn, schema)
+
+
+def _top(queries: pa.Table, rows: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance): of each query the k nearest rows of each collection, equal ones by id."""
+    kinds = np.unique(np.array(["" if x is None else "=" + x for x in rows.column("collection").to_pylist()]), return_inverse=True)[1] if rows.num_rows else np.zeros(0, dtype=np.int64)
+    order = _order(rows.column("id"))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def each(asked: np.ndarray, own: np.ndarray, d: np.ndarray, exact: Callable) -> None:
+        for c in np.unique(kinds[own]).tolist():
+            cols = np.flatnonzero(kinds[own] == c)
+            near = d[:, cols]
+            worst = np.partition(near, k - 1, axis=1)[:, k - 1] if near.shape[1] > k else np.full(len(near), np.inf)
+            i, j = np.nonzero((near <= worst[:, None] * (1 + 1e-9) + 1e-9) & np.isfinite(near))
+            true = exact(i, cols[j])
+            j = own[cols[j]]
+            sort = np.lexsort((order[j], true, i))
+            i, j, true = i[sort], j[sort], true[sort]
+            some = np.arange(len(i)) - np.searchsorted(i, i) < k
+            found.append((asked[i[some]], j[some], true[some]))
+
+    if queries.num_rows and rows.num_rows:
+        distances(queries, rows, each)
+    none = np.zeros(0, dtype=np.int64)
+    q, r, d = (np.concatenate([f[i] for f in found] or [none]) for i in range(3))
+    return q, r, d
+
+
+def _taken(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
+    q, r, d = _top(queries, rows, k)
+    q, r = pa.array(q), pa.array(r)
+    return pa.table({"query_id": queries.column("query_id").take(q), "collection": rows.column("collection").take(r), "id": rows.column("id").take(r), "dist": pa.array(d, pa.float64())})
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id", "collection").orderBy("dist", "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, collection, id, dist, rank): of each collection the k rows at the least squared distance, equal ones by id.
+    """(query_id, collection, id, dist, rank): of each collection the k rows at the least squared distance, equal ones by id. Exact.
 
-    queries (query_id, v) are taken in blocks of about QUERY_BLOCK, each one a pass over corpus (id, collection, v): a task keeps its k best
-    rows for each query and collection, and those alone are shuffled.
+    queries (query_id, v) and corpus (id, collection, v) are compared in pairs of blocks, of which a task keeps the k best rows for each query and collection.
     """
-    kinds, of = dict(queries.dtypes), dict(corpus.dtypes)
-    rows = corpus.where(comparable(F.col("v"))).select("id", F.col("collection").cast("string").alias("collection"), F.col("v").cast("array<double>").alias("v"))
-    # In the order of ids, the first of equally near rows is the one that counts.
-    rows = rows.sortWithinPartitions("collection", "id")
-
-    def each(block: _Queries) -> DataFrame:
-        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kept: dict[tuple, tuple[np.ndarray, np.ndarray, list]] = {}  # by collection and length: queries, distances, ids
-
-            def bound(c, n, d):
-                worst = np.full(len(d), np.inf)
-                q, dist, _ = kept.get((c, n), (np.zeros(0, dtype=np.int64), np.zeros(0), []))
-                count = np.bincount(q, minlength=len(d))
-                full = count >= k
-                if len(q):
-                    worst[full] = np.array([dist[e - 1] for e in np.cumsum(count)[full]])
-                if d.shape[1] > k:
-                    worst = np.minimum(worst, np.partition(d, k - 1, axis=1)[:, k - 1])
-                return worst
-
-            for batch in batches:
-                kinds_ = batch.column("collection")
-                for c in kinds_.unique().to_pylist():
-                    part = batch.filter(pa.compute.equal(kinds_, c) if c is not None else pa.compute.is_null(kinds_))
-                    names = part.column("id").to_pylist()
-                    for n, q, r, d in block.near(part, lambda n, d, c=c: bound(c, n, d)):
-                        q0, d0, i0 = kept.get((c, n), (np.zeros(0, dtype=np.int64), np.zeros(0), []))
-                        q1, d1, i1 = np.concatenate((q0, q)), np.concatenate((d0, d)), [*i0, *(names[i] for i in r.tolist())]
-                        order = np.lexsort((np.arange(len(q1)), d1, q1))
-                        q1, d1 = q1[order], d1[order]
-                        rank = np.arange(len(q1)) - np.searchsorted(q1, q1)
-                        some = rank < k
-                        kept[c, n] = (q1[some], d1[some], [i1[i] for i in order[some].tolist()])
-            for (c, n), (q, d, ids) in kept.items():
-                names = block.by_length[n][0]
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q.tolist()], out[0]), pa.array([c] * len(q), pa.string()), pa.array(ids, out[1]), pa.array(d)], names=["query_id", "collection", "id", "dist"])
-
-        return rows.mapInArrow(best, f"query_id {kinds['query_id']}, collection string, id {of['id']}, dist double")
-
-    out = (_arrow(queries, "query_id"), _arrow(corpus, "id"))
-    w = Window.partitionBy("query_id", "collection").orderBy("dist", "id")
-    return _in_blocks(queries, each).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _arrow(df: DataFrame, column: str) -> pa.DataType:
-    return df.select(column).limit(0).toArrow().schema.field(column).type
+    rows = corpus.select("id", F.col("collection").cast("string").alias("collection"), "v")
+    kinds, of = dict(queries.dtypes), dict(rows.dtypes)
+    found = _in_blocks(queries.select("query_id", "v"), rows, lambda q, r: _taken(q, r, k), f"query_id {kinds['query_id']}, collection string, id {of['id']}, dist double")
+    return _best(found, k)
 
 
 def within(queries: DataFrame, corpus: DataFrame, least: float = 0.8) -> DataFrame:
     """(query_id, id, similarity): all rows of corpus (id, v) with 1 - squared distance of at least `least` from a query (query_id, v), itself left out.
 
-    Queries are taken in blocks as in knn; a task writes its hits alone.
+    As many rows as there are hits: ask `hits` first where groups of near copies may be large.
     """
     kinds, of = dict(queries.dtypes), dict(corpus.dtypes)
-    rows = corpus.where(comparable(F.col("v"))).select("id", F.col("v").cast("array<double>").alias("v"))
-    out = (_arrow(queries, "query_id"), _arrow(corpus, "id"))
 
-    def each(block: _Queries) -> DataFrame:
-        def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = batch.column("id")
-                for n, q, r, d in block.near(batch, lambda n, d: np.full(len(d), 1 - least)):
-                    some = 1 - d >= least
-                    names = block.by_length[n][0]
-                    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q[some].tolist()], out[0]), ids.take(pa.array(r[some])), pa.array(1 - d[some])], names=["query_id", "id", "similarity"])
+    def pairs(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        q, r, s = _near(queries, rows, least)
+        return pa.table({"query_id": queries.column("query_id").take(pa.array(q)), "id": rows.column("id").take(pa.array(r)), "similarity": pa.array(s, pa.float64())})
+
+    return _in_blocks(queries.select("query_id", "v"), corpus.select("id", "v"), pairs, f"query_id {kinds['query_id']}, id {of['id']}, similarity double")
 
-        return rows.mapInArrow(hits, f"query_id {kinds['query_id']}, id {of['id']}, similarity double")
 
-    return _in_blocks(queries, each)
+def _near(queries: pa.Table, rows: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def each(asked: np.ndarray, own: np.ndarray, d: np.ndarray, exact: Callable) -> None:
+        i, j = np.nonzero(d <= 1 - least)
+        s = 1 - exact(i, j)
+        some = s >= least
+        found.append((asked[i[some]], own[j[some]], s[some]))
+
+    if queries.num_rows and rows.num_rows:
+        distances(queries, rows, each)
+    none = np.zeros(0, dtype=np.int64)
+    q, r, s = (np.concatenate([f[i] for f in found] or [none]) for i in range(3))
+    return q, r, s
+
+
+def hits(queries: DataFrame, corpus: DataFrame, least: float = 0.8, before: bool = False) -> DataFrame:
+    """(query_id, n, first, id, similarity): how many rows of corpus (id, v, seq) are within `least` of each query that has any, their least seq, and the nearest one.
+
+    One row a query, whatever the number of its hits. With `before`, queries have a seq, too, and rows count whose seq is smaller. Of equally near rows the
+    smallest id is taken.
+    """
+    kinds, of = dict(queries.dtypes), dict(corpus.dtypes)
+    names = ["query_id", "v", *(["seq"] if before else [])]
+
+    def told(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        q, r, s = _near(queries, rows, least)
+        seq = rows.column("seq").to_numpy()
+        if before:
+            some = seq[r] < queries.column("seq").to_numpy()[q]
+            q, r, s = q[some], r[some], s[some]
+        sort = np.lexsort((_order(rows.column("id"))[r], -s, q))
+        q, r, s = q[sort], r[sort], s[sort]
+        at = np.flatnonzero(np.diff(q, prepend=-1))
+        n = np.diff(np.append(at, len(q)))
+        first = np.minimum.reduceat(seq[r], at) if len(at) else np.zeros(0, dtype=np.int64)
+        return pa.table({"query_id": queries.column("query_id").take(pa.array(q[at])), "n": pa.array(n, pa.int64()), "first": pa.array(first, pa.int64()), "id": rows.column("id").take(pa.array(r[at])), "similarity": pa.array(s[at], pa.float64())})
+
+    found = _in_blocks(queries.select(*names), corpus.select("id", "v", F.col("seq").cast("long").alias("seq")), told, f"query_id {kinds['query_id']}, n long, first long, id {of['id']}, similarity double")
+    best = F.min_by(F.struct("id", "similarity"), F.struct(-F.col("similarity"), F.col("id")))
+    return found.groupBy("query_id").agg(F.sum("n").alias("n"), F.min("first").alias("first"), best.alias("b")).select("query_id", "n", "first", "b.id", "b.similarity")
 
 
 def rank_fused(hits: DataFrame, k: int = 6) -> DataFrame:
