@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclens.functions import predicates
 from doclens.operators import chunking, index, metadata, retrieval
+from doclens.operators.greedy import accept, alike, dropped, kept  # noqa: F401
 
 
 def embed(c: Column, dims: int = 256) -> Column:
@@ -44,47 +43,6 @@ def preview(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return meta.select(id_col, label.alias("label"), chunking.chunk_arrays(text).alias("chunks")).withColumn("n_chunks", F.size("chunks"))
 
 
-def _folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which the driver and the executors share. Where it is unset, a temporary one if all run on one machine, else an error."""
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names the folder that the driver and all executors share; it is unset")
-        found = tempfile.mkdtemp(prefix="accept-")
-    return found
-
-
-def _kept(df: DataFrame, folder: str) -> DataFrame:
-    path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def accept(docs: DataFrame, links: DataFrame) -> DataFrame:
-    """(seq, label, twin, status): status is accepted, or duplicate where an earlier accepted document has the same label, the same twin class, or a linked class.
-
-    docs (seq, label, twin, counts) in the order of seq; null labels and twins are like no other. A document that is refused refuses no other, nor does one whose
-    counts is false (it brings nothing). links (earlier, later) are between twin classes, whatever their order. Every round decides all documents whose
-    earlier ones are decided as far as it matters, and writes the states to the shared folder. Labels and classes are compared by the first open and the
-    first accepted document of each, aggregated before the shuffle, never by pairs of documents.
-    """
-    folder = _folder(docs.sparkSession)
-    state = _kept(docs.select("seq", "label", "twin", "counts", F.lit("open").alias("status")), folder)
-    near = links.select(F.col("earlier").alias("twin"), F.col("later").alias("other"))
-    near = near.union(near.select("other", "twin")).union(docs.where("twin is not null").select("twin", F.col("twin").alias("other")))
-    near = _kept(near.where("twin is not null and other is not null").distinct(), folder)
-    taken, first = F.min(F.when(F.col("counts") & (F.col("status") == "accepted"), F.col("seq"))), F.min(F.when(F.col("counts") & (F.col("status") != "duplicate"), F.col("seq")))
-    while not state.where("status = 'open'").isEmpty():
-        labels = state.groupBy("label").agg(taken.alias("label_taken"), first.alias("label_first"))
-        classes = state.groupBy(F.col("twin").alias("other")).agg(taken.alias("taken"), first.alias("first"))
-        around = near.join(classes, "other").groupBy("twin").agg(F.min("taken").alias("twin_taken"), F.min("first").alias("twin_first"))
-        rows = state.join(labels, "label", "left").join(around, "twin", "left")
-        before = lambda a, b: F.coalesce(F.least(a, b) < F.col("seq"), F.lit(False))
-        status = F.when(F.col("status") != "open", F.col("status")).when(before("label_taken", "twin_taken"), "duplicate").when(before("label_first", "twin_first"), "open").otherwise("accepted")
-        state = _kept(rows.select("seq", "label", "twin", "counts", status.alias("status")), folder)
-    return state.drop("counts")
-
-
 def _twins(v: Column) -> Column:
     """The class of equal vectors that a vector is in; null for one that can't be compared."""
     return F.when(retrieval.comparable(v), F.sha2(F.to_json(F.transform(v, lambda x: x + F.lit(0.0))), 256))
@@ -101,31 +59,35 @@ def resolve(batch: DataFrame, index: DataFrame, least: float = 0.8) -> DataFrame
     classes = rows.where("twin is not null").groupBy("twin").agg(F.first("v").alias("v"))
     own = classes.select(F.col("twin").alias("query_id"), "v")
     stored = index.where("label <> ''")
-    old = retrieval.within(own, stored, least).select(F.col("query_id").alias("twin")).distinct().withColumn("alike", F.lit(True))
+    place = lambda df, seq: df.withColumns({"seq": F.lit(seq).cast("long"), "collection": F.lit("")})
+    old = retrieval.hits(place(own, 1), place(stored.select("id", "v"), 0), least).select(F.col("query_id").alias("twin"), F.lit(True).alias("alike"))
     known = stored.select("label").distinct().withColumn("known", F.lit(True))
     refused = F.coalesce("alike", F.lit(False)) | F.coalesce("known", F.lit(False))
-    new = rows.drop("v").join(old, "twin", "left").join(known, "label", "left").select("id", "label", "twin", refused.alias("refused"))
+    new = kept(rows.drop("v").join(old, "twin", "left").join(known, "label", "left").select("id", "label", "twin", refused.alias("refused")))
     left = new.where("not refused").select(F.col("id").alias("seq"), "label", "twin", F.lit(True).alias("counts"))
-    pairs = retrieval.within(own, classes.select(F.col("twin").alias("id"), "v"), least).select(F.col("id").alias("earlier"), F.col("query_id").alias("later"))
-    done = accept(left, pairs).select(F.col("seq").alias("id"), "label", "status")
-    return done.union(new.where("refused").select("id", "label", F.lit("duplicate")))
+    vectors = kept(classes.select("twin", F.lit("").alias("collection"), "v"))
+    done = alike(left, vectors, vectors, least).withColumnRenamed("seq", "id")
+    return new.join(done, "id", "left").select("id", "label", F.coalesce("status", F.lit("duplicate")).alias("status"))
 
 
 def prepared(docs: DataFrame, embed: Callable[[Column], Column] = embed, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents, chunks) of docs (id, collection, text) as the index would have them.
 
-    documents: seq, collection, label, issuer, so_van_ban, v (of the first 2000 characters, which duplicates are looked for with). chunks: the same without v, and
-    chunk_index, text (trimmed; blank ones are dropped), embedding.
+    documents: seq (a number in the order of ids, then collections), doc_id, collection, label, issuer, so_van_ban, v (of the first 2000 characters, which
+    duplicates are looked for with). chunks: the same without v, and chunk_index, text (trimmed; blank ones are dropped), embedding.
     """
-    folder = _folder(docs.sparkSession)
-    meta = metadata.extract_metadata(docs, id_col, text_col).join(docs.select(id_col, "collection"), id_col)
+    one = docs.select(F.col(id_col).alias("doc_id"), "collection", F.col(text_col).alias("text"))
+    dealt = one.repartitionByRange("doc_id", "collection").sortWithinPartitions("doc_id", "collection").withColumn("seq", F.monotonically_increasing_id())
+    numbered = kept(dealt)
+    meta = metadata.extract_metadata(numbered, "seq", "text").join(numbered.select("seq", "doc_id", "collection"), "seq")
     label = predicates.source_label(F.col("so_van_ban"), F.col("tieu_de"), F.col("issuer"))
     text = F.when(F.col("body_text") != "", F.col("body_text")).otherwise(F.col("clean_text"))
-    rows = meta.select(F.col(id_col).alias("seq"), "collection", label.alias("label"), "issuer", "so_van_ban", embed(probe(F.col("body_text"), F.col("clean_text"))).alias("v"), text.alias("text"))
-    rows = _kept(rows, folder)
-    chunks = rows.select("seq", "collection", "label", "issuer", "so_van_ban", F.explode(chunking.chunk_arrays(F.col("text"))).alias("c")).select("seq", "collection", "label", "issuer", "so_van_ban", "c.chunk_index", "c.text")
+    fields = ["seq", "doc_id", "collection", "label", "issuer", "so_van_ban"]
+    rows = meta.select(*fields[:3], label.alias("label"), "issuer", "so_van_ban", embed(probe(F.col("body_text"), F.col("clean_text"))).alias("v"), text.alias("text"))
+    rows = kept(rows)
+    chunks = rows.select(*fields, F.explode(chunking.chunk_arrays(F.col("text"))).alias("c")).select(*fields, "c.chunk_index", "c.text")
     made = index.records(chunks.withColumn("source", F.col("label")), embed=embed)
-    return rows.drop("text"), _kept(made, folder)
+    return rows.drop("text"), kept(made)
 
 
 def decided(documents: DataFrame, chunks: DataFrame, stored: DataFrame | None, least: float = 0.8) -> DataFrame:
@@ -133,56 +95,57 @@ def decided(documents: DataFrame, chunks: DataFrame, stored: DataFrame | None, l
 
     status is duplicate if the document's label is in the index, or if its probe is alike (1 - squared distance of at least `least`) to a chunk of the same
     collection; success if not; empty without any chunk. Earlier accepted documents of the batch count as the index does. matched_source is the
-    source of the nearest chunk, where the label isn't known; chunks is how many were added, existing_chunks how many a duplicate's source already has
-    (with those of the whole batch).
+    source of the nearest chunk, where the label isn't known; chunks is how many were added, existing_chunks how many a duplicate's source had
+    when the document came.
     """
     docs = documents.join(chunks.groupBy("seq").agg(F.count("*").alias("n")), "seq", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     key = lambda c: F.concat_ws("\x00", "collection", c)
-    docs = docs.withColumn("key", key("label"))
-    probes = docs.select(F.col("seq").alias("query_id"), "v")
-    owner = docs.select(F.col("seq").alias("query_id"), F.col("collection").alias("own"))
-    fields = ["query_id", "similarity", "source"]
-    near = retrieval.within(probes, chunks.select(F.struct("seq", "chunk_index", "collection", "source").alias("id"), F.col("embedding").alias("v")), least)
-    near = near.select("query_id", "similarity", "id.seq", "id.collection", "id.source").join(owner, "query_id").where("own = collection and seq < query_id").drop("own", "collection")
+    docs = kept(docs.withColumn("key", key("label")))
+    probes = docs.select("seq", "collection", "v")
+    asked = probes.withColumnRenamed("seq", "query_id").withColumn("seq", F.col("query_id"))
+    fields = ["seq", "similarity", "source"]
     if stored is None:
-        old, labels = near.limit(0).select(*fields), docs.select("key").limit(0)
+        old, had = docs.limit(0).select("seq", F.lit(0.0).alias("similarity"), F.col("label").alias("source")), docs.limit(0).select("key", F.lit(0).cast("long").alias("had"))
     else:
-        hits = retrieval.knn(probes, stored.where("source <> ''").select(F.struct("id", "source").alias("id"), "collection", F.col("embedding").alias("v")), 1)
-        old = hits.join(owner, "query_id").where((F.col("own") == F.col("collection")) & (1 - F.col("dist") >= least)).select("query_id", (1 - F.col("dist")).alias("similarity"), F.col("id.source").alias("source"))
-        labels = stored.select(key("source").alias("key")).distinct()
-    old = _kept(old, _folder(docs.sparkSession))
-    near = _kept(near, _folder(docs.sparkSession))
-    refused = docs.join(labels.withColumn("known", F.lit(True)), "key", "left").join(old.select(F.col("query_id").alias("seq"), F.lit(True).alias("alike")).distinct(), "seq", "left")
-    refused = refused.select(*docs.columns, F.coalesce("known", F.lit(False)).alias("known"), (F.coalesce("known", F.lit(False)) | F.coalesce("alike", F.lit(False))).alias("refused"))
-    links = near.select(F.col("seq").alias("earlier"), F.col("query_id").alias("later")).distinct()
+        rows = stored.where("source <> ''").select(F.struct("source", "id").alias("id"), "collection", F.col("embedding").alias("v"), F.lit(-1).alias("seq"))
+        old = retrieval.hits(asked, rows, least).select(F.col("query_id").alias("seq"), "similarity", F.col("id.source").alias("source"))
+        had = stored.where("source <> ''").groupBy(key("source").alias("key")).agg(F.count("*").alias("had"))
+    old, had = kept(old), kept(had)
+    refused = docs.join(had.select("key", F.lit(True).alias("known")), "key", "left").join(old.select("seq", F.lit(True).alias("alike")), "seq", "left")
+    refused = kept(refused.select(*docs.columns, F.coalesce("known", F.lit(False)).alias("known"), (F.coalesce("known", F.lit(False)) | F.coalesce("alike", F.lit(False))).alias("refused")))
     left = refused.where("not refused").select("seq", F.col("key").alias("label"), F.col("seq").alias("twin"), (F.col("n") > 0).alias("counts"))
     # Links go one way here: the probe of the later document against the chunks of the earlier one.
-    state = accept(left, links).select("seq", "status")
-    taken = state.where("status = 'accepted'").select("seq")
-    best = old.union(near.join(taken, "seq", "left_semi").select(*fields)).groupBy(F.col("query_id").alias("seq")).agg(F.max_by("source", F.struct("similarity", "source")).alias("matched"))
-    first = docs.join(taken, "seq", "left_semi").where("n > 0").groupBy("key").agg(F.min("seq").alias("first"))
-    rows = refused.join(state, "seq", "left").join(best, "seq", "left").join(first, "key", "left")
-    same = F.col("known") | F.coalesce(F.col("first") < F.col("seq"), F.lit(False))
+    own = chunks.select(F.col("seq").alias("twin"), "collection", F.col("embedding").alias("v"))
+    state = alike(left, probes.withColumnRenamed("seq", "twin"), own, least)
     status = F.when(F.col("refused") | (F.col("status") == "duplicate"), "duplicate").when(F.col("n") == 0, "empty").otherwise("success")
-    rows = rows.withColumn("status", status)
-    rows = rows.withColumn("matched_source", F.when((F.col("status") == "duplicate") & ~same, F.col("matched")))
-    had = docs.join(taken, "seq", "left_semi").groupBy("key").agg(F.sum("n").alias("had"))
-    if stored is not None:
-        had = had.union(stored.groupBy(key("source").alias("key")).agg(F.count("*").alias("had"))).groupBy("key").agg(F.sum("had").alias("had"))
-    rows = rows.withColumn("key", F.when(F.col("status") == "duplicate", key(F.coalesce("matched_source", "label")))).join(had, "key", "left")
+    rows = kept(refused.join(state, "seq", "left").withColumn("status", status))
+    # What was accepted: of each label one document, as labels refuse.
+    taken = rows.where("status = 'success'").select("key", F.col("seq").alias("first"), F.col("n").alias("took"))
+    again = rows.where("status = 'duplicate'").select("seq")
+    accepted = chunks.join(taken.select(F.col("first").alias("seq")), "seq", "left_semi").select(F.struct("source", "id").alias("id"), "collection", F.col("embedding").alias("v"), "seq")
+    near = retrieval.hits(asked.join(again, "seq", "left_semi"), accepted, least).select(F.col("query_id").alias("seq"), "similarity", F.col("id.source").alias("source"))
+    best = old.select(*fields).union(near.select(*fields)).groupBy("seq").agg(F.min_by("source", F.struct(-F.col("similarity"), F.col("source"))).alias("matched"))
+    same = F.col("known") | F.coalesce(F.col("first") < F.col("seq"), F.lit(False))
+    rows = rows.join(best, "seq", "left").join(taken.select("key", "first"), "key", "left")
+    rows = rows.withColumn("matched_source", F.when((F.col("status") == "duplicate") & ~same, F.col("matched"))).drop("first")
+    rows = rows.withColumn("key", F.when(F.col("status") == "duplicate", key(F.coalesce("matched_source", "label")))).join(had, "key", "left").join(taken, "key", "left")
+    before = F.coalesce("had", F.lit(0)) + F.when(F.col("first") < F.col("seq"), F.col("took")).otherwise(0)
     added = F.when(F.col("status") == "success", F.col("n")).otherwise(0)
-    return rows.select(F.col("seq").alias("doc_id"), "collection", F.col("label").alias("source"), "status", "matched_source", added.alias("chunks"), F.coalesce("had", F.lit(0)).alias("existing_chunks"))
+    out = kept(rows.select("doc_id", "collection", F.col("label").alias("source"), "status", "matched_source", added.alias("chunks"), before.cast("long").alias("existing_chunks")))
+    dropped(docs, old, had, refused)
+    return out
 
 
-def ingest(docs: DataFrame, path: str, embed: Callable[[Column], Column] = embed, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
-    """What decided says of docs (id, collection, text), whose accepted chunks are added to the index at path. Ids are longs and in the order of arrival.
+def ingest(docs: DataFrame, path: str, embed: Callable[[Column], Column] = embed, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, batch: str | None = None) -> DataFrame:
+    """What decided says of docs (id, collection, text), whose accepted chunks are added to the index at path, as the batch of that name. Ids are longs and in the order of arrival.
 
-    A null text has no chunks; a row without an id or collection is left out; of rows that repeat an id and collection one counts.
+    A null text has no chunks; a row without an id or collection is left out; of rows that repeat an id and collection the one with the smallest text counts
+    (null first). An id may be in several collections: each is a document of its own.
     """
-    rows = docs.where(F.col(id_col).isNotNull() & F.col("collection").isNotNull()).groupBy(id_col).agg(F.min("collection").alias("collection"), F.min(text_col).alias(text_col))
-    documents, chunks = prepared(_kept(rows, _folder(docs.sparkSession)), embed, id_col, text_col)
-    out = _kept(decided(documents, chunks, index.read(docs.sparkSession, path), least), _folder(docs.sparkSession))
-    good = chunks.join(out.where("status = 'success'").select(F.col("doc_id").alias("seq")), "seq", "left_semi")
-    if not good.isEmpty():
-        index.add(good.select("collection", "id", "source", "article", "chunk_index", "issuer", "so_van_ban", "text", "embedding"), path)
+    rows = docs.where(F.col(id_col).isNotNull() & F.col("collection").isNotNull()).groupBy(id_col, "collection").agg(F.min(F.struct(F.col(text_col).alias("t"))).alias("x"))
+    documents, chunks = prepared(rows.select(id_col, "collection", F.col("x.t").alias(text_col)), embed, id_col, text_col)
+    out = decided(documents, chunks, index.read(docs.sparkSession, path), least)
+    good = chunks.join(out.where("status = 'success'").select("doc_id", "collection"), ["doc_id", "collection"], "left_semi")
+    index.add(good.select("collection", "id", "source", "article", "chunk_index", "issuer", "so_van_ban", "text", "embedding"), path, batch)
+    dropped(documents, chunks)
     return out

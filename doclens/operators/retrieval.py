@@ -137,25 +137,19 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
     return _best(found, k)
 
 
-def within(queries: DataFrame, corpus: DataFrame, least: float = 0.8) -> DataFrame:
-    """(query_id, id, similarity): all rows of corpus (id, v) with 1 - squared distance of at least `least` from a query (query_id, v), itself left out.
-
-    As many rows as there are hits: ask `hits` first where groups of near copies may be large.
-    """
-    kinds, of = dict(queries.dtypes), dict(corpus.dtypes)
-
-    def pairs(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        q, r, s = _near(queries, rows, least)
-        return pa.table({"query_id": queries.column("query_id").take(pa.array(q)), "id": rows.column("id").take(pa.array(r)), "similarity": pa.array(s, pa.float64())})
-
-    return _in_blocks(queries.select("query_id", "v"), corpus.select("id", "v"), pairs, f"query_id {kinds['query_id']}, id {of['id']}, similarity double")
-
-
-def _near(queries: pa.Table, rows: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _near(queries: pa.Table, rows: pa.Table, least: float, ordered: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, similarity) of the pairs within `least`; ordered: of one collection, and the row's seq smaller."""
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if ordered and queries.num_rows and rows.num_rows:
+        before, after = rows.column("seq").to_numpy(), queries.column("seq").to_numpy()
+        kinds = np.unique(np.array([x or "" for c in (queries, rows) for x in c.column("collection").to_pylist()]), return_inverse=True)[1]
+        asked_kind, kind = kinds[: len(after)], kinds[len(after) :]
 
     def each(asked: np.ndarray, own: np.ndarray, d: np.ndarray, exact: Callable) -> None:
-        i, j = np.nonzero(d <= 1 - least)
+        close = d <= 1 - least
+        if ordered:
+            close &= (before[own][None, :] < after[asked][:, None]) & (kind[own][None, :] == asked_kind[asked][:, None])
+        i, j = np.nonzero(close)
         s = 1 - exact(i, j)
         some = s >= least
         found.append((asked[i[some]], own[j[some]], s[some]))
@@ -167,29 +161,41 @@ def _near(queries: pa.Table, rows: pa.Table, least: float) -> tuple[np.ndarray,
     return q, r, s
 
 
-def hits(queries: DataFrame, corpus: DataFrame, least: float = 0.8, before: bool = False) -> DataFrame:
-    """(query_id, n, first, id, similarity): how many rows of corpus (id, v, seq) are within `least` of each query that has any, their least seq, and the nearest one.
+def within(queries: DataFrame, corpus: DataFrame, least: float = 0.8, ordered: bool = False) -> DataFrame:
+    """(query_id, id, similarity): all rows of corpus (id, v) with 1 - squared distance of at least `least` from a query (query_id, v), itself left out.
+
+    ordered: both have seq and collection, and only rows of the query's collection with a smaller seq count. As many rows as there are
+    hits: ask `hits` first where groups of near copies may be large.
+    """
+    kinds, of = dict(queries.dtypes), dict(corpus.dtypes)
+    fields = ["v", *([F.col("seq").cast("long").alias("seq"), "collection"] if ordered else [])]
+
+    def pairs(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        q, r, s = _near(queries, rows, least, ordered)
+        return pa.table({"query_id": queries.column("query_id").take(pa.array(q)), "id": rows.column("id").take(pa.array(r)), "similarity": pa.array(s, pa.float64())})
+
+    return _in_blocks(queries.select("query_id", *fields), corpus.select("id", *fields), pairs, f"query_id {kinds['query_id']}, id {of['id']}, similarity double")
+
+
+def hits(queries: DataFrame, corpus: DataFrame, least: float = 0.8) -> DataFrame:
+    """(query_id, n, first, id, similarity): how many rows of corpus (id, v, seq, collection) are within `least` of each query (query_id, v, seq, collection)
+    that has any, their least seq, and the nearest one; ordered as in within.
 
-    One row a query, whatever the number of its hits. With `before`, queries have a seq, too, and rows count whose seq is smaller. Of equally near rows the
-    smallest id is taken.
+    One row a query, whatever the number of its hits. Of equally near rows the smallest id is taken.
     """
     kinds, of = dict(queries.dtypes), dict(corpus.dtypes)
-    names = ["query_id", "v", *(["seq"] if before else [])]
 
     def told(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        q, r, s = _near(queries, rows, least)
-        seq = rows.column("seq").to_numpy()
-        if before:
-            some = seq[r] < queries.column("seq").to_numpy()[q]
-            q, r, s = q[some], r[some], s[some]
+        q, r, s = _near(queries, rows, least, True)
         sort = np.lexsort((_order(rows.column("id"))[r], -s, q))
         q, r, s = q[sort], r[sort], s[sort]
         at = np.flatnonzero(np.diff(q, prepend=-1))
         n = np.diff(np.append(at, len(q)))
-        first = np.minimum.reduceat(seq[r], at) if len(at) else np.zeros(0, dtype=np.int64)
+        first = np.minimum.reduceat(rows.column("seq").to_numpy()[r], at) if len(at) else np.zeros(0, dtype=np.int64)
         return pa.table({"query_id": queries.column("query_id").take(pa.array(q[at])), "n": pa.array(n, pa.int64()), "first": pa.array(first, pa.int64()), "id": rows.column("id").take(pa.array(r[at])), "similarity": pa.array(s[at], pa.float64())})
 
-    found = _in_blocks(queries.select(*names), corpus.select("id", "v", F.col("seq").cast("long").alias("seq")), told, f"query_id {kinds['query_id']}, n long, first long, id {of['id']}, similarity double")
+    fields = ["v", F.col("seq").cast("long").alias("seq"), "collection"]
+    found = _in_blocks(queries.select("query_id", *fields), corpus.select("id", *fields), told, f"query_id {kinds['query_id']}, n long, first long, id {of['id']}, similarity double")
     best = F.min_by(F.struct("id", "similarity"), F.struct(-F.col("similarity"), F.col("id")))
     return found.groupBy("query_id").agg(F.sum("n").alias("n"), F.min("first").alias("first"), best.alias("b")).select("query_id", "n", "first", "b.id", "b.similarity")
 

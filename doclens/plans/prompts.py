@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclens.functions.predicates import contains_english
 from doclens.functions.text import without_echoes
+from doclens.plans import replies
 
 NO_CONTEXT = "Không tìm thấy tài liệu liên quan."
 QA_HEAD = "Bạn là trợ lý pháp lý. Chỉ trả lời bằng tiếng Việt và chỉ dựa trên ngữ cảnh.\n\nCâu hỏi:\n"
@@ -20,28 +18,17 @@ def qa_prompt(question: Column, context: Column) -> Column:
     return F.concat(F.lit(QA_HEAD), question, F.lit("\n\nNgữ cảnh:\n"), F.when(has, context).otherwise(NO_CONTEXT))
 
 
-def generate(df: DataFrame, prompt: str, into: str, model: Callable[[list[str]], list[str]]) -> DataFrame:
-    """df with model's replies to the prompt column, one call per Arrow batch; rows without a prompt get none."""
-
-    @F.pandas_udf("string")
-    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
-            some = b[b.notna()]
-            yield pd.Series(model(some.tolist()), index=some.index, dtype=object).reindex(b.index).map(lambda x: None if pd.isna(x) else str(x).strip())
-
-    return df.withColumn(into, ask(F.col(prompt)))
-
-
-def answer(questions: DataFrame, contexts: DataFrame, model: Callable[[list[str]], list[str]]) -> DataFrame:
+def answer(questions: DataFrame, contexts: DataFrame, model: replies.Model, store: str | None = None) -> DataFrame:
     """(query_id, answer, context, has_context): the model isn't asked without a context.
 
     Replies are cleaned of what repeats the prompt; one of over 100 characters with English in it is asked for once more, and the second counts.
+    Equal prompts are asked once, and those that `store` has a reply to not at all; where the model fails, the answer says that nothing was found.
     """
     rows = questions.join(contexts, "query_id", "left").withColumn("has_context", F.coalesce("context", F.lit("")) != "")
-    rows = generate(rows.withColumn("prompt", F.when(F.col("has_context"), qa_prompt(F.col("question"), F.col("context")))), "prompt", "reply", model)
+    rows = replies.asked(rows.withColumn("prompt", F.when(F.col("has_context"), qa_prompt(F.col("question"), F.col("context")))), "prompt", "reply", model, store)
     rows = rows.withColumn("reply", F.when(F.col("reply").isNotNull(), without_echoes(F.col("reply"))))
     foreign = contains_english(F.col("reply")) & (F.length("reply") > 100)
-    rows = generate(rows.withColumn("again", F.when(foreign, F.col("prompt"))), "again", "second", model)
+    rows = replies.asked(rows.withColumn("again", F.when(foreign, F.col("prompt"))), "again", "second", model, store, attempt=1)
     said = F.when(F.col("again").isNotNull(), without_echoes(F.col("second"))).otherwise(F.col("reply"))
     return rows.select("query_id", F.coalesce(said, F.lit(NO_CONTEXT)).alias("answer"), F.coalesce("context", F.lit("")).alias("context"), "has_context")
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from doclens.functions import json, text
-from doclens.operators import analysis, chunking, extraction, ingestion, metadata, retrieval
+from doclens.operators import analysis, chunking, extraction, index, ingestion, metadata, retrieval
 from doclens.plans import prompts
 
 DOC = "doc_id long, text string"
@@ -210,7 +210,7 @@ def test_ingest_in_two_batches(spark, tmp_path):
     assert {i: r.status for i, r in got.items()} == {6: "duplicate", 7: "duplicate", 8: "success", 9: "duplicate"}
     assert got[6].matched_source is None and got[6].existing_chunks == 1
     assert got[7].matched_source == "2/UBND-TH — V/v việc 2" and got[9].matched_source == "8/UBND-TH — V/v việc 8"
-    rows = spark.read.parquet(path)
+    rows = index.read(spark, path)
     assert rows.count() == 4 and {"embedding", "issuer", "so_van_ban", "article"} <= set(rows.columns)
     asked = spark.createDataFrame([("q1", "w1 " + say("b")), ("q2", None), ("q1", "w1 " + say("b"))], "query_id string, text string")
     found = sorted((r.query_id, r.context) for r in retrieval.retrieve_context(asked, rows, ingestion.embed).collect())
