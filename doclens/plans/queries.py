@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclens.functions import json, predicates, text
-from doclens.operators import analysis, chunking, extraction, index, ingestion, metadata, retrieval
+from doclens.operators import analysis, chunking, extraction, greedy, index, ingestion, metadata, retrieval
 from doclens.plans import fixture, prompts
 from doclens.sources import files
 
@@ -321,9 +322,8 @@ _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 def _letters(c):
     """A stand-in for a sentence model that SQL can express: the counts of letters, at length 1."""
-    low = F.lower(c)
-    counts = F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))).cast("double") for x in _LETTERS])
-    return text.let(counts, lambda v: text.let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0))))
+    counts = lambda low: F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))).cast("double") for x in _LETTERS])
+    return text.let(text.let(F.lower(c), counts), lambda v: text.let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0))))
 
 
 _FLOW = f"""e AS (SELECT *, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS n FROM (
@@ -341,10 +341,12 @@ flow AS (SELECT query_id, string_agg(CASE collection WHEN 'law' THEN '[LUẬT' |
 
 
 def _flow(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Questions (items of benchmark), and their contexts from an index of the documents."""
+    """Questions (items of benchmark), and their contexts from an index of the documents, whose rows are written with their embeddings before they are searched."""
     docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_index"), "text", "source", F.lit("").alias("issuer"), F.when(F.col("source") == "src0", "law").otherwise("knowledge").alias("collection"))
     asked = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return asked, retrieval.retrieve_context(asked, index.records(docs, embed=_letters), _letters)
+    path = f"{greedy.folder(spark)}/index-{uuid.uuid4().hex}"
+    index.add(index.records(docs, embed=_letters).select("collection", "id", "source", "article", "chunk_index", "issuer", "text", "embedding"), path)
+    return asked, retrieval.retrieve_context(asked, index.read(spark, path), _letters)
 
 
 @_query(f"WITH {_FLOW} SELECT item_id AS query_id, coalesce(context, '') AS context FROM benchmark LEFT JOIN flow ON item_id = query_id")
