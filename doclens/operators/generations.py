@@ -123,7 +123,7 @@ def add(spark: SparkSession, root: str, df: DataFrame, batch: str | None = None)
     if batch in load(spark, root).batches:
         return load(spark, root)
     # Files of an attempt that another one may still be writing stay its own.
-    made = write(spark, root, df, f"{batch}-{uuid.uuid4().hex}")
+    made = write(spark, root, df, uuid.uuid4().hex)
 
     def change(last: Generation) -> Generation | None:
         return None if batch in last.batches or not made else Generation(0, last.folders | made, last.batches | {batch})
