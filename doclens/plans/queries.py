@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclens.functions import json, predicates, text
-from doclens.operators import analysis, chunking, extraction, greedy, index, ingestion, metadata, retrieval
+from doclens.operators import analysis, asof, chunking, extraction, generations, greedy, index, ingestion, metadata, retrieval, sketches, vectors
 from doclens.plans import fixture, prompts
 from doclens.sources import files
+from doclens.streaming import feedback
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -438,3 +439,167 @@ def greedy_dedup(spark, sf_dir):
 @_query()
 def analyze_document_rules(spark, sf_dir):
     return analysis.analyze(fixture.admin_docs(spark, sf_dir))
+
+
+# Retrieval with near copies, and from an index on disk.
+
+_COPIES = """v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings UNION ALL SELECT vec_id + 1000000, list_transform(embedding, lambda x: x::DOUBLE)[1:63] || [embedding[64]::DOUBLE + (vec_id % 7) * 0.1] FROM embeddings),
+d AS (SELECT q.id AS query_id, c.id, list_sum(list_transform(range(1, 65), lambda i: (c.v[i] - q.v[i]) * (c.v[i] - q.v[i]))) AS dist FROM v q JOIN v c ON q.id <> c.id WHERE q.id % 50 = 0 AND q.id < 1000000)"""
+
+
+@_query(f"WITH {_COPIES}, one AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dist, id) = 1) SELECT query_id, id, round(1 - dist, 6) AS similarity FROM one WHERE 1 - dist >= 0.8")
+def near_copies_of_queries(spark, sf_dir):
+    """The nearest row of each query, among copies whose last component is moved by up to 0.6."""
+    rows = _vectors(spark, sf_dir)[1].select("id", "v")
+    moved = F.concat(F.slice("v", 1, 63), F.array(F.col("v")[63] + (F.col("id") % 7) * 0.1))
+    every = rows.union(rows.select(F.col("id") + 1_000_000, moved))
+    queries = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "v")
+    return retrieval.similar(queries, every).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
+
+
+@_query(f"WITH {_NEAR} SELECT query_id, collection, id, rank::INT AS rank, round(dist, 6) AS dist FROM near")
+def knn_in_all_cells(spark, sf_dir):
+    """A vector index on disk, searched in all of its cells."""
+    queries, rows = _vectors(spark, sf_dir)
+    path = f"{greedy.folder(spark)}/vectors-{uuid.uuid4().hex}"
+    vectors.build(rows, path, 16)
+    found = vectors.Index(spark, path).knn(queries, 5, probes=16)
+    return found.select("query_id", "collection", "id", "rank", F.round("dist", 6).alias("dist"))
+
+
+@_query("""WITH RECURSIVE v AS (SELECT vec_id * 6 + j AS id, [embedding[1]::DOUBLE + j * 0.2] || list_transform(embedding, lambda x: x::DOUBLE)[2:64] AS v FROM embeddings, range(6) r(j) WHERE vec_id % 50 = 0),
+near AS (SELECT a.id AS later, b.id AS earlier FROM v a JOIN v b ON b.id < a.id WHERE 1 - list_sum(list_transform(range(1, 65), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i]))) >= 0.8),
+q AS (SELECT id, row_number() OVER (ORDER BY id) AS n, coalesce((SELECT list(earlier) FROM near WHERE later = id), []) AS e FROM v),
+r AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS acc UNION ALL SELECT q.n, CASE WHEN list_has_any(acc, e) THEN acc ELSE list_append(acc, id) END FROM r JOIN q ON q.n = r.n + 1)
+SELECT id, CASE WHEN list_contains((SELECT acc FROM r ORDER BY n DESC LIMIT 1), id) THEN 'accepted' ELSE 'duplicate' END AS status FROM q""")
+def greedy_chains(spark, sf_dir):
+    """Chains of six vectors, each one alike to the two after it: the first and the fourth are accepted."""
+    rows = _vectors(spark, sf_dir)[1].where("id % 50 = 0").select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("j"))
+    moved = F.concat(F.array(F.col("v")[0] + F.col("j") * 0.2), F.slice("v", 2, 63))
+    batch = rows.select((F.col("id") * 6 + F.col("j")).alias("id"), F.lit(None).cast("string").alias("label"), moved.alias("v"))
+    return ingestion.resolve(batch, batch.limit(0)).select("id", "status")
+
+
+@_query(f"WITH one AS ({_ARRIVING}) SELECT * FROM one UNION ALL SELECT * REPLACE ('knowledge' AS collection) FROM one")
+def ingest_status_in_both_collections(spark, sf_dir):
+    """The same documents arrive for both collections under the same ids: each collection decides for itself."""
+    docs = fixture.arriving_docs(spark, sf_dir)
+    return ingestion.decided(*ingestion.prepared(docs.union(docs.withColumn("collection", F.lit("knowledge")))), None)
+
+
+# Predicates and fields with true rows.
+
+@_query("WITH l AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) SELECT doc_id, line, line % 4 <> 0 AS connector FROM l")
+def connector_flags_marked(spark, sf_dir):
+    """Lines of documents that end with a mark, in three of four cases one that joins: a reference, an open bracket, a colon and a space."""
+    end = F.element_at(F.array(F.lit(" Mẫu số :"), F.lit(" ("), F.lit(":  "), F.lit(" hết.")), F.when(F.col("line") % 4 == 0, 4).otherwise(F.col("line") % 4).cast("int"))
+    rows = _doc_lines(spark, sf_dir).select("doc_id", "line", F.concat("x", end).alias("x"))
+    return rows.select("doc_id", "line", predicates.ends_with_connector(F.col("x")).alias("connector"))
+
+
+@_query(_admin("SELECT (SELECT count(*) FROM admin_docs) + (SELECT count(*) FROM orders) AS start, (SELECT count(*) FROM orders) AS kinh_phi, (SELECT count(*) FROM orders) AS dia_diem"))
+def unknown_fields_mixed(spark, sf_dir):
+    """How many fields are unknown in documents with them and as many without any."""
+    docs = fixture.admin_docs(spark, sf_dir).union(fixture.plain_docs(spark, sf_dir))
+    return extraction.unknown_fields(extraction.rules(docs), "start", "kinh_phi", "dia_diem")
+
+
+# Time: what was last before a moment, what was open at it, and feedback by windows.
+
+_AS_OF = "SELECT event_id, o_orderkey FROM events ASOF LEFT JOIN (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL) ON user_id = o_custkey AND ts - INTERVAL 25 YEAR >= o_orderdate"
+
+
+@_query(_AS_OF)
+def order_as_of_event(spark, sf_dir):
+    """For each event, its user's last order, 25 years before."""
+    events = _t(spark, sf_dir, "events").select("event_id", "user_id", F.expr("ts - INTERVAL 25 YEAR").alias("at"))
+    orders = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    return asof.as_of(events, orders, "at", "o_orderdate", {"user_id": "o_custkey"}, ["o_orderkey"]).select("event_id", "o_orderkey")
+
+
+@_query("SELECT l.event_id, r.event_id AS generation FROM (SELECT * FROM events WHERE event_type <> 'purchase') l ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') r ON l.ts >= r.ts")
+def generation_as_of_feedback(spark, sf_dir):
+    """Which generation an event met, if every purchase makes a new one. Without a key: all rows are in one order of time, over many ranges."""
+    rows = _t(spark, sf_dir, "events")
+    changes = rows.where("event_type = 'purchase'").select(F.col("event_id").alias("generation"), F.col("ts").alias("since"))
+    return asof.as_of(rows.where("event_type <> 'purchase'").select("event_id", "ts"), changes, "ts", "since", order=["generation"]).select("event_id", "generation")
+
+
+@_query("SELECT event_id, o_orderkey FROM events JOIN (SELECT o_orderkey, o_custkey, o_orderdate, max(l_shipdate) AS shipped FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL) ON user_id = o_custkey AND ts - INTERVAL 25 YEAR >= o_orderdate AND ts - INTERVAL 25 YEAR < shipped")
+def orders_open_at_event(spark, sf_dir):
+    """For each event, its user's orders that were made but not all shipped, 25 years before."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    events = _t(spark, sf_dir, "events").select("event_id", "user_id", F.expr("ts - INTERVAL 25 YEAR").alias("at"))
+    shipped = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("shipped"))
+    orders = _t(spark, sf_dir, "orders").join(shipped, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "o_custkey", "o_orderdate", "shipped")
+    return asof.in_intervals(events, orders, micros("at"), micros("o_orderdate"), micros("shipped"), {"user_id": "o_custkey"}).select("event_id", "o_orderkey")
+
+
+def _feedback(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("ts").alias("time"), F.col("event_type").alias("kind"), F.col("user_id").alias("user"), "value")
+
+
+_WINDOWS = "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS kind, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL"
+
+
+@_query(_WINDOWS)
+def feedback_windows_of_stream(spark, sf_dir):
+    """The feedback as a stream, its windows of six hours as the table that the stream leaves."""
+    kind = _t(spark, sf_dir, "events").schema
+    path = f"{greedy.folder(spark)}/windows-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    feedback.start(_feedback(stream), lambda x: feedback.tumbling(x, "6 hours"), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return feedback.table(spark, f"{path}/out", "start", "end", "kind").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "kind", "n", F.round("value", 4).alias("value"))
+
+
+@_query("""WITH g AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 2 HOUR, true) AS new FROM events),
+s AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT user_id AS user, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(sum(value), 4) AS value FROM s GROUP BY user_id, k""")
+def feedback_sessions(spark, sf_dir):
+    rows = feedback.sessions(_feedback(_t(spark, sf_dir, "events")), "2 hours")
+    return rows.select("user", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", F.round("value", 4).alias("value"))
+
+
+# Generations of the index, and its sketches.
+
+_OLD = "old AS (SELECT doc_id AS id, text, CASE WHEN source = 'src0' THEN 'law' ELSE 'knowledge' END AS collection, source FROM documents WHERE doc_id % 5 <> 0 AND trim(text) <> '')"
+_NEW = """new AS (SELECT * FROM old WHERE source NOT IN ('src1', 'src2') OR source IS NULL
+  UNION ALL SELECT id, CASE WHEN id % 2 = 0 THEN text ELSE 'Mới: ' || text END, 'knowledge', CASE WHEN id % 3 = 0 THEN 'src9' ELSE 'src2' END FROM old WHERE source = 'src2'
+  UNION ALL SELECT doc_id, text, 'knowledge', source FROM documents WHERE doc_id % 5 = 0 AND trim(text) <> '')"""
+
+
+@_query(f"""WITH {_OLD}, {_NEW},
+up AS (SELECT id, count(*) AS n FROM (SELECT id, text FROM new EXCEPT ALL SELECT id, text FROM old) GROUP BY id),
+down AS (SELECT id, count(*) AS n FROM (SELECT id, text FROM old EXCEPT ALL SELECT id, text FROM new) GROUP BY id),
+placed AS (SELECT id, count(*) AS n FROM (SELECT * FROM new EXCEPT ALL SELECT * FROM old) GROUP BY id),
+k AS (SELECT id, coalesce(up.n, 0) AS up, coalesce(down.n, 0) AS down, coalesce(placed.n, 0) - coalesce(up.n, 0) AS moved FROM up FULL JOIN down USING (id) FULL JOIN placed USING (id))
+SELECT id, change, copies::BIGINT AS copies FROM (SELECT id, unnest(['changed', 'added', 'removed', 'moved']) AS change, unnest([least(up, down), up - least(up, down), down - least(up, down), moved]) AS copies FROM k) WHERE copies > 0""")
+def difference_of_generations(spark, sf_dir):
+    """An index of documents, then one source deleted, one written anew (half of it changed, a third under another name), and documents added: what differs between the generations."""
+    path = f"{greedy.folder(spark)}/index-{uuid.uuid4().hex}"
+    docs = _t(spark, sf_dir, "documents").where("trim(text) <> ''").select(F.col("doc_id").alias("doc"), "text", "source", F.when(F.col("source") == "src0", "law").otherwise("knowledge").alias("collection"))
+    old = docs.where("doc % 5 <> 0")
+    index.add(old, path)
+    for source in ("src1", "src2"):
+        index.delete_by_source(spark, path, "knowledge", source)
+    changed = F.when(F.col("doc") % 2 == 0, F.col("text")).otherwise(F.concat(F.lit("Mới: "), "text"))
+    again = old.where("source = 'src2'").select("doc", changed.alias("text"), F.when(F.col("doc") % 3 == 0, "src9").otherwise("src2").alias("source"), "collection")
+    index.add(again, path)
+    index.add(docs.where("doc % 5 = 0").withColumn("collection", F.lit("knowledge")), path)
+    known = generations.numbers(spark, path)
+    return generations.difference(index.read(spark, path, known[0]), index.read(spark, path, known[-1]), "doc", ["text"], ["collection", "source"])
+
+
+@_query("SELECT lang, source, grouping_id(lang, source)::BIGINT AS level, count(*) AS n, true AS distinct_near, true AS median_near FROM documents GROUP BY ROLLUP (lang, source)")
+def sketch_rollup(spark, sf_dir):
+    """Sketches of documents by language and source, made for two halves and merged at every level, held against exact figures: within 6 % of the distinct texts and 3 % of the ranks."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text", F.length("text").alias("size"))
+    by = ["lang", "source"]
+    halves = [sketches.made(docs.where(F.col("doc_id") % 2 == k), by, "text", "size", "source") for k in (0, 1)]
+    merged = sketches.told(sketches.rollup(halves[0].union(halves[1]), by), (0.47, 0.53)).select(*by, "level", "n", "distinct", "quantiles")
+    exact = docs.rollup(*by).agg(F.grouping_id().alias("level"), F.count_distinct("text").alias("d"), F.percentile("size", 0.5).alias("median"))
+    same = [F.col(c).eqNullSafe(F.col(f"e_{c}")) for c in (*by, "level")]
+    rows = merged.join(exact.select(*[F.col(c).alias(f"e_{c}") for c in (*by, "level")], "d", "median"), same)
+    near = F.abs(F.col("distinct") - F.col("d")) <= F.greatest(F.lit(2), F.col("d") * 0.06)
+    middle = (F.col("quantiles")[0] <= F.col("median")) & (F.col("median") <= F.col("quantiles")[1]) | (F.col("n") < 40)
+    return rows.select(*by, "level", "n", near.alias("distinct_near"), middle.alias("median_near"))
