@@ -1,4 +1,4 @@
-"""Documents from text and DOCX files, and the feedback log."""
+"""Documents from text, DOCX and PDF files, and the feedback log."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from doclens.sources import pdf
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -49,7 +51,7 @@ def docx_text(data: bytes) -> str:
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text, error) of the .txt and .docx files under path; other kinds, and files that can't be read, come with an error."""
+    """(path, text, error) of the .txt, .docx and .pdf files under path; other kinds, and files that can't be read, come with an error."""
 
     @F.pandas_udf("text string, error string")
     def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -57,9 +59,11 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
             try:
                 if name.endswith(".docx"):
                     return docx_text(data), None
+                if name.endswith(".pdf"):
+                    return pdf.text(data), None
                 if name.endswith(".txt"):
                     return data.decode("utf-8").replace("\r\n", "\n").replace("\r", "\n"), None
-            except (UnicodeDecodeError, zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
+            except (UnicodeDecodeError, zipfile.BadZipFile, KeyError, ElementTree.ParseError, pdf.PdfError) as e:
                 return None, f"{type(e).__name__}: {e}"
             return None, "Unsupported file format"
 
