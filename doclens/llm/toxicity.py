@@ -97,7 +97,7 @@ def narrowed(found: Sample) -> Sample:
 
 
 def fit(found: Sample, factors: int = 4, rounds: int = 20, batch: int = 256, rate: float = 0.02, decay: float = 1e-4, seed: int = 3) -> Model:
-    """Adam on the logistic loss. Rows are sampled in equal shares of the labels; the bias is then moved to the shares by weight.
+    """Adam on the logistic loss. Rows are sampled in equal shares of the labels, and scores are those of equal shares: how often a label is says nothing of a text.
 
     Without rows of both labels, the score is the smoothed share of label 1 for any text.
     """
@@ -131,7 +131,7 @@ def fit(found: Sample, factors: int = 4, rounds: int = 20, batch: int = 256, rat
                 s += 0.001 * (d * d - s)
                 p -= now * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-6)
     balanced = (y == 1).sum() / (y == 0).sum()
-    return Model(columns, float(params[0][0]) + odds - float(np.log(balanced)), params[1], params[2])
+    return Model(columns, float(params[0][0]) - float(np.log(balanced)), params[1], params[2])
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 12000) -> Model:
@@ -140,7 +140,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of every row of docs: the probability of label 1. A null text counts as empty; an empty one, or one without known words, gets the
+    """(doc_id, score) of every row of docs: the probability of label 1 where both labels are equally frequent. A null text counts as empty; an empty one, or one without known words, gets the
     bias alone. Repeated rows and null ids stay. Other columns aren't read."""
     kind = dict(docs.dtypes)[id_col]
 
