@@ -41,16 +41,16 @@ def heading_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 PREAMBLE = "Phần mở đầu của văn bản này đủ dài để được giữ lại như một đoạn riêng, trước các mục có tiêu đề; " * 3
 
 
-FILLER = "nội dung chi tiết của phần này được trình bày đầy đủ trong hồ sơ kèm theo và áp dụng thống nhất, " * 4
+FILLER = "nội dung chi tiết của phần này được trình bày đầy đủ trong hồ sơ kèm theo và áp dụng thống nhất, " * 2
 
 
 def long_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document for each customer: an article for each line item, each long enough to be a chunk of its own; numbers have leading zeros, so that none is part of another."""
-    items = _items(spark, sf_dir, "c_custkey")
+    """A document for each order: an article for each line item, each long enough to be a chunk of its own; numbers have leading zeros, so that none is part of another."""
+    items = _items(spark, sf_dir, "l_orderkey")
     qty, supp = F.lpad(F.col("l_quantity").cast("int").cast("string"), 3, "0"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")
     role = F.element_at(F.array(F.lit("chủ trì"), F.lit("phối hợp"), F.lit("hỗ trợ")), (F.col("i") % 3 + 1).cast("int"))
     line = F.concat(F.lit("Điều "), F.col("i").cast("string"), F.lit(". Phòng Nghiệp vụ "), supp, F.lit(" "), role, F.lit(" rà soát hồ sơ tại địa bàn "), supp, F.lit("; báo cáo trước ngày "), F.date_format("l_shipdate", "dd/MM/yyyy"), F.lit(". Kinh phí từ ngân sách đơn vị "), qty, F.lit(". "), F.lit(FILLER))
-    return _joined(items.withColumn("line", line), "c_custkey", "i", "line", "text").withColumnRenamed("c_custkey", "doc_id")
+    return _joined(items.withColumn("line", line), "l_orderkey", "i", "line", "text").withColumnRenamed("l_orderkey", "doc_id")
 
 
 def motto_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
