@@ -120,7 +120,8 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "do
         pred, score = ["und"] * len(texts), [0.0] * len(texts)
         if names:
             norms = np.linalg.norm(got, axis=1)
-            cos = got.astype(np.float64) @ matrix / np.where(norms > 0, norms, 1)[:, None]
+            # Row by row: a product of all rows at once would give equal texts cosines that differ in the last digit.
+            cos = np.stack([row @ matrix for row in got.astype(np.float64)]) / np.where(norms > 0, norms, 1)[:, None]
             best = cos.argmax(axis=1)
             for i in np.flatnonzero(has):
                 pred[i], score[i] = names[best[i]], float(min(1.0, max(0.0, cos[i, best[i]])))
