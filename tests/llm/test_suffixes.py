@@ -92,3 +92,16 @@ def test_a_very_long_text(spark):
     rows = [(1, once), (2, "x" + once[700_000:700_400] + "y"), (3, once[:150] + "z" * 99)]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.digest(spark.createDataFrame(rows, DOC)).collect()}
     assert got == {1: (1_500_000, 0, 0), 2: (402, 400, 1), 3: (249, 150, 1)}
+
+
+def test_rows_without_an_id_are_told_apart_by_64_bits(spark):
+    """Two texts of one 32-bit hash, of rows without an id: nothing is taken from the one that repeats nothing."""
+    from pyspark.sql import functions as F
+
+    half = lambda k: F.concat(F.sha2(F.concat(F.col("id").cast("string"), F.lit(k)), 256), F.substring(F.sha2(F.concat(F.col("id").cast("string"), F.lit(k + "y")), 256), 1, 46))
+    made = spark.range(600_000).select(F.concat(half("a"), F.when(F.col("id") % 2 == 0, half("a")).otherwise(half("b"))).alias("text"), (F.col("id") % 2 == 0).alias("twice"))
+    pairs = made.groupBy(F.hash("text").alias("h")).agg(F.min(F.when(F.col("twice"), F.col("text"))).alias("a"), F.min(F.when(~F.col("twice"), F.col("text"))).alias("b"))
+    pair = pairs.where("a is not null and b is not null").orderBy("h").first()
+    got = suffixes.digest(spark.createDataFrame([(None, pair.a), (None, pair.b)], DOC)).collect()
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert {r.kept_sha256: r.n_removed for r in got} == {digest(pair.a[:110]): 110, digest(pair.b): 0}
