@@ -53,7 +53,7 @@ def test_same_as_brute_force(spark):
     rows = [(i, " ".join(rnd.choices(base, weight, k=rnd.randint(0, 80)))) for i in range(400)]
     want = brute(rows)
     assert run(spark, rows) == want
-    assert any(r[1] for r in want) and any(r[4] > 2 for r in want)
+    assert any(r[1] for r in want) and any(r[4] for r in want)
 
 
 def test_forms_are_followed_to_the_last(spark):
