@@ -2,7 +2,7 @@
 
 A page is cut into blocks: the text between two block-level tags, with the path of tags, classes and ids
 above it. A bidirectional LSTM in numpy reads the page's sequence of blocks, each as a vector of hashed path
-parts, hashed words and a few measures, and says of every block whether it belongs to the article, with the
+parts, hashed words, a few measures and its distance in the tree of elements from the blocks beside it, and says of every block whether it belongs to the article, with the
 whole page as context. It learns from made-up pages whose blocks' roles are known because a grammar of common layouts makes
 them; fit() is seeded, so every session gets the same weights.
 """
@@ -26,13 +26,13 @@ _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|ifr
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
 _MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 _TOKEN = re.compile(r"[a-z]+")
-_WORD = re.compile(r"\w+")
+_WORD = re.compile(r"\w+|[©®|·•»]")
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An open tag of these ends an open one of the same set up to the nearest container.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 NOT_IN_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-PATH, WORDS, EXTRA = 192, 24, 8
+PATH, WORDS, EXTRA = 256, 48, 14
 HIDDEN = 16
 
 
@@ -41,6 +41,7 @@ class Block:
     path: tuple[str, ...]  # names and marks above the text, outermost first
     text: str
     linked: int  # characters inside links
+    nest: tuple[int, ...] = ()  # numbers of the open elements, outermost first: the same number is the same element
 
 
 def _marks(tag: str) -> list[str]:
@@ -54,16 +55,16 @@ def _marks(tag: str) -> list[str]:
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order: character references decoded, runs of white space as one space, trimmed, none empty."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = [("", ())]
+    stack: list[tuple[str, tuple[str, ...], tuple[int, ...]]] = [("", (), ())]
     parts: list[str] = []
-    links = linked = at = 0
+    links = linked = at = opened = 0
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(stack[-1][1], text, linked))
+                out.append(Block(stack[-1][1], text, linked, stack[-1][2]))
             parts, linked = [], 0
 
     for m in _PIECE.finditer(page):
@@ -99,7 +100,8 @@ def blocks(page: str) -> list[Block]:
         while len(stack) > 1 and stack[-1][0] in CLOSES.get(name, ()):
             stack.pop()
         if not tag.endswith("/>"):
-            stack.append((name, (*stack[-1][1], name, *("." + t for t in _marks(tag)))))
+            opened += 1
+            stack.append((name, (*stack[-1][1], name, *("." + t for t in _marks(tag))), (*stack[-1][2], opened)))
     if at < len(page):
         parts.append(page[at:])
     flush()
@@ -121,8 +123,18 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return v
 
 
+def _apart(one: Block, other: Block) -> tuple[float, float, float]:
+    """How near two blocks are in the tree of elements: up from one and down to the other (1 is none, less the further), and whether their paths are equal."""
+    common = 0
+    for a, b in zip(one.nest, other.nest, strict=False):
+        if a != b:
+            break
+        common += 1
+    return 1 / (1 + len(one.nest) - common), 1 / (1 + len(other.nest) - common), float(one.path == other.path)
+
+
 def features(page: list[Block]) -> np.ndarray:
-    """One row per block."""
+    """One row per block: its path, its words, measures of its text, and how far in the tree the blocks before and after it are."""
     x = np.zeros((len(page), PATH + WORDS + EXTRA), dtype=np.float32)
     total = sum(len(b.text) for b in page) or 1
     for i, b in enumerate(page):
@@ -133,7 +145,11 @@ def features(page: list[Block]) -> np.ndarray:
             x[i, PATH + k] += sign
         x[i, PATH : PATH + WORDS] /= max(1.0, len(words) ** 0.5, len(words) / 40**0.5)  # of long blocks the mean, so that length adds nothing
         n = len(b.text)
-        x[i, PATH + WORDS :] = (np.log1p(n) / 6, min(1.0, b.linked / n), b.text.count(".") / max(1, len(words)), n / total, i / len(page), b.text[-1] in ".!?:;\"'", min(1.0, len(words) / 40), 1)
+        x[i, PATH + WORDS : PATH + WORDS + 8] = (np.log1p(n) / 6, min(1.0, b.linked / n), b.text.count(".") / max(1, len(words)), n / total, i / len(page), b.text[-1] in ".!?:;\"'", min(1.0, len(words) / 40), 1)
+        if i:
+            x[i, -6:-3] = _apart(b, page[i - 1])
+        if i + 1 < len(page):
+            x[i, -3:] = _apart(b, page[i + 1])
     return x
 
 
@@ -237,7 +253,7 @@ def _gradient(net: Net, pages: list[np.ndarray], labels: list[np.ndarray]) -> li
 _ASIDE = {
     "nav": ["nav", "div.menu", "ul.nav", "div.navbar", "div#navigation", "div.breadcrumb", "ul.pagination", "div.topbar", "header nav", "div.links", "div.toc"],
     "header": ["header", "div.header", "div#masthead", "div.banner", "div.logo", "header.site-header", "div.tagline"],
-    "footer": ["footer", "div.footer", "div#footer", "footer.site-footer", "div.copyright", "div.legal", "div.colophon"],
+    "footer": ["footer", "footer", "footer p", "div.footer", "div#footer", "footer.site-footer", "div.copyright", "div.legal", "div.colophon"],
     "side": ["aside", "div.sidebar", "div#sidebar", "aside.widget", "div.related", "section.related-posts", "div.recommended", "div.popular", "div.trending", "div.tags", "div.author-bio", "div.meta", "div.read-more", "section.more"],
     "ad": ["div.ad", "div.ads", "div.advert", "div.advertisement", "div.sponsored", "aside.promo", "div.banner-ad", "div.ad-slot", "section.sponsor", "div.promotion", "ins.adsbygoogle"],
     "notice": ["div.cookie", "div#cookie-notice", "div.consent", "div.notice", "div.alert", "div.newsletter", "div.subscribe", "div.popup", "div.modal", "p.disclaimer", "div.gdpr", "div.paywall", "div.warning"],
@@ -259,6 +275,10 @@ _SAYINGS = {
 }
 
 
+#: What lines of an article say that are about the text, not part of its story.
+_LINES = "This work is licensed under the License, version Released in the public domain Copyright by the author Permission granted to copy Reprinted from Source Published Contact Email Note".split()
+
+
 class _Grammar:
     """Pages as (html, wanted): wanted is the blocks of the article in order."""
 
@@ -308,17 +328,38 @@ class _Grammar:
             inner = (f"<h3>{self.say(2, kind)}</h3>" if r.random() < 0.6 else "") + "".join(self.tag(r.choice(["div", "li", "div.comment", "article", "p"]), f"<p>{self.say(r.randint(3, 60) if r.random() < 0.98 else r.randint(100, 600), kind)}</p>" + (f"<span>{self.say(2, kind)}</span>" if r.random() < 0.4 else "")) for _ in range(r.randint(1, 6)))
         else:
             body = self.say(r.randint(1, 45), kind)
+            if kind == "footer" and r.random() < 0.5:
+                body = f"{r.choice(['&copy;', '&copy;', 'Copyright', '&reg;'])} {r.choice(self.words)}.{r.choice(self.words)}.{r.choice(['com', 'org', 'net', 'de'])} {r.choice(['&middot;', '|', '-', '&bull;'])} {body}"
             inner = r.choice([body, f"<p>{body}</p>", f"<p>{body}</p><p>{self.say(r.randint(3, 30), kind)}</p>", f"<h4>{self.say(3, kind)}</h4><p>{body}</p>", f"<span>{body}</span> {self.link(self.say(2, kind))}"])
         return self.tag(spec, inner)
 
-    def article(self) -> str:
+    def odd(self) -> str:
+        """A paragraph that an article may hold though it reads like no story: a notice, one word many times, words with symbols, a row of a table."""
+        r = self.r
+        n = int(r.choice([2, 6, 15, 40, 120]) * r.uniform(0.5, 1.5)) + 1
+        form = r.randrange(5)
+        if form == 0:
+            return " ".join(r.choice(_LINES) if r.random() < 0.7 else r.choice(self.words) for _ in range(r.randint(3, 16))) + r.choice([".", "", ", version 2."])
+        if form == 1:
+            return " ".join([r.choice(self.words) + r.choice(["", ","])] * n).capitalize()
+        if form == 2:
+            marks = r.sample(["&amp;&amp;", "%%", "$$", "##", "**", "??", "~~", "==", "@@", ".", ""], 4)
+            return " ".join(r.choice(self.words) + r.choice(marks) for _ in range(n)).capitalize()
+        if form == 3:
+            return " | ".join(r.choice(self.words) for _ in range(n)).capitalize() + r.choice(["", " |"])
+        return "".join(r.choice(self.words) for _ in range(r.randint(1, 4))) if r.random() < 0.5 else " ".join(str(r.randint(0, 10**r.randint(1, 8))) for _ in range(n))
+
+    def article(self) -> list[str]:
         r, out = self.r, []
+        odd = r.random() < 0.5
         if r.random() < 0.8:
             out.append(f"<h1>{self.say(r.randint(3, 12))}</h1>")
         for _ in range(int(r.choice([1, 2, 4, 8, 14]) * r.uniform(0.7, 1.5)) + 1):
             body = self.say(r.choice([1, 3, 8, 25, 60, 120]) if r.random() < 0.98 else r.randint(200, 2500))
             if body[-1] not in ".!?" and r.random() < 0.6:
                 body += "."  # a short sentence, or what is left of one
+            if odd and r.random() < 0.4:
+                body = self.odd()
             if r.random() < 0.3:
                 cut = body.split(" ")
                 k = r.randrange(len(cut))
@@ -326,6 +367,8 @@ class _Grammar:
                 body = " ".join(cut)
             end = "" if r.random() < 0.15 else "</p>"
             out.append(r.choice([f"<p>{body}{end}"] * 9 + [f"<h2>{self.say(r.randint(1, 8))}</h2>", f"<h3>{self.say(r.randint(1, 8))}</h3>", f"<blockquote><p>{body}</p></blockquote>", f"<ul><li>{self.say(r.randint(1, 20))}</li><li>{body}</li></ul>", f"<div>{body}</div>", f"<pre>{body}</pre>", f"<table><tr><td>{self.say(2)}</td><td>{self.say(3)}</td></tr></table>", f"<figure><figcaption>{self.say(6)}</figcaption></figure>"]))
+        if odd and r.random() < 0.6:
+            out.append(f"<p>{self.odd()}</p>")
         return out
 
     def page(self) -> tuple[list[Block], np.ndarray]:
@@ -345,7 +388,7 @@ class _Grammar:
         body = "".join([*before, self.tag(r.choice(["div", "div.wrap", "div.container", "div#page"]), main) if r.random() < 0.4 else main, *after])
         found = blocks(f"<html><head><title>x</title></head><body>{body}</body></html>")
         wanted = np.array(["\x01" in b.text for b in found])
-        return [Block(b.path, " ".join(b.text.replace("\x01", "").split()) or "x", b.linked) for b in found], wanted
+        return [Block(b.path, " ".join(b.text.replace("\x01", "").split()) or "x", b.linked, b.nest) for b in found], wanted
 
 
 @lru_cache(2)
