@@ -21,6 +21,8 @@ DIM = 512
 BASE = 0x110000
 #: Letters whose vectors a Python worker remembers.
 REMEMBERED = 20_000
+#: Languages that are learned at the most, which bounds the profiles.
+LANGUAGES = 256
 #: Bytes of text that are encoded at a time: the arrays of a piece are some 50 times as large.
 _PIECE = 1 << 18
 
@@ -79,12 +81,15 @@ def encode(texts: list[str], dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
     return out, has
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = 12000, dim: int = DIM) -> dict[str, np.ndarray]:
+def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = 12000, dim: int = DIM, languages: int = LANGUAGES) -> dict[str, np.ndarray]:
     """The profile of each language of the labelled rows, from `most` of them at the most (null languages teach nothing).
 
-    Each task sums its own texts; the driver adds one vector for each task and language.
+    Of more than `languages` values of lang_col the most frequent ones are learned (ties: the first by name), so neither the sample nor
+    the profiles grow with the values of a column that isn't clean. Each task sums its own texts; the driver gets one vector for each language.
     """
-    rows = bounded_sample(labelled.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")), most, "id", "lang")
+    rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    usual = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    rows = bounded_sample(rows.where(F.col("lang").isin(usual)), most, "id", "lang")
 
     def sums(_, cols, texts):
         got, has = encode(texts, dim)
@@ -95,10 +100,9 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         return {"lang": list(total), "v": [v.tolist() for v in total.values()]}
 
     parts = map_texts(rows.select("text", "lang"), sums, "lang string, v array<double>", most=_PIECE)
-    profiles = parts.select("lang", F.posexplode("v")).groupBy("lang", "pos").agg(F.sum("col").alias("x"))
-    out: dict[str, np.ndarray] = {}
-    for lang, pos, x in profiles.collect():
-        out.setdefault(lang, np.zeros(dim))[pos] = x
+    sums_of = parts.select("lang", F.posexplode("v")).groupBy("lang", "pos").agg(F.sum("col").alias("x"))
+    profiles = sums_of.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("v"))  # dim numbers each
+    out = {r.lang: np.array([x.x for x in r.v]) for r in profiles.collect()}
     return {k: out[k] / (np.linalg.norm(out[k]) or 1) for k in sorted(out)}
 
 

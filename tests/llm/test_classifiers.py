@@ -174,6 +174,24 @@ def test_bundles_by_brute_force():
         assert (g == want).all() and h == any(c.isalpha() for c in t)
 
 
+def test_many_values_of_lang_are_bounded(spark):
+    """The most frequent values are learned, ties by name; other rows are predicted all the same."""
+    rows = [(i, "the and of with from", "en") for i in range(40)] + [(100 + i, "der die das und nicht", "de") for i in range(30)] + [(200 + i, "el los que una por", f"x{i:03}") for i in range(50)]
+    df = spark.createDataFrame(rows, DOC)
+    assert list(langid.learn(df, languages=2)) == ["de", "en"] and list(langid.learn(df, languages=4)) == ["de", "en", "x000", "x001"]
+    profiles = langid.learn(df, languages=3)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df, profiles).collect()}
+    assert len(got) == len(rows) and got[0] == "en" and got[100] == "de" and {got[i] for i in range(200, 250)} == {"x000"}
+    assert all(abs(np.linalg.norm(v) - 1) < 1e-9 and len(v) == langid.DIM for v in profiles.values())
+
+
+def test_equal_cosines_go_to_the_first_language_by_name(spark):
+    profiles = langid.learn(spark.createDataFrame([(1, "the and of", "en"), (2, "der die das", "de")], DOC))
+    twins = {"b": profiles["en"], "a": profiles["en"], "c": profiles["de"]}
+    got = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame([(1, "the and of", None), (2, "der die das", None)], DOC), twins).collect()}
+    assert got == {1: "a", 2: "c"}
+
+
 def test_every_letter_has_a_vector_of_its_own():
     v = np.stack([langid.letter(c) for c in range(0x4E00, 0x4E00 + 600)]).astype(int)
     assert (np.abs(v @ v.T - langid.DIM * np.eye(600)) < langid.DIM / 3).all()
