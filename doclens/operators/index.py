@@ -17,10 +17,15 @@ def collection_of(kind: Column) -> Column:
     return F.when(kind == "law", "law").otherwise("knowledge")
 
 
+def record_id(collection: Column, source: Column, chunk_index: Column) -> Column:
+    """The stable id of an index row: a hash of what names it, as JSON."""
+    return F.sha2(F.to_json(F.struct(collection.alias("collection"), source.alias("source"), chunk_index.alias("chunk_index"))), 256)
+
+
 def records(chunks: DataFrame, collection: str = "collection", source: str = "source", embed: Callable[[Column], Column] | None = None) -> DataFrame:
     """Chunks as index rows: trimmed, blank ones dropped (numbers stay those before), with article, a stable id and, by `embed`, an embedding."""
     rows = chunks.withColumn("text", strip(F.col("text"))).where("text <> ''")
-    rows = rows.withColumn("article", article_tag(F.col("text"))).withColumn("id", F.sha2(F.to_json(F.struct(F.col(collection).alias("collection"), F.col(source).alias("source"), "chunk_index")), 256))
+    rows = rows.withColumn("article", article_tag(F.col("text"))).withColumn("id", record_id(F.col(collection), F.col(source), F.col("chunk_index")))
     return rows if embed is None else rows.withColumn("embedding", embed(F.col("text")))
 
 
