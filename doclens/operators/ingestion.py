@@ -36,11 +36,11 @@ def probe(body: Column, text: Column) -> Column:
 
 
 def preview(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, label, chunks, n_chunks) a document would have in the index. Nothing is written."""
+    """(id, so_van_ban, label, chunks, n_chunks) a document would have in the index. Nothing is written."""
     meta = metadata.extract_metadata(docs, id_col, text_col)
     label = predicates.source_label(F.col("so_van_ban"), F.col("tieu_de"), F.col("issuer"))
     text = F.when(F.col("body_text") != "", F.col("body_text")).otherwise(F.col("clean_text"))
-    return meta.select(id_col, label.alias("label"), chunking.chunk_arrays(text).alias("chunks")).withColumn("n_chunks", F.size("chunks"))
+    return meta.select(id_col, "so_van_ban", label.alias("label"), chunking.chunk_arrays(text).alias("chunks")).withColumn("n_chunks", F.size("chunks"))
 
 
 def _twins(v: Column) -> Column:
