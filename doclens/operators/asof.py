@@ -6,6 +6,10 @@ row of the right side is carried along; what comes into a range from those befor
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,8 +51,8 @@ def _struct(df: DataFrame, columns: list[str]) -> str:
     return "struct<" + ",".join(f"`{c}`:{kinds[c]}" for c in columns) + ">"
 
 
-def _pieces(start: Column, end: Column) -> Column:
-    """array<(level, bin)>: the least number of aligned bins of 2^level units that make up [start, end): two of a level at most."""
+def _pieces(start: Column, end: Column, top: int = 62) -> Column:
+    """array<(level, bin)>: the least number of aligned bins of 2^level units that make up [start, end), which is shorter than 2^(top + 1): two of a level at most."""
     piece = lambda level, n: F.struct(level.cast("int").alias("level"), n.cast("long").alias("bin"))
     state = F.struct(start.cast("long").alias("a"), end.cast("long").alias("b"), F.array().cast("array<struct<level:int,bin:bigint>>").alias("out"))
 
@@ -59,23 +63,36 @@ def _pieces(start: Column, end: Column) -> Column:
         right = F.when(odd_b & (b - 1 >= a + F.when(odd_a, 1).otherwise(0)), F.array(piece(level, b - 1))).otherwise(F.array().cast("array<struct<level:int,bin:bigint>>"))
         return F.struct(F.shiftright(F.when(odd_a, a + 1).otherwise(a), 1).alias("a"), F.shiftright(F.when(odd_b, b - 1).otherwise(b), 1).alias("b"), F.concat(s["out"], left, right).alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), state, step, lambda s: s["out"])
+    return F.aggregate(F.sequence(F.lit(0), F.lit(top)), state, step, lambda s: s["out"])
+
+
+#: Lengths of which all ends of intervals may be multiples: in microseconds, a day, an hour, a minute, a second, a millisecond.
+UNITS = (86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000, 1_000)
 
 
 def in_intervals(points: DataFrame, intervals: DataFrame, at: Column, start: Column, end: Column, by: dict[str, str] | None = None) -> DataFrame:
     """points joined to the intervals [start, end) that `at` lies in (whole numbers), of equal keys `by`. Null ends and empty intervals hold nothing.
 
-    An interval is cut into aligned bins of 2^level, two a level at most; a point is in one bin of each level that occurs, of which there are 63 at most. So the
-    join is by equal bins, each pair is met in one bin, and neither long intervals nor crowded moments make more than their own results.
+    An interval is cut into aligned bins of 2^level, two a level at most; a point is in one bin of each level that an interval's length has, of which there are 63 at
+    most. So the join is by equal bins, each pair is met in one bin, and neither long intervals nor crowded moments make more than their own results.
+    Bins are of the largest of UNITS that all ends are multiples of, so intervals between midnights have days and few levels. Intervals of keys without a point
+    are left out; the others are written once, to be measured and cut. Both sides are dealt by bins: Spark takes exploded rows for as few as they were and would broadcast them.
     """
     by = by or {}
-    cut = intervals.withColumn("__piece", F.explode(_pieces(start, end))).withColumns({"__level": F.col("__piece.level"), "__bin": F.col("__piece.bin")}).drop("__piece")
-    levels = [r[0] for r in cut.select("__level").distinct().orderBy("__level").collect()]
-    if not levels:
-        levels = [0]
-    n = F.explode(F.array(*[F.struct(F.lit(x).alias("l"), F.shiftright(at.cast("long"), x).alias("b")) for x in levels]))
-    dealt = points.withColumn("__p", n).withColumns({"__pl": F.col("__p.l"), "__pb": F.col("__p.b")}).drop("__p")
+    spans = intervals.withColumns({"__a": start.cast("long"), "__b": end.cast("long")}).where("__a < __b")
+    if by:
+        keys = points.select(*[F.col(a).alias(f"__k{i}") for i, a in enumerate(by)]).distinct()
+        spans = spans.join(keys, reduce(and_, [F.col(b) == F.col(f"__k{i}") for i, b in enumerate(by.values())]), "left_semi")
+    spans = kept(spans)
+    longest, *even = spans.agg(F.max(F.col("__b").cast("double") - F.col("__a")), *[F.every((F.col("__a") % u == 0) & (F.col("__b") % u == 0)) for u in UNITS]).first()
+    unit = next((u for u, fits in zip(UNITS, even, strict=True) if fits), 1)
+    top = min(62, max(0, math.ceil(math.log2((longest or 1) / unit))))
+    cut = spans.withColumn("__piece", F.explode(_pieces(F.expr(f"__a div {unit}"), F.expr(f"__b div {unit}"), top))).withColumns({"__level": F.col("__piece.level"), "__bin": F.col("__piece.bin")}).drop("__piece", "__a", "__b")
+    dealt = points.withColumn("__at", at.cast("long")).where("__at is not null")
+    whole = F.expr(f"(__at - pmod(__at, {unit}L)) div {unit}") if unit > 1 else F.col("__at")
+    n = F.explode(F.array(*[F.struct(F.lit(x).alias("l"), F.shiftright(whole, x).alias("b")) for x in range(top + 1)]))
+    dealt = dealt.withColumn("__p", n).withColumns({"__pl": F.col("__p.l"), "__pb": F.col("__p.b")}).drop("__p", "__at")
     on = (F.col("__pl") == F.col("__level")) & (F.col("__pb") == F.col("__bin"))
     for a, b in by.items():
         on &= dealt[a] == cut[b]
-    return dealt.join(cut, on).drop("__pl", "__pb", "__level", "__bin")
+    return dealt.join(cut.hint("merge"), on).drop("__pl", "__pb", "__level", "__bin")

@@ -52,3 +52,18 @@ def test_intervals_as_by_brute_force(spark):
     want = [(i, n) for i, k, t in points for n, sk, a, b in spans if k == sk and None not in (t, a, b) and a <= t < b]
     assert sorted(map(tuple, got)) == sorted(want)
     assert asof.in_intervals(p, s.limit(0), F.col("at"), F.col("a"), F.col("b")).count() == 0
+
+
+def test_intervals_between_midnights_are_dealt_not_broadcast(spark):
+    """Points around midnights, before and after 1970. The points' rows are many times what Spark expects: it would broadcast them."""
+    day_, r = 86_400_000_000, random.Random(3)
+    points = [(i, r.choice("ab"), r.randrange(-9, 9) * day_ + r.choice([-1, 0, 1, 5])) for i in range(200)]
+    for off in (0, 7):
+        spans = [(i, r.choice("abc"), s * day_, (s + r.choice([0, 1, 2, 9])) * day_ + off) for i, s in enumerate(r.choices(range(-9, 9), k=60))]
+        p, s = spark.createDataFrame(points, "id int, k string, at long"), spark.createDataFrame(spans, "n int, sk string, a long, b long")
+        df = asof.in_intervals(p, s, F.col("at"), F.col("a"), F.col("b"), {"k": "sk"})
+        assert df.columns == ["id", "k", "at", "n", "sk", "a", "b"]
+        want = [(i, n) for i, k, t in points for n, sk, a, b in spans if k == sk and a <= t < b]
+        assert sorted(map(tuple, df.select("id", "n").collect())) == sorted(want)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
