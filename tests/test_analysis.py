@@ -238,3 +238,13 @@ def test_embedding_preview_and_udtf(spark):
     spark.udtf.register("split_document", chunking.SplitDocument)
     spark.createDataFrame([(1, DOCUMENT)], DOC).createOrReplaceTempView("given")
     assert spark.sql("SELECT c.chunk_index, c.text FROM given, LATERAL split_document(given.text) AS c").count() == len(chunking.chunk(DOCUMENT))
+
+
+def test_documents_of_one_id_are_not_mixed_and_plans_stay_small(spark):
+    """Two documents share an id, one has no chunk; the plan doesn't grow with the number of chunks that a document may have."""
+    docs = spark.createDataFrame([(1, "Sở Y tế chủ trì việc này"), (1, "Ban A phối hợp việc này"), (2, None), (None, "Tổ B hỗ trợ việc này")], DOC)
+    df = analysis.analyze(docs)
+    got = sorted((str(r.doc_id), [t.don_vi for t in r.nhiem_vu]) for r in df.collect())
+    assert got == [("1", ["Ban A"]), ("1", ["Sở Y tế"]), ("2", []), ("None", ["Tổ B"])]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_replace(") < 300 and "Join" not in plan
